@@ -75,10 +75,7 @@ def temperature(atime: Column | str, as_of: Column | str) -> Column:
 def mode_of(permission: Column | str) -> Column:
     """Octal text of a ten-character symbolic permission; other lengths give null."""
     permission = as_column(permission)
-    mode = F.lit(0)
-    for at in range(2, 11):
-        unset = F.substring(permission, at, 1).isin("-", "S", "T")
-        mode = mode + F.when(unset, 0).otherwise(1 << (10 - at))
-    sticky = F.substring(permission, 10, 1).isin("t", "T")
-    mode = mode + F.when(sticky, 0o1000).otherwise(0)
-    return F.when(F.length(permission) == 10, F.conv(mode.cast("string"), 10, 8))
+    # Set bits as binary digits; S and T are special bits without execute.
+    bits = F.translate(F.substring(permission, 2, 9), "-STrwxst", "00011111")
+    sticky = F.when(F.substring(permission, 10, 1).isin("t", "T"), "1").otherwise("")
+    return F.when(F.length(permission) == 10, F.conv(F.concat(sticky, bits), 2, 8))

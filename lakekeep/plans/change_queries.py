@@ -20,7 +20,7 @@ from lakekeep.plans.inputs import (
 )
 from lakekeep.plans.registry import query
 from lakekeep.plans.sync import sync_diff, sync_full
-from lakekeep.session import load, work_path
+from lakekeep.session import load, pinned, work_path
 from lakekeep.sources.listing import parse_changes, read_changes, read_listing
 from lakekeep.sources.sinks import write_failures
 
@@ -33,7 +33,8 @@ def listed(df: DataFrame, *more: str) -> DataFrame:
 
 
 def trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return tree_at(spark, sf, OLD_DAY), tree_at(spark, sf, NEW_DAY)
+    """The old and the new snapshot as stored tables, since most plans read them more than once."""
+    return pinned(tree_at(spark, sf, OLD_DAY), "old"), pinned(tree_at(spark, sf, NEW_DAY), "new")
 
 
 def landed_text(spark: SparkSession, lines: DataFrame, name: str) -> str:
@@ -101,12 +102,13 @@ def change_scan(spark: SparkSession, sf: str) -> DataFrame:
     return read_changes(spark, path).select("op", "permission", "owner", "grp", "path", "raw")
 
 
-def parsed_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_changes(change_text(tree_at(spark, sf, NEW_DAY)).withColumnRenamed("value", "raw"))
+def parsed_changes(new: DataFrame) -> DataFrame:
+    return parse_changes(change_text(new).withColumnRenamed("value", "raw"))
 
 
 def migration(spark: SparkSession, sf: str) -> DataFrame:
-    return outcomes(parsed_changes(spark, sf), tree_at(spark, sf, OLD_DAY))
+    old, new = trees(spark, sf)
+    return outcomes(parsed_changes(new), old)
 
 
 OUTCOME_SQL = f"""{TREES}, {CHANGES_SQL},
@@ -158,9 +160,10 @@ numbered as (select *, row_number() over (order by md5(concat('7', raw)), raw) -
 select cast(idx // greatest(cast(ceil(n / 25.0) as bigint), 1) as integer) chunk, raw, reason
 from numbered where reason is not null""")
 def migrate_failures(spark: SparkSession, sf: str) -> DataFrame:
-    chunked = split_work(parsed_changes(spark, sf), 25, on="raw").drop("idx")
+    old, new = trees(spark, sf)
+    chunked = split_work(parsed_changes(new), 25, on="raw").drop("idx")
     path = work_path(spark, "failures")
-    write_failures(outcomes(chunked, tree_at(spark, sf, OLD_DAY)), path)
+    write_failures(outcomes(chunked, old), path)
     return spark.read.schema("chunk int, raw string, reason string").parquet(path)
 
 
@@ -205,13 +208,14 @@ def verify_changes(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     old, new = trees(spark, sf)
-    return verify(sized(new), sized(old), parsed_changes(spark, sf))
+    return verify(sized(new), sized(old), parsed_changes(new))
 
 
 @query("apply_changes", f"with {TREES} select {LISTED_SQL} from new")
 def apply_changes_query(spark: SparkSession, sf: str) -> DataFrame:
     old, new = trees(spark, sf)
-    return listed(apply_changes(old, new, snapshot_diff(old, new)).snapshot)
+    changes = pinned(snapshot_diff(old, new), "changes")
+    return listed(apply_changes(old, new, changes).snapshot)
 
 
 @query("apply_failures", f"""with {OUTCOME_SQL}
@@ -222,7 +226,7 @@ where n.path is null or (n.permission like '-%' and o.permission like 'd%')""")
 def apply_failures(spark: SparkSession, sf: str) -> DataFrame:
     """Changes whose source is gone: the trash paths of the change text are not in the tree."""
     old, new = trees(spark, sf)
-    return apply_changes(old, new, parsed_changes(spark, sf), tree=True).failures
+    return apply_changes(old, new, parsed_changes(new), tree=True).failures
 
 
 @query("sync_diff", f"""with {TREES}
@@ -230,7 +234,8 @@ select {LISTED_SQL} from new where priority <> '5-LOW' and priority not like '%
 def sync_diff_query(spark: SparkSession, sf: str) -> DataFrame:
     """From two listing texts to the synchronised snapshot."""
     old, new = (
-        read_listing(spark, landed_text(spark, listing_text(t), "listing"))[0] for t in trees(spark, sf)
+        read_listing(spark, landed_text(spark, listing_text(tree_at(spark, sf, day)), "listing"))[0]
+        for day in (OLD_DAY, NEW_DAY)
     )
     return listed(sync_diff(spark, old, new, work_path(spark, "sync")).snapshot)
 
@@ -300,7 +305,8 @@ def source_delete(spark: SparkSession, sf: str) -> DataFrame:
 select {LISTED_SQL} from new where permission like 'd%' or path not in (select path from old)""")
 def source_survivors(spark: SparkSession, sf: str) -> DataFrame:
     old, new = trees(spark, sf)
-    return listed(delete_rows(new, plan_source_delete(old, new)))
+    doomed = pinned(plan_source_delete(old, new), "doomed")
+    return listed(delete_rows(new, doomed))
 
 
 @query("source_delete_recursive", f"""with {TREES}
@@ -309,4 +315,5 @@ where n.path not in (select path from old)
   and not exists (select 1 from old o where o.permission like 'd%' and starts_with(n.path, concat(o.path, '/')))""")
 def source_delete_recursive(spark: SparkSession, sf: str) -> DataFrame:
     old, new = trees(spark, sf)
-    return listed(delete_rows(new, plan_source_delete(old, new, recursive=True), recursive=True))
+    doomed = pinned(plan_source_delete(old, new, recursive=True), "doomed")
+    return listed(delete_rows(new, doomed, recursive=True))

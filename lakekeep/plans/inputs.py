@@ -162,18 +162,20 @@ def change_text(tree: DataFrame) -> DataFrame:
         (F.col("priority") == "1-URGENT") & (F.col("grp") == "O"),
         F.concat(F.lit("/warehouse/.Trash"), "path"),
     ).otherwise(_spaced_path())
-    head = F.concat_ws(" ", "permission", "replication", "owner", "grp", _text("size"))
-    line = F.concat_ws(" ", head, minute_stamp("mtime"), path)
-    short = F.concat_ws(" ", head, path)
-    value = (
-        F.when(F.col("priority") == "2-HIGH", F.concat(F.lit("update "), line))
-        .when(F.col("priority") == "3-MEDIUM", F.concat(F.lit("DELETE "), line))
-        .when((F.col("priority") == "5-LOW") & (F.col("grp") == "P"), F.concat(F.lit("MOVE "), line))
-        .when((F.col("priority") == "5-LOW") & (F.col("grp") == "O"), short)
-        .when((F.col("priority") == "0-FOLDER") & (F.col("grp") == "F"), F.concat(F.lit("update "), line))
-        .otherwise(line)
+    word = (
+        F.when(F.col("priority") == "2-HIGH", "update")
+        .when(F.col("priority") == "3-MEDIUM", "DELETE")
+        .when((F.col("priority") == "5-LOW") & (F.col("grp") == "P"), "MOVE")
+        .when((F.col("priority") == "0-FOLDER") & (F.col("grp") == "F"), "update")
+    )
+    # Short lines lack the time; concat_ws leaves nulls out.
+    short = (F.col("priority") == "5-LOW") & (F.col("grp") == "O")
+    time = F.when(~short, minute_stamp("mtime"))
+    return tree.select(
+        F.concat_ws(
+            " ", word, "permission", "replication", "owner", "grp", _text("size"), time, path
+        ).alias("value")
     )
-    return tree.select(value.alias("value"))
 
 
 # The change lines as columns, written without any parsing of text.
@@ -182,15 +184,15 @@ raw_changes as (
   select *, case when priority = '1-URGENT' and grp = 'O' then concat('/warehouse/.Trash', path)
                  when priority = '4-NOT SPECIFIED' then concat(path, '-', priority) else path end cpath,
          concat_ws(' ', permission, replication, "owner", grp, cast(size as varchar)) head,
-         strftime(mtime, '%Y-%m-%d %H:%M') minute
+         strftime(mtime, '%Y-%m-%d %H:%M') "minute"
   from new),
 changes as (
-  select case when priority = '2-HIGH' then concat('update ', head, ' ', minute, ' ', cpath)
-              when priority = '3-MEDIUM' then concat('DELETE ', head, ' ', minute, ' ', cpath)
-              when priority = '5-LOW' and grp = 'P' then concat('MOVE ', head, ' ', minute, ' ', cpath)
+  select case when priority = '2-HIGH' then concat('update ', head, ' ', "minute", ' ', cpath)
+              when priority = '3-MEDIUM' then concat('DELETE ', head, ' ', "minute", ' ', cpath)
+              when priority = '5-LOW' and grp = 'P' then concat('MOVE ', head, ' ', "minute", ' ', cpath)
               when priority = '5-LOW' and grp = 'O' then concat(head, ' ', cpath)
-              when priority = '0-FOLDER' and grp = 'F' then concat('update ', head, ' ', minute, ' ', cpath)
-              else concat(head, ' ', minute, ' ', cpath) end raw,
+              when priority = '0-FOLDER' and grp = 'F' then concat('update ', head, ' ', "minute", ' ', cpath)
+              else concat(head, ' ', "minute", ' ', cpath) end raw,
          case when priority = '2-HIGH' or (priority = '0-FOLDER' and grp = 'F') then 'UPDATE'
               when priority = '3-MEDIUM' then 'DELETE'
               when priority = '5-LOW' and grp = 'P' then 'MOVE'
@@ -201,7 +203,7 @@ changes as (
          case when priority = '4-NOT SPECIFIED' then replication else permission end permission,
          case when priority = '4-NOT SPECIFIED' then grp else "owner" end "owner",
          case when priority = '4-NOT SPECIFIED' then cast(size as varchar) else grp end grp,
-         minute
+         "minute"
   from raw_changes)"""
 
 

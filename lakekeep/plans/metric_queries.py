@@ -67,7 +67,7 @@ def metric_retained(spark: SparkSession, sf: str) -> DataFrame:
     points = dedupe_points(metric_points(beans(spark, sf)))
     write_metrics(points, store)
     stored = spark.read.schema(points.schema).parquet(store)
-    return timed(retain(stored, RETAIN_TO))
+    return timed(retain(stored, RETAIN_TO)).drop("date", "hour")
 
 
 @query("contact_stats", f"""with {METRIC_SQL}
@@ -99,6 +99,5 @@ def metric_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     landed, store = work_path(spark, "landed"), work_path(spark, "metrics")
     metric_snapshots(spark, sf).write.json(landed)
     metric_stream(spark, landed, store, work_path(spark, "stream"), every=None).awaitTermination()
-    return timed(
-        spark.read.schema("ts timestamp, namespace string, measurement string, value double").parquet(store)
-    )
+    stored = spark.read.schema("ts timestamp, namespace string, measurement string, value double").parquet(store)
+    return timed(stored).drop("date", "hour")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,5 +57,12 @@ def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Schemas already read, by path; later loads of a table start no job.
+_schemas: dict[str, StructType] = {}
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    path = os.path.join(folder, f"{name}.parquet")
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)

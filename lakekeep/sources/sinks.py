@@ -63,4 +63,6 @@ def with_shards(points: DataFrame) -> DataFrame:
 
 
 def write_metrics(points: DataFrame, path: str, mode: str = "append") -> None:
-    with_shards(points).write.mode(mode).partitionBy("date", "hour").parquet(path)
+    """Append to the store. Rebalancing gives few files per shard and splits large shards."""
+    shards = with_shards(points).hint("rebalance", "date", "hour")
+    shards.write.mode(mode).partitionBy("date", "hour").parquet(path)

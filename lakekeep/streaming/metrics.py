@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakekeep.operators.metrics import WATERMARK, dedupe_points, metric_points, windowed
 from lakekeep.sources.sinks import with_shards
 from lakekeep.sources.snapshots import explode_beans, stream_snapshots
 
+SHARD_FILES = 4
+
 
 def point_stream(
     spark: SparkSession, path: str, watermark: str = WATERMARK, max_files: int | None = None
@@ -28,9 +31,15 @@ def metric_stream(
     spark: SparkSession, path: str, sink: str, checkpoint: str,
     every: str | None = "5 minutes", watermark: str = WATERMARK, max_files: int | None = None,
 ) -> StreamingQuery:
-    """Run the job into a day and hour sharded store; `every=None` takes what is there and ends."""
+    """Run the job into a day and hour sharded store; `every=None` takes what is there and ends.
+
+    A batch writes a shard with at most SHARD_FILES tasks, which keeps files few and
+    no shard on one task.
+    """
+    part = F.pmod(F.xxhash64("namespace", "measurement"), F.lit(SHARD_FILES))
+    points = with_shards(point_stream(spark, path, watermark, max_files))
     writer = (
-        with_shards(point_stream(spark, path, watermark, max_files))
+        points.repartition("date", "hour", part)
         .writeStream.format("parquet")
         .partitionBy("date", "hour")
         .option("path", sink)
