@@ -31,7 +31,8 @@ def snapshot_diff(
     ignore_time: bool = False,
     order: Sequence[str] | None = None,
     path: str | None = "path",
-    min_hot_rows: int | None = HOT_ROWS,
+    hot: Sequence | None = None,
+    min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per change, with column `op` in front.
 
@@ -39,7 +40,8 @@ def snapshot_diff(
     rows vanish. The last old row of a key counts; `order` says which is last
     and defaults to the reading position `pos` where there is one. Every new
     row is compared on its own. ADD and UPDATE show the new row, DELETE the
-    old one. `path=None` turns the exclusion of transient paths off.
+    old one. `path=None` turns the exclusion of transient paths off. For `hot`
+    see `match_unique`; `()` suits new listings known to hold a path once.
     """
     if path:
         # A full join lets no filter through, so both inputs are cut here.
@@ -48,7 +50,7 @@ def snapshot_diff(
     if order is None:
         order = ["pos"] if "pos" in old.columns else compared
     old = last_wins(old, keys, order)
-    both = match_unique(new, old, keys, "full", min_hot_rows)
+    both = match_unique(new, old, keys, "full", hot, min_hot_rows)
 
     same = F.lit(True)
     for name in compared:

@@ -32,8 +32,8 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 def hot_values(df: DataFrame, key: Column, min_rows: int = HOT_ROWS) -> list:
     """The few values of `key` that each hold a large share of the rows.
 
-    One pass over the key column with a bounded sketch. At most HOT_SHARE
-    values come back. Missing one costs speed only, never a row.
+    One pass over the key column with a sketch of bounded size, folded per task.
+    At most HOT_SHARE values come back. Missing one costs speed only, never a row.
     """
     found = df.select(key.alias("_k")).agg(
         F.call_function(
@@ -46,12 +46,17 @@ def hot_values(df: DataFrame, key: Column, min_rows: int = HOT_ROWS) -> list:
     return [t["item"] for t in row["top"] if t["count"] >= floor and t["item"] is not None]
 
 
+def key_column(keys: Sequence[str]) -> Column:
+    return F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
+
+
 def match_unique(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    min_hot_rows: int | None = HOT_ROWS,
+    hot: Sequence | None = None,
+    min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join to a side that has one row per key.
 
@@ -61,10 +66,11 @@ def match_unique(
 
     Left rows of hot keys are not shuffled: the right side has at most one row
     for each of at most HOT_SHARE hot keys, and only those rows are broadcast.
-    All other keys take the ordinary shuffled join. `min_hot_rows=None` skips
-    the search, for left sides known to have unique keys.
+    All other keys take the ordinary shuffled join. `hot` names the hot values
+    of `key_column(keys)` where they are known; `()` is for a left side whose
+    keys are unique. Else they are searched for, which runs `left` once.
     """
-    key = F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
+    key = key_column(keys)
     renamed = right.select(
         *keys,
         *[F.col(c).alias(RIGHT + c) for c in right.columns if c not in keys],
@@ -72,10 +78,11 @@ def match_unique(
     )
     if how == "full":
         left = left.withColumn("_l_hit", F.lit(True))
-    hot = [] if min_hot_rows is None else hot_values(left, key, min_hot_rows)
+    if hot is None:
+        hot = hot_values(left, key, min_hot_rows)
     if not hot:
         return left.join(renamed, list(keys), how)
-    is_hot = F.coalesce(key.isin(hot), F.lit(False))
+    is_hot = F.coalesce(key.isin(list(hot)), F.lit(False))
     cold = left.where(~is_hot).join(renamed.where(~is_hot), list(keys), how)
     # Hot keys exist on the left, so a full join of them is a left join. At most
     # HOT_SHARE rows are broadcast for one key column; a hash of several columns

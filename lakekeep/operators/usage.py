@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import (
-    ancestors, glob_match, is_file, lineage, parent, partition_value,
+    ancestors, as_column, glob_match, is_file, lineage, parent, partition_value,
 )
 from lakekeep.functions.scalars import known_atime, temperature, year_of
 
 # Root lists up to this length travel inside the plan; longer ones are joined.
 INLINE_ROOTS = 500
 
+# Up to this many, comparing prefixes is cheaper than building the ancestors.
+COMPARED_ROOTS = 16
+
 
 def totals() -> tuple[Column, Column]:
     size = F.coalesce(F.sum("size"), F.lit(0)).cast("bigint")
@@ -46,10 +49,16 @@ def under_roots(rows: DataFrame, roots: list[str], path: Column | str = "path")
 
     The roots are listed in the plan, so nothing is joined or shuffled.
     """
+    roots = list(dict.fromkeys(roots))
     if len(roots) > INLINE_ROOTS:
         raise ValueError("too many roots to list in the plan; pass them as a table")
-    named = F.array(*[F.lit(r) for r in dict.fromkeys(roots)]).cast("array<string>")
-    return rows.withColumn("root", F.explode(F.array_intersect(lineage(path), named)))
+    if len(roots) > COMPARED_ROOTS:
+        named = F.array(*[F.lit(r) for r in roots])
+        return rows.withColumn("root", F.explode(F.array_intersect(lineage(path), named)))
+    path = as_column(path)
+    hits = [F.when((path == r) | path.startswith(r.rstrip("/") + "/"), F.lit(r)) for r in roots]
+    none = F.lit(None).cast("string")
+    return rows.withColumn("root", F.explode(F.array(none, *hits))).where(F.col("root").isNotNull())
 
 
 def roots_table(inv: DataFrame, roots: list[str] | DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakekeep.functions.paths import is_file, is_transient, lineage, parent, protected, target_path
 from lakekeep.functions.scalars import minute_stamp, mode_of
 from lakekeep.operators.diff import ADD, DELETE, OPS, UPDATE
-from lakekeep.operators.keyed import HIT, HOT_ROWS, match_unique
+from lakekeep.operators.keyed import HIT, HOT_ROWS, hot_values, match_unique
 from lakekeep.operators.usage import file_flag
 
 # Job types and failure reasons.
@@ -33,7 +33,8 @@ def kinds_of(inv: DataFrame) -> DataFrame:
 
 
 def outcomes(
-    changes: DataFrame, target: DataFrame, job: str = COPY, min_hot_rows: int | None = HOT_ROWS
+    changes: DataFrame, target: DataFrame, job: str = COPY,
+    hot: Sequence | None = None, min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds to every change line what becomes of it.
 
@@ -44,7 +45,7 @@ def outcomes(
     """
     if check_job(job) == REMOVE:
         raise ValueError("source deletes are planned by plan_source_delete")
-    seen = match_unique(changes, kinds_of(target), ["path"], "left", min_hot_rows)
+    seen = match_unique(changes, kinds_of(target), ["path"], "left", hot, min_hot_rows)
     skipped = is_transient("path")
     file = is_file("permission")
     target_file = F.coalesce(F.col("_r_is_file"), F.lit(False))
@@ -85,20 +86,18 @@ def plan_actions(outcome: DataFrame, target_root: str = "/") -> DataFrame:
     builds = live & op.isin(ADD, UPDATE)
     replaces = live & (op == UPDATE) & F.col("target_file")
     makes = builds & ~F.col("file") & (~F.col("present") | replaces)
-    steps = F.array_compact(
-        F.array(
-            _step(0, "SKIP", F.col("skipped")),
-            _step(0, "FAIL", fails, F.col("reason")),
-            _step(1, "DELETE", replaces | (live & (op == DELETE) & F.col("present"))),
-            _step(2, "COPY", builds & F.col("file")),
-            _step(2, "MKDIR", makes),
-            _step(3, "CHOWN", builds, F.concat_ws(":", "owner", "grp")),
-            _step(4, "CHMOD", builds, mode_of("permission")),
-            _step(5, "TIMES", builds, minute_stamp("mtime")),
-        )
+    steps = F.array(
+        _step(0, "SKIP", F.col("skipped")),
+        _step(0, "FAIL", fails, F.col("reason")),
+        _step(1, "DELETE", replaces | (live & (op == DELETE) & F.col("present"))),
+        _step(2, "COPY", builds & F.col("file")),
+        _step(2, "MKDIR", makes),
+        _step(3, "CHOWN", builds, F.concat_ws(":", "owner", "grp")),
+        _step(4, "CHMOD", builds, mode_of("permission")),
+        _step(5, "TIMES", builds, minute_stamp("mtime")),
     )
     exploded = outcome.where(op.isNotNull()).withColumn("s", F.explode(steps))
-    return exploded.select(
+    return exploded.where(F.col("s").isNotNull()).select(
         "path", target_path(target_root, "path").alias("target"), "op", "s.seq", "s.action", "s.arg"
     )
 
@@ -156,7 +155,7 @@ def plan_source_delete(
     return hits if recursive else hits.where("is_file")
 
 
-def below(rows: DataFrame, folders: DataFrame, min_hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def below(rows: DataFrame, folders: DataFrame, min_hot_rows: int = HOT_ROWS) -> DataFrame:
     """(leaf): the parent folders of `rows` that are, or lie below, one of `folders`.
 
     Only distinct folders climb to their ancestors. A folder near the top is an
@@ -165,19 +164,25 @@ def below(rows: DataFrame, folders: DataFrame, min_hot_rows: int | None = HOT_RO
     """
     leaves = rows.select(parent("path").alias("leaf")).distinct()
     climbed = leaves.select("leaf", F.explode(lineage("leaf")).alias("path"))
-    return match_unique(climbed, folders.select("path").distinct(), ["path"], "left_semi", min_hot_rows).select(
-        "leaf"
-    ).distinct()
+    wanted = folders.select("path").distinct()
+    found = match_unique(climbed, wanted, ["path"], "left_semi", None, min_hot_rows)
+    return found.select("leaf").distinct()
 
 
 def delete_rows(
-    src: DataFrame, doomed: DataFrame, recursive: bool = False, min_hot_rows: int | None = HOT_ROWS
+    src: DataFrame, doomed: DataFrame, recursive: bool = False,
+    hot: Sequence | None = None, min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rows of `src` that survive the deletes of `plan_source_delete`."""
+    """Rows of `src` that survive the deletes of `plan_source_delete`.
+
+    `hot` are hot paths of `src` where known. Hot folders are searched for in
+    `src` itself, before any join.
+    """
     paths = doomed.select("path").distinct()
-    left = match_unique(src, paths, ["path"], "left_anti", min_hot_rows)
+    left = match_unique(src, paths, ["path"], "left_anti", hot, min_hot_rows)
     if not recursive:
         return left
     gone = below(src, doomed.where(~F.col("is_file")), min_hot_rows)
+    hot_folders = hot_values(src, parent("path"), min_hot_rows)
     owned = left.withColumn("leaf", parent("path"))
-    return match_unique(owned, gone, ["leaf"], "left_anti", min_hot_rows).select(*src.columns)
+    return match_unique(owned, gone, ["leaf"], "left_anti", hot_folders).select(*src.columns)

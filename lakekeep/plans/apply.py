@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakekeep.operators.diff import ADD, DELETE, OPS, UPDATE
-from lakekeep.operators.keyed import HIT, HOT_ROWS, RIGHT, last_wins, match_unique
+from lakekeep.operators.keyed import (
+    HIT, HOT_ROWS, RIGHT, hot_values, key_column, last_wins, match_unique,
+)
 from lakekeep.operators.usage import file_flag
 from lakekeep.plans.actions import KIND_CONFLICT, SOURCE_MISSING, delete_rows
 
@@ -32,7 +34,8 @@ def apply_changes(
     keys: Sequence[str] = ("path",),
     order: Sequence[str] | None = None,
     tree: bool = False,
-    min_hot_rows: int | None = HOT_ROWS,
+    hot: Sequence | None = None,
+    min_hot_rows: int = HOT_ROWS,
 ) -> Applied:
     """The snapshot after the changes, and the changes that could not be made.
 
@@ -41,34 +44,39 @@ def apply_changes(
     row is gone fails, and the target row is kept. With `tree` the rows are
     files and folders: a file over a folder fails too, and the DELETE of a
     folder takes what lies below it. Changes of an unknown op are left to
-    `outcomes`.
+    `outcomes`. `hot` are hot keys of the target, see `match_unique`.
     """
     keys = list(keys)
     columns = target.columns
+    if hot is None:
+        hot = hot_values(target, key_column(keys), min_hot_rows)
     known = changes.where(F.col("op").isin(*OPS))
-    told = last_wins(known.select(*keys, *dict.fromkeys(["op", *_order(known, order)])), keys, _order(known, order))
-    fresh = last_wins(source.select(*columns, *[c for c in _order(source, None) if c not in columns]),
-                      keys, _order(source, None)).select(*columns)
-    # Both sides have unique keys from here on, so neither can be hot.
-    joined = match_unique(told.select(*keys, "op"), fresh, keys, "left", None)
-    missing = F.col("op").isin(ADD, UPDATE) & F.col(HIT).isNull()
-    reason = F.when(missing, SOURCE_MISSING)
+    by = _order(known, order)
+    told = last_wins(known.select(*keys, *dict.fromkeys(["op", *by])), keys, by).select(*keys, "op")
+    fresh = source.select(*columns, *[c for c in _order(source, None) if c not in columns])
+    fresh = last_wins(fresh, keys, _order(source, None)).select(*columns)
     if tree:
-        held = target.select(*keys, file_flag(target).alias("held_file")).groupBy(*keys).agg(
-            F.max("held_file").alias("held_file")
-        )
-        source_file = file_flag(fresh.select(*columns))
-        marked = fresh.withColumn("_file", source_file)
-        joined = match_unique(told.select(*keys, "op"), marked, keys, "left", None).join(held, keys, "left")
-        conflict = F.col("op").isin(ADD, UPDATE) & F.col(RIGHT + "_file") & ~F.col("held_file")
+        fresh = fresh.withColumn("_file", file_flag(fresh))
+
+    # Both sides have unique keys from here on, so none of them can be hot.
+    decided = match_unique(told, fresh, keys, "left", ())
+    builds = F.col("op").isin(ADD, UPDATE)
+    reason = F.when(builds & F.col(HIT).isNull(), SOURCE_MISSING)
+    if tree:
+        held = target.select(*keys, file_flag(target).alias("held_file")).groupBy(*keys)
+        decided = decided.join(held.agg(F.max("held_file").alias("held_file")), keys, "left")
+        conflict = builds & F.col(RIGHT + "_file") & ~F.col("held_file")
         reason = reason.when(conflict, KIND_CONFLICT)
-    decided = joined.withColumn("reason", reason)
+    decided = decided.withColumn("reason", reason)
     made = decided.where(F.col("reason").isNull())
-    kept = match_unique(target, made.select(*keys), keys, "left_anti", min_hot_rows)
+
+    kept = target
     if tree:
-        folders = made.where(F.col("op") == DELETE).join(held.where(~F.col("held_file")).select(*keys), keys, "left_semi")
-        kept = delete_rows(kept, folders.select("path", F.lit(False).alias("is_file")), True, min_hot_rows)
-    taken = made.where(F.col("op").isin(ADD, UPDATE)).select(
+        folders = made.where((F.col("op") == DELETE) & ~F.col("held_file"))
+        folders = folders.select("path", F.lit(False).alias("is_file"))
+        kept = delete_rows(target, folders, True, hot, min_hot_rows)
+    kept = match_unique(kept, made.select(*keys), keys, "left_anti", hot)
+    taken = made.where(builds).select(
         *[F.col(c) if c in keys else F.col(RIGHT + c).alias(c) for c in columns]
     )
     failures = decided.where(F.col("reason").isNotNull()).select(*keys, "op", "reason")

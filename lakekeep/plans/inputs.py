@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.functions.scalars import minute_stamp
-from lakekeep.session import load
+from lakekeep.session import load, work_path
 
 AS_OF = "2001-11-04 00:00:00"
 OLD_DAY, NEW_DAY = "2000-01-01", "2001-01-01"
@@ -78,10 +78,11 @@ def permission_of() -> Column:
 
 
 def tree_at(spark: SparkSession, sf: str, day: str) -> DataFrame:
-    """The file tree as it stood on a day: files, then their folders.
+    """The file tree as it stood on a day, as a stored table: files and their folders.
 
     A file appears with its order, grows with every finished line, is touched
-    by every line, and expires when untouched for some years.
+    by every line, and expires when untouched for some years. The files are
+    joined together once; the folders come from what was stored.
     """
     at = F.lit(day).cast("timestamp_ntz")
     done = F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))
@@ -104,13 +105,17 @@ def tree_at(spark: SparkSession, sf: str, day: str) -> DataFrame:
             F.col("o_orderpriority").alias("priority"),
         )
     )
+    path = work_path(spark, "tree")
+    files.write.parquet(path)
+    stored = spark.read.schema(files.schema).parquet(path)
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    folders = files.groupBy(folder.alias("path"), "grp").agg(F.max("mtime").alias("mtime")).select(
+    folders = stored.groupBy(folder.alias("path"), "grp").agg(F.max("mtime").alias("mtime")).select(
         "path", F.lit("drwxr-xr-x").alias("permission"), F.lit("-").alias("replication"),
         F.lit("hdfs").alias("owner"), "grp", F.lit(0).cast("bigint").alias("size"), "mtime",
         F.lit("0-FOLDER").alias("priority"),
     )
-    return files.unionByName(folders)
+    folders.write.mode("append").parquet(path)
+    return spark.read.schema(files.schema).parquet(path)
 
 
 def tree_sql(name: str, day: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakekeep.operators.diff import ADD
 
+WHITE = "\t\n\x0b\f\r"
 LISTING_FIELDS = ("permission", "replication", "owner", "grp", "size", "date", "time", "path")
 
 
@@ -26,8 +27,14 @@ def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def fields_of(raw: Column) -> Column:
-    """Blank-separated fields. Blanks at the end do not count, a leading one does."""
-    return F.split(F.regexp_replace(raw, r"\s+$", ""), r"\s+")
+    """Blank-separated fields. Blanks at the end do not count, a leading one does.
+
+    White space of all kinds is made a blank and empty pieces are dropped, which
+    needs no regular expression.
+    """
+    spaced = F.translate(raw, WHITE, " " * len(WHITE))
+    words = F.array_remove(F.split(spaced, " "), "")
+    return F.when(spaced.startswith(" "), F.concat(F.array(F.lit("")), words)).otherwise(words)
 
 
 def split_valid(lines: DataFrame, counts: Sequence[int]) -> tuple[DataFrame, DataFrame]:
