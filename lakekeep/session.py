@@ -28,6 +28,10 @@ def build_session(app: str = "lakekeep", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Scratch folders of local sessions that name none, by application.
+_local_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir.
 
@@ -37,11 +41,13 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="lakekeep-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = context.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="lakekeep-")
+    return _local_roots[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
