@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import parent
 from lakekeep.operators.running import running_before
+from lakekeep.operators.split import whole
 from lakekeep.sources.files import read_text_tree
 from lakekeep.sources.sinks import write_text_tier
 
@@ -25,7 +26,7 @@ def plan_compaction(inv: DataFrame, target_bytes: int) -> DataFrame:
     folder are laid end to end and cut every `target_bytes`.
     """
     placed = running_before(inv.withColumn("dir", parent("path")), ["dir"], ["path"], "size", "before")
-    return placed.withColumn("bin", F.floor(F.col("before") / target_bytes).cast("bigint")).drop("before")
+    return placed.withColumn("bin", whole(F.col("before"), F.lit(target_bytes))).drop("before")
 
 
 def content_digest(lines: DataFrame) -> DataFrame:

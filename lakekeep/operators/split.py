@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekeep.operators.keyed import HOT_ROWS, hot_values
@@ -13,6 +13,11 @@ BUCKET_DIGITS = 4
 COPY_BLOCK = 1_000_000
 
 
+def whole(value: Column, by: Column) -> Column:
+    """Whole-number quotient, without a detour over doubles."""
+    return F.call_function("div", value, by)
+
+
 def split_work(
     df: DataFrame,
     n: int,
@@ -30,7 +35,8 @@ def split_work(
     same one and nothing has to be pinned. A row's index is the number of rows
     in earlier buckets plus its place in its own bucket. Rows of a value that
     would fill a bucket alone are ordered by their content too, and their exact
-    copies are counted before the shuffle instead of being sorted.
+    copies are counted before the shuffle instead of being sorted. `df` is run
+    for the sizes and again for the rows, so it had better be a stored table.
     """
     if mode not in ("even", "floor"):
         raise ValueError(f"unknown mode: {mode}")
@@ -56,10 +62,10 @@ def split_work(
     )
     inside = Window.partitionBy("_b").orderBy("_h", *[c for c in columns])
     place = F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("_place", F.coalesce(place, F.lit(0))).join(F.broadcast(offsets), "_b")
+    placed = rows.withColumn("_place", F.coalesce(place, F.lit(0))).join(F.broadcast(offsets), "_b", "left")
     first = F.col("_base") + F.col("_place")
-    per_chunk = F.ceil if mode == "even" else F.floor
-    size = F.greatest(per_chunk(F.col("_total") / n).cast("bigint"), F.lit(1))
+    rounding = n - 1 if mode == "even" else 0
+    size = F.greatest(whole(F.col("_total") + rounding, F.lit(n)), F.lit(1))
     if not hot:
         indexed = placed.withColumn("idx", first)
     else:
@@ -70,7 +76,7 @@ def split_work(
         )
         upto = F.least(F.col("_last"), F.col("_from") + COPY_BLOCK - 1)
         indexed = runs.repartition("_from").withColumn("idx", F.explode(F.sequence("_from", upto)))
-    chunk = F.floor(F.col("idx") / size).cast("int")
+    chunk = whole(F.col("idx"), size).cast("int")
     return indexed.select(*columns, F.col("idx").cast("bigint").alias("idx"), chunk.alias("chunk"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import (
@@ -31,6 +31,11 @@ def file_flag(inv: DataFrame) -> Column:
     return is_file("permission") if "permission" in inv.columns else F.lit(True)
 
 
+def summed(groups: GroupedData) -> DataFrame:
+    """Partial files and bytes added up."""
+    return groups.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
 def usage(inv: DataFrame, pattern: str) -> DataFrame:
     """One row (bytes, files) for the files a glob names; zeros when there is none."""
     return inv.where(file_flag(inv) & glob_match("path", pattern)).agg(*totals())
@@ -77,10 +82,10 @@ def _facts(inv: DataFrame, roots: list[str] | DataFrame, facts: DataFrame, dims:
     wanted = roots_table(inv, roots)
     by_folder = facts.withColumn("root", F.explode(ancestors("path"))).groupBy("root", *dims)
     folded = by_folder.agg(*totals()).join(wanted, "root", "left_semi")
-    named = facts.withColumnRenamed("path", "root").join(wanted, "root", "left_semi")
-    return folded.unionByName(named.groupBy("root", *dims).agg(*totals())).groupBy(
-        "root", *dims
-    ).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    # A root may also be a file; rows of one path are folded before the join too.
+    named = facts.withColumnRenamed("path", "root").groupBy("root", *dims)
+    named = named.agg(*totals()).join(wanted, "root", "left_semi")
+    return summed(folded.unionByName(named).groupBy("root", *dims))
 
 
 def usage_cube(
@@ -108,9 +113,15 @@ def dir_counts(inv: DataFrame, roots: list[str] | DataFrame) -> DataFrame:
     return counted.select("root", F.col("files").alias("dirs"))
 
 
-def dir_rollup(inv: DataFrame, roots: list[str] | DataFrame) -> DataFrame:
-    """(root, bytes, files, dirs) for every given root; an unknown root gives zeros."""
-    sums = usage_cube(inv, roots, dims=())
+def dir_rollup(
+    inv: DataFrame, roots: list[str] | DataFrame, sums: DataFrame | None = None
+) -> DataFrame:
+    """(root, bytes, files, dirs) for every given root; an unknown root gives zeros.
+
+    `sums` are files and bytes per root where they are known already.
+    """
+    if sums is None:
+        sums = usage_cube(inv, roots, dims=())
     out = roots_table(inv, roots).join(sums, "root", "left").join(dir_counts(inv, roots), "root", "left")
     return out.select("root", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("bytes", "files", "dirs")])
 
@@ -133,10 +144,9 @@ def _long_form(cube: DataFrame) -> DataFrame:
             for d in ("mtime_year", "atime_year", "temperature")
         ]
     )
-    return (
+    return summed(
         cube.select("root", "files", "bytes", F.explode(pairs).alias("p"))
         .groupBy("root", F.col("p.dimension").alias("dimension"), F.col("p.key").alias("key"))
-        .agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
     )
 
 
@@ -144,10 +154,10 @@ def dir_summary(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | st
     """All breakdowns of every root in long form, plus its totals.
 
     The inventory is read once into a small cube (years by years by
-    temperatures per root); all breakdowns are folded from that.
+    temperatures per root); all breakdowns and the totals are folded from that.
     """
     cube = usage_cube(inv, roots, as_of)
-    flat = dir_rollup(inv, roots).select(
+    flat = dir_rollup(inv, roots, summed(cube.groupBy("root"))).select(
         "root",
         F.explode(
             F.array(
@@ -166,7 +176,8 @@ def dir_summary_maps(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column
 
     A map has one entry per year or temperature, so the collected lists stay short.
     """
-    long = _long_form(usage_cube(inv, roots, as_of))
+    cube = usage_cube(inv, roots, as_of)
+    long = _long_form(cube)
 
     def folded(dimension: str, value: str) -> Column:
         entry = F.when(F.col("dimension") == dimension, F.struct("key", value))
@@ -180,4 +191,4 @@ def dir_summary_maps(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column
         folded("atime_year", "bytes").alias("bytes_per_atime_year"),
         folded("temperature", "bytes").alias("bytes_per_temperature"),
     )
-    return dir_rollup(inv, roots).join(maps, "root", "left")
+    return dir_rollup(inv, roots, summed(cube.groupBy("root"))).join(maps, "root", "left")

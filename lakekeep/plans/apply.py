@@ -14,6 +14,7 @@ from lakekeep.operators.keyed import (
 )
 from lakekeep.operators.usage import file_flag
 from lakekeep.plans.actions import KIND_CONFLICT, SOURCE_MISSING, delete_rows
+from lakekeep.session import pinned
 
 
 class Applied(NamedTuple):
@@ -53,7 +54,9 @@ def apply_changes(
     known = changes.where(F.col("op").isin(*OPS))
     by = _order(known, order)
     told = last_wins(known.select(*keys, *dict.fromkeys(["op", *by])), keys, by).select(*keys, "op")
+    # Only changed rows of the source are worth a shuffle.
     fresh = source.select(*columns, *[c for c in _order(source, None) if c not in columns])
+    fresh = match_unique(fresh, told.select(*keys), keys, "left_semi", None, min_hot_rows)
     fresh = last_wins(fresh, keys, _order(source, None)).select(*columns)
     if tree:
         fresh = fresh.withColumn("_file", file_flag(fresh))
@@ -67,7 +70,8 @@ def apply_changes(
         decided = decided.join(held.agg(F.max("held_file").alias("held_file")), keys, "left")
         conflict = builds & F.col(RIGHT + "_file") & ~F.col("held_file")
         reason = reason.when(conflict, KIND_CONFLICT)
-    decided = decided.withColumn("reason", reason)
+    # The decisions feed every part of the result, so they are stored once.
+    decided = pinned(decided.withColumn("reason", reason), "decided")
     made = decided.where(F.col("reason").isNull())
 
     kept = target

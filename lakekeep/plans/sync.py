@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakekeep.operators.diff import ADD, exclude_transient, snapshot_diff
 from lakekeep.operators.split import split_work
 from lakekeep.plans.apply import apply_changes
+from lakekeep.session import pinned
 from lakekeep.sources.sinks import write_chunks, write_parquet_tier
 
 # Default numbers of work chunks.
@@ -26,7 +27,8 @@ class Synced(NamedTuple):
 
 def _run(spark: SparkSession, target: DataFrame, source: DataFrame, changes: DataFrame,
          out: str, chunks: int, seed: int, keys: Sequence[str], tier: str) -> Synced:
-    write_chunks(split_work(changes, chunks, seed, keys[0]), f"{out}/changes")
+    stored = pinned(changes, "changes")
+    write_chunks(split_work(stored, chunks, seed, keys[0]), f"{out}/changes")
     landed = spark.read.parquet(f"{out}/changes")
     columns = [c for c in target.columns if c != "pos"]
     done = apply_changes(target.select(*columns), source, landed, keys)
