@@ -40,7 +40,7 @@ def split_work(
     """
     if mode not in ("even", "floor"):
         raise ValueError(f"unknown mode: {mode}")
-    text = F.concat(F.lit(str(seed)), F.col(on))
+    text = F.concat(F.lit(str(seed)), F.coalesce(F.col(on), F.lit("")))
     hot = hot_values(df, F.col(on), min_hot_rows)
     columns = df.columns
     if hot:

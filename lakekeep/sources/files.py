@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import squeeze
 
+# Fixed value: the folder text of a partition whose value is null.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
 
 def scan_files(spark: SparkSession, glob: str | list[str], recursive: bool = False) -> DataFrame:
     """(path, size, mtime) of the files a glob names; no file content is read.
@@ -44,7 +47,8 @@ def partition_filter(spark: SparkSession, table: str, values: list[str]) -> Colu
         raise ValueError(f"{table} has {len(names)} partition columns, got {len(values)} values")
     hit = F.lit(True)
     for name, value in zip(names, values):
-        hit = hit & (F.col(name) == F.lit(value))
+        is_null = value == NULL_PARTITION
+        hit = hit & (F.col(name).isNull() if is_null else F.col(name) == F.lit(value))
     return hit
 
 
