@@ -52,8 +52,8 @@ def squeeze(path: Column | str) -> Column:
 
 def parent(path: Column | str) -> Column:
     path = as_column(path)
-    cut = F.regexp_replace(path, "/[^/]*$", "")
-    return F.when(cut == "", F.lit("/")).otherwise(cut)
+    length = F.char_length(path) - F.char_length(base_name(path)) - 1
+    return F.when(length <= 0, F.lit("/")).otherwise(F.substring(path, F.lit(1), length))
 
 
 def base_name(path: Column | str) -> Column:
@@ -143,10 +143,9 @@ def partition_value(path: Column | str, key: str, strict: bool = True) -> Column
     Strict asks for a whole key. Loose takes the first `key=` anywhere, so
     `date` also finds `logdate=`.
     """
-    path = as_column(path)
-    left = "(?:^|/)" if strict else ""
-    pattern = f"{left}{re.escape(key)}=([^/]*)"
-    return F.when(path.rlike(pattern), F.regexp_extract(path, pattern, 1))
+    left = "(?<![^/])" if strict else ""
+    found = F.regexp_extract(as_column(path), f"{left}{re.escape(key)}=[^/]*", 0)
+    return F.substring(F.nullif(found, F.lit("")), F.lit(len(key) + 2), F.char_length(found))
 
 
 def partition_values(path: Column | str) -> Column:

@@ -50,7 +50,7 @@ def minute_stamp(ts: Column | str) -> Column:
 
 
 def year_of(ts: Column | str) -> Column:
-    return F.date_format(as_column(ts), "yyyy")
+    return F.lpad(F.year(as_column(ts)).cast("string"), 4, "0")
 
 
 def known_atime(atime: Column | str) -> Column:

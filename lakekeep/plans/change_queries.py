@@ -241,7 +241,7 @@ def sync_diff_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sync_full", f"with {TREES} select {LISTED_SQL} from new")
 def sync_full_query(spark: SparkSession, sf: str) -> DataFrame:
-    return listed(sync_full(spark, tree_at(spark, sf, NEW_DAY), work_path(spark, "sync")).snapshot)
+    return listed(sync_full(spark, tree_at(spark, sf, NEW_DAY), work_path(spark, "sync"), stored=True).snapshot)
 
 
 @query("split_work", f"""with {INV}, numbered as (

@@ -27,8 +27,8 @@ class Synced(NamedTuple):
 
 def _run(spark: SparkSession, target: DataFrame, source: DataFrame, changes: DataFrame,
          out: str, chunks: int, seed: int, keys: Sequence[str], tier: str) -> Synced:
-    stored = pinned(changes, "changes")
-    write_chunks(split_work(stored, chunks, seed, keys[0]), f"{out}/changes")
+    shuffled = split_work(pinned(changes, "changes"), chunks, seed, keys[0])
+    write_chunks(shuffled, f"{out}/changes")
     landed = spark.read.parquet(f"{out}/changes")
     columns = [c for c in target.columns if c != "pos"]
     done = apply_changes(target.select(*columns), source, landed, keys)
@@ -40,22 +40,30 @@ def _run(spark: SparkSession, target: DataFrame, source: DataFrame, changes: Dat
 def sync_diff(
     spark: SparkSession, old: DataFrame, new: DataFrame, out: str, chunks: int = DIFF_CHUNKS,
     seed: int = 7, ignore_time: bool = False, keys: Sequence[str] = ("path",), tier: str = "WARM",
+    stored: bool = False,
 ) -> Synced:
     """Diff, shuffle, split, apply. Everything is written below `out`, nothing is overwritten.
 
     `old` is the target's listing and `new` the source's. The change list is
-    written once and read back, so the steps after it start from files.
+    written once and read back, so the steps after it start from files. So are
+    the listings, lest each pass parse their text again; `stored` says that
+    they are columnar tables already.
     """
-    changes = snapshot_diff(old, new, keys, ignore_time=ignore_time)
-    return _run(spark, exclude_transient(old), exclude_transient(new), changes, out, chunks, seed, keys, tier)
+    old, new = exclude_transient(old), exclude_transient(new)
+    if not stored:
+        old, new = pinned(old, "old"), pinned(new, "new")
+    changes = snapshot_diff(old, new, keys, ignore_time=ignore_time, path=None)
+    return _run(spark, old, new, changes, out, chunks, seed, keys, tier)
 
 
 def sync_full(
     spark: SparkSession, source: DataFrame, out: str, chunks: int = FULL_CHUNKS,
-    seed: int = 7, keys: Sequence[str] = ("path",), tier: str = "WARM",
+    seed: int = 7, keys: Sequence[str] = ("path",), tier: str = "WARM", stored: bool = False,
 ) -> Synced:
     """Every source row as an ADD on an empty target."""
     kept = exclude_transient(source)
+    if not stored:
+        kept = pinned(kept, "new")
     changes = kept.withColumn("op", F.lit(ADD))
     empty = kept.where(F.lit(False))
     return _run(spark, empty, kept, changes, out, chunks, seed, keys, tier)
