@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import parent
@@ -29,8 +29,8 @@ def plan_compaction(inv: DataFrame, target_bytes: int) -> DataFrame:
     return placed.withColumn("bin", whole(F.col("before"), F.lit(target_bytes))).drop("before")
 
 
-def content_digest(lines: DataFrame) -> DataFrame:
-    """One row telling two line multisets apart, whatever their order.
+def digest_columns() -> list[Column]:
+    """Aggregates telling two line multisets apart, whatever their order.
 
     Count, and sums of two halves of the line's md5, added as decimals so they
     cannot overflow.
@@ -39,10 +39,14 @@ def content_digest(lines: DataFrame) -> DataFrame:
     halves = [
         F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)") for start in (1, 17)
     ]
-    return lines.agg(
+    return [
         F.count(F.lit(1)).alias("lines"),
         *[F.sum(h).cast("decimal(38,0)").alias(f"digest_{i}") for i, h in enumerate(halves)],
-    )
+    ]
+
+
+def content_digest(lines: DataFrame) -> DataFrame:
+    return lines.agg(*digest_columns())
 
 
 @dataclass(frozen=True)
@@ -70,13 +74,16 @@ def compact_text(
 ) -> CompactionReport:
     """Rewrite all text below `src` into few files at `dst` in the tier's codec.
 
-    Map-only: one output file per packed input share. The source is left
-    alone; the result is read back and compared before the call returns, so a
-    caller may replace the source afterwards (`move_tree`).
+    `src` may be a glob. Map-only: one output file per packed input share. The
+    source is left alone and read once; its lines are digested on their way to
+    the writer. The result is read back and compared before the call returns,
+    so a caller may replace the source afterwards (`move_tree`).
     """
-    write_text_tier(packed_scan(spark, src, target_bytes, line_sep), dst, tier)
-    before = content_digest(read_text_tree(spark, src, line_sep)).first()
-    after = content_digest(read_text_tree(spark, dst, line_sep)).first()
+    seen = Observation("compaction")
+    lines = packed_scan(spark, src, target_bytes, line_sep).observe(seen, *digest_columns())
+    write_text_tier(lines, dst, tier)
+    before = seen.get
+    after = content_digest(read_text_tree(spark, dst, line_sep)).first().asDict()
     if before != after:
         raise RuntimeError(f"compaction changed the lines of {src}; {dst} must not be used")
     return CompactionReport(after["lines"], dst, tier.upper())

@@ -93,19 +93,25 @@ def metric_points(beans: DataFrame, keep_null: bool = False) -> DataFrame:
     """
     bean, name = F.col("bean"), F.col("name")
     usage = nested_json(bean["NodeUsage"], "struct<nodeUsage:map<string,string>>")["nodeUsage"]
+    # The nested documents are parsed once per bean, into columns of their own.
+    parsed = select_beans(beans).select(
+        "ts", "namespace", "node", "name", "bean",
+        F.when(name == INFO, usage).alias("_usage"),
+        F.when(name == INFO, contacts(bean)).alias("_seen"),
+    )
     contact = F.array(
         *[
             F.struct(F.lit(n).alias("measurement"), v.cast("double").alias("value"))
-            for n, v in zip(CONTACT_FIELDS, contact_values(contacts(bean)))
+            for n, v in zip(CONTACT_FIELDS, contact_values(F.col("_seen")))
         ]
     )
     points = (
         F.when(name == NAMESYSTEM, field_points(bean, NAMESYSTEM_FIELDS, LONG))
         .when(name == STATE, field_points(bean, STATE_FIELDS, LONG))
-        .when(name == INFO, F.concat(field_points(usage, USAGE_FIELDS, PERCENTAGE_STRING), contact))
+        .when(name == INFO, F.concat(field_points(F.col("_usage"), USAGE_FIELDS, PERCENTAGE_STRING), contact))
         .when(name == JVM, field_points(bean, JVM_FIELDS, LONG))
     )
-    rows = select_beans(beans).select("ts", "namespace", "node", F.explode(points).alias("p"))
+    rows = parsed.select("ts", "namespace", "node", F.explode(points).alias("p"))
     flat = rows.select("ts", "namespace", "node", "p.measurement", "p.value")
     return flat if keep_null else flat.where(F.col("value").isNotNull())
 

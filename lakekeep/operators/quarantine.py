@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import glob_match, trash_path
@@ -85,8 +85,9 @@ def quarantine_partition(
     require_external(spark, table)
     goal = f"{trash_root.rstrip('/')}/{checked_day(day)}/{table}/{'/'.join(values)}"
     rows = spark.table(table).where(partition_filter(spark, table, values))
-    rows.write.parquet(goal)
-    count = rows.count()
+    seen = Observation("quarantine")
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(goal)
+    count = seen.get["rows"]
     if spark.read.schema(rows.schema).parquet(goal).count() != count:
         raise RuntimeError(f"trash copy of {table} {values} is incomplete")
     unregister_partition(spark, table, values)
