@@ -40,8 +40,8 @@ def write_trash(trashed: DataFrame, trash_root: str) -> None:
 
 
 def purge(trash: DataFrame, day: str) -> DataFrame:
-    """The trash without one day."""
-    return trash.where(F.col("trash_day") != checked_day(day))
+    """The trash without one day; rows that tell no day stay."""
+    return trash.where(~F.col("trash_day").eqNullSafe(checked_day(day)))
 
 
 def _hadoop(spark: SparkSession, path: str):

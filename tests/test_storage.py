@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakekeep.operators.compaction import compact_text, content_digest, line_count, packed_scan
 from lakekeep.operators.partitions import missing_partitions, register_partitions, registered_partitions
 from lakekeep.operators.quarantine import (
-    checked_day, move_tree, purge_trash, quarantine, quarantine_partition, write_trash,
+    checked_day, move_tree, purge, purge_trash, quarantine, quarantine_partition, write_trash,
 )
 from lakekeep.session import shared_root
 from lakekeep.sources.files import read_text_tree, scan_files, scan_partition
@@ -69,6 +69,11 @@ def test_days_are_checked():
             checked_day(bad)
 
 
+def test_purge_keeps_rows_without_a_day(spark):
+    trash = spark.createDataFrame([(1, "20240101"), (2, "20240102"), (3, None)], "v int, trash_day string")
+    assert sorted(r.v for r in purge(trash, "20240101").collect()) == [2, 3]
+
+
 def test_purge_trash(spark, tmp_path):
     root = str(tmp_path / "trash")
     df = spark.createDataFrame([(1,), (5,)], "v int")
