@@ -18,7 +18,7 @@ n - ceil(2 t n / (1 + t)) + 1 of the smaller.
   (x, y) the computed answer of (x, q) with q similar to y is used: Jaccard distance is
   a metric, so d(x, q) - d(q, y) above 1 - t rules the pair out.
 
-What is left is verified on the whole sets with integer arithmetic. Shingles
+Pairs that are left must share enough of their prefixes, and are then verified on the whole sets with integer arithmetic. Shingles
 are compared by 64-bit hashes: for two texts of a thousand words the chance
 that one pair of different shingles agrees is below 10^-13.
 
@@ -169,9 +169,10 @@ def bit_map(values: DataFrame, column: str) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, percent: int, bits: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_shingles, fp (fingerprint of the set) and the prefix of every text."""
+    """doc_id, text_hash, n_shingles, fp (fingerprint of the set) and the prefix of every text."""
     marks = broadcast(bits)
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("fp", "binary").add("prefix", ArrayType(LongType()))
+    docs = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    schema = docs.select("doc_id", "text_hash").schema.add("n_shingles", "long").add("fp", "binary").add("prefix", ArrayType(LongType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +182,7 @@ def prefixes(docs: DataFrame, percent: int, bits: np.ndarray | None = None) -> D
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, end - start),
+                        batch.column(2).slice(start, end - start),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([fingerprint(s) for s in sets], pa.binary()),
                         _lists([in_order(s, marks.value, percent) for s in sets]),
@@ -188,7 +190,12 @@ def prefixes(docs: DataFrame, percent: int, bits: np.ndarray | None = None) -> D
                     names=schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def text_hash() -> Column:
+    """Tells rows with the same doc_id apart."""
+    return F.xxhash64("text")
 
 
 def fingerprint(tokens: np.ndarray) -> bytes:
@@ -217,9 +224,9 @@ def frequent_map(docs: DataFrame, percent: int, above: int = FREQUENT) -> np.nda
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) of the wanted sets (sid, fp): the texts are read again, and those in question hashed."""
+    """(sid, tokens) of the wanted sets (sid, fp, least_id): the texts are read again, and those in question hashed."""
     keyed = docs.select("text", F.xxhash64("doc_id").alias("h"))
-    marks = broadcast(bit_map(wanted.select(F.xxhash64("sid").alias("h")), "h"))
+    marks = broadcast(bit_map(wanted.select(F.xxhash64("least_id").alias("h")), "h"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +241,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     found = keyed.mapInArrow(run, "fp binary, tokens binary")
     # One row for a set: its copies that were hashed as well are equal.
-    return found.join(wanted, "fp").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    return found.groupBy("fp").agg(F.first("tokens").alias("tokens")).join(wanted.select("fp", "sid"), "fp").select("sid", "tokens")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -285,6 +292,32 @@ def _sizes(n: str, m: str, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
+def listed_tokens(live: DataFrame) -> DataFrame:
+    """n and the listed prefix tokens of every set: no more than its prefix."""
+    return live.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
+
+
+def plausible(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose prefixes share enough.
+
+    Shared tokens lie in both prefixes or behind the end of the prefix that ends
+    first, so there are at most (shared prefix tokens) + max(n - prefix) of them.
+    """
+    for c in ("x", "y"):
+        pairs = pairs.join(listed.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")), c)
+    seen = F.size(F.array_intersect("tx", "ty"))
+    behind = F.greatest(*[F.floor((percent * F.col(n) + 99) / 100) - 1 for n in ("nx", "ny")])
+    return pairs.where((100 + percent) * (seen + behind) >= percent * (F.col("nx") + F.col("ny"))).select("x", "y")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(x, y, nx, ny, shared) of the pairs on their whole sets, stored."""
+    pairs = stored(pairs, f"{name}-pairs")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
+    tokens = stored(full_sets(docs, sets.join(asked, "sid", "left_semi")), f"{name}-tokens")
+    return stored(overlaps(pairs, tokens), name)
+
+
 def other_pairs(live: DataFrame, label: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """The pairs of different components that blocks and computed answers do not rule out."""
     own = live.join(label, live["sid"] == label["node"], "left").select(
@@ -318,36 +351,54 @@ def other_pairs(live: DataFrame, label: DataFrame, done: DataFrame, percent: int
     return pairs
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component (null for sets without shingles) and component_id of every row."""
     docs = only(docs, "doc_id", "text")
     bits = frequent_map(docs, percent)
     indexed = stored(prefixes(docs, percent, bits), "prefixes")
     filled = indexed.where(F.col("n_shingles") > 0)
-    # A set goes by its smallest doc_id, or by a negative hash where it has none.
-    name = F.coalesce(F.min("doc_id"), F.min(-F.abs(F.xxhash64("fp")) - 1))
-    sets = stored(filled.groupBy("fp").agg(name.alias("sid"), F.min("doc_id").alias("least_id")), "sets")
+    # A set goes by a number that is written down once.
+    sets = filled.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    sets = stored(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     one = filled.join(sets, "fp").where(F.col("doc_id").eqNullSafe(F.col("least_id")))
     one = one.select("sid", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     entries = one.repartition("token")
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("listed"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     live = stored(entries.join(lists.where("lo < hi"), "token").select("token", "sid", "n", "pos", "listed").distinct(), "live")
-    asked = sets.join(live.select("sid").distinct(), "sid", "left_semi").select("fp", "sid")
-    tokens = stored(full_sets(docs, asked), "tokens")
-    done = stored(overlaps(first_pairs(live, percent), tokens), "first")
+    listed = stored(listed_tokens(live), "listed")
+    done = verified(plausible(first_pairs(live, percent), listed, percent), docs, sets, "first")
     links = done.where(linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(links)
-    rest = stored(overlaps(other_pairs(live, label, done, percent), tokens), "rest").where(linked(percent))
+    rest = plausible(other_pairs(live, label, done, percent), listed, percent)
+    rest = verified(rest, docs, sets, "rest").where(linked(percent))
     # The second round joins whole components.
-    top = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
     ends = rest.select("x", "y")
     for c in ("x", "y"):
-        ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
-    merged = components(ends.select(top("x").alias("a"), top("y").alias("b")))
+        ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_top")), c, "left")
+    merged = components(ends.select(F.coalesce("x_top", "x").alias("a"), F.coalesce("y_top", "y").alias("b")))
     named = sets.join(label, sets["sid"] == label["node"], "left").select("fp", "least_id", F.coalesce("component", "sid").alias("c"))
-    named = named.join(merged, named["c"] == merged["node"], "left").select("fp", "least_id", F.coalesce("component", "c").alias("c"))
-    ids = named.groupBy("c").agg(F.min("least_id").alias("component_id"))
-    final = named.join(ids, "c").select("fp", "component_id")
-    found = indexed.select("doc_id", "n_shingles", "fp").join(final, "fp", "left")
+    named = named.join(merged, named["c"] == merged["node"], "left").select("fp", "least_id", F.coalesce("component", "c").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    final = named.join(ids, "component").select("fp", "component", "component_id")
+    found = indexed.drop("prefix").join(final, "fp", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"))
+    return found.select("doc_id", "text_hash", "n_shingles", "component", own.alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
+    return jaccard_classes(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of every class of linked texts stays: that with the smallest doc_id. Texts without shingles all stay."""
+    rows = jaccard_classes(docs, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    kept = rows.where("component is not null").groupBy("component").agg(first.alias("f")).select("f.doc_id", "f.text_hash")
+    kept = kept.unionByName(rows.where("component is null").select("doc_id", "text_hash")).distinct()
+    keyed = docs.withColumn("_hash", text_hash())
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept"))
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_hash"] == kept["_kept"]))
+    # Rows repeated in full are copies as well.
+    again = Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))
+    return found.withColumn("_k", F.row_number().over(again)).where("_k = 1").select(*docs.columns)

@@ -34,8 +34,9 @@ from lakekeep.llm.common import only, ship
 SAMPLED, EXCERPT = 120, 240
 SEGMENT = 512
 UND = "und"
-#: Phrases per byte of the best language beyond which a text is no language that was learned.
-FOREIGN = 0.5
+#: Phrases per byte of the best language beyond which a text is none of the languages learned,
+#: and the bytes from which that can be told.
+FOREIGN, FOREIGN_BYTES = 0.5, 64
 FRESH = np.int32(1 << 30)
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters are blanks.
@@ -52,10 +53,14 @@ def training_sample(df: DataFrame, usable: Column, sampled: int = SAMPLED, excer
     """
     hashed = only(df, "text", "lang", "doc_id").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = hashed.select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    low = F.shiftrightunsigned("h", 33) < F.lit(8.0 * sampled) / F.col("n") * F.lit(float(1 << 31))
+    # One number for each label: fewer than the sampled rows, which come to the driver as well.
+    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return {}
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 8.0 * sampled / n * (1 << 31))])
+    low = F.shiftrightunsigned("h", 33) < F.element_at(limits, F.col("lang"))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.char_length("text") - excerpt)) + 1
-    some = hashed.join(counts, "lang").where(low).groupBy("lang", "h").agg(
+    some = hashed.where(low).groupBy("lang", "h").agg(
         F.min(F.substring(F.col("text"), start.cast("int"), F.lit(excerpt))).alias("part")
     )
     first = Window.partitionBy("lang").orderBy("h", "part")
@@ -162,12 +167,12 @@ class CrossParser:
             out[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and phrases per byte of each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Language, score, phrases per byte and bytes parsed of each text."""
         lettered = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
-        lang, score, rate = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        lang, score, rate, parsed = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0] * len(texts)
         if not lettered:
-            return lang, score, rate
+            return lang, score, rate, parsed
         symbols = [normal_bytes(texts[k]) for k in lettered]
         phrases = self.phrases(symbols)
         normalised = phrases * np.array(self.bits)
@@ -176,8 +181,9 @@ class CrossParser:
         for row, k in enumerate(lettered):
             lang[k] = self.languages[best[row]]
             score[k] = float(1 - ranked[row, 0] / ranked[row, 1]) if len(self.languages) > 1 and ranked[row, 1] else 1.0
-            rate[k] = float(phrases[row, best[row]] / max(1, len(symbols[row])))
-        return lang, score, rate
+            parsed[k] = len(symbols[row])
+            rate[k] = float(phrases[row, best[row]] / max(1, parsed[k]))
+        return lang, score, rate, parsed
 
 
 _parsers: dict[int, CrossParser] = {}
@@ -192,20 +198,25 @@ def parser_of(samples: dict[str, list[str]]) -> CrossParser:
     return _parsers[key]
 
 
+def foreign() -> Column:
+    """Long enough to tell, and parsed like none of the languages learned."""
+    return (F.col("phrase_rate") > FOREIGN) & (F.col("parsed_bytes") >= FOREIGN_BYTES)
+
+
 def identify(df: DataFrame, samples: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """`df` with lang_pred, score and phrase_rate in place of its text; only the text is looked at."""
+    """`df` with lang_pred, score, phrase_rate and parsed_bytes in place of its text; only the text is looked at."""
     ship()
     others = [c for c in df.columns if c != text]
-    schema = df.select(*others).schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    schema = df.select(*others).schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double").add("parsed_bytes", "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
         for batch in batches:
             texts = batch.column(len(others)).to_pylist()
             for start, end in blocks([t or "" for t in texts]):
-                lang, score, rate = parser.predict(texts[start:end])
+                lang, score, rate, parsed = parser.predict(texts[start:end])
                 kept = [batch.column(k).slice(start, end - start) for k in range(len(others))]
-                found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+                found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(parsed, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*kept, *found], names=schema.names)
 
     return df.select(*others, text).mapInArrow(run, schema)

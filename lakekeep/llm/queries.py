@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 from lakekeep.llm.bpe import encode_decode
 from lakekeep.llm.common import only
+from lakekeep.llm.hilbert import hilbert_shards
 from lakekeep.llm.jaccard import jaccard_components
 from lakekeep.llm.langid import identify, training_sample
+from lakekeep.llm.metric_join import metric_components
+from lakekeep.llm.mixing import mix, words
+from lakekeep.llm.secret_scan import scan, span_text
+from lakekeep.llm.url_filter import judge
+from lakekeep.llm.warc import archive_and_read
+from lakekeep.llm.winnow import fingerprints
 from lakekeep.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +36,51 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "phrase_rate")
 
 
-def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    docs = only(load(spark, sf, "documents"), "doc_id", "text")
-    coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+def op2_embedding_join(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_components(load(spark, sf, "embeddings"))
+
+
+def op3_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints(load(spark, sf, "documents")).drop("edited")
+
+
+def op4_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    """A page's outcome is its label's, where `labels` has its number: bad when of no quality or toxic."""
+    pages = only(load(spark, sf, "pages"), "page_id", "url")
+    labels = only(load(spark, sf, "labels"), "doc_id", "quality", "toxic")
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    outcomes = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", bad.alias("bad"))
+    return judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", "labelled", "labelled_bad")
+
+
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    mixed = mix(only(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size")))
+    first = F.get("positions", F.lit(0))
+    placed = mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    return placed.repartitionByRange("first_position").sortWithinPartitions("first_position", "doc_id")
+
+
+def op6_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return hilbert_shards(load(spark, sf, "documents"))
+
+
+def op7_secret_battery(spark: SparkSession, sf: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return scan(only(load(spark, sf, "documents"), "doc_id", "text")).select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex", "random")],
+        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(spans).alias("spans"),
+    )
+
+
+def op8_warc_index(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_and_read(load(spark, sf, "pages"))
+
+
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    coded = encode_decode(only(docs, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -40,12 +89,23 @@ def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_digest(load(spark, sf, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(load(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_join": op2_embedding_join,
+    "op3_winnowing": op3_winnowing,
+    "op4_url_reputation": op4_url_reputation,
+    "op5_mixing": op5_mixing,
+    "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_secret_battery": op7_secret_battery,
+    "op8_warc_index": op8_warc_index,
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
