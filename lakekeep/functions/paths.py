@@ -80,10 +80,15 @@ def target_path(root: str, path: Column | str) -> Column:
     return squeeze(F.concat(F.lit(root), as_column(path)))
 
 
+def bare_path(path: Column | str) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(as_column(path), "^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
+
+
 def trash_path(root: str, day: Column | str, path: Column | str) -> Column:
-    """root / yyyyMMdd / absolute parent / name; `day` is literal text or a column."""
+    """root / yyyyMMdd / absolute parent / name, without scheme and host; `day` is literal text or a column."""
     day = F.lit(day) if isinstance(day, str) else day
-    return squeeze(F.concat_ws("/", F.lit(root), day, as_column(path)))
+    return squeeze(F.concat_ws("/", F.lit(root), day, bare_path(path)))
 
 
 def glob_regex(pattern: str) -> str:

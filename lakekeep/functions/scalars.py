@@ -73,9 +73,12 @@ def temperature(atime: Column | str, as_of: Column | str) -> Column:
 
 
 def mode_of(permission: Column | str) -> Column:
-    """Octal text of a ten-character symbolic permission; other lengths give null."""
-    permission = as_column(permission)
+    """Octal text of a ten-character symbolic permission, with or without the mark `+` of an access list.
+
+    Everything else gives null.
+    """
+    permission = F.regexp_replace(as_column(permission), r"^(.{10})\+$", "$1")
     # Set bits as binary digits; S and T are special bits without execute.
     bits = F.translate(F.substring(permission, 2, 9), "-STrwxst", "00011111")
     sticky = F.when(F.substring(permission, 10, 1).isin("t", "T"), "1").otherwise("")
-    return F.when(F.length(permission) == 10, F.conv(F.concat(sticky, bits), 2, 8))
+    return F.when(permission.rlike("^[-dlbcps][-rwxstST]{9}$"), F.conv(F.concat(sticky, bits), 2, 8))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import parent
+from lakekeep.operators.quarantine import move_tree
 from lakekeep.operators.running import running_before
 from lakekeep.operators.split import whole
-from lakekeep.sources.files import read_text_tree
+from lakekeep.session import hadoop_path
+from lakekeep.sources.files import line_digest, read_text_tree
 from lakekeep.sources.sinks import write_text_tier
 
+# What opening one more file counts for when files are packed into tasks.
+OPEN_BYTES = 1 << 20
+
 
 def line_count(lines: DataFrame) -> DataFrame:
     """One row (lines); zero for empty input."""
@@ -29,24 +34,8 @@ def plan_compaction(inv: DataFrame, target_bytes: int) -> DataFrame:
     return placed.withColumn("bin", whole(F.col("before"), F.lit(target_bytes))).drop("before")
 
 
-def digest_columns() -> list[Column]:
-    """Aggregates telling two line multisets apart, whatever their order.
-
-    Count, and sums of two halves of the line's md5, added as decimals so they
-    cannot overflow.
-    """
-    digest = F.md5("value")
-    halves = [
-        F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)") for start in (1, 17)
-    ]
-    return [
-        F.count(F.lit(1)).alias("lines"),
-        *[F.sum(h).cast("decimal(38,0)").alias(f"digest_{i}") for i, h in enumerate(halves)],
-    ]
-
-
 def content_digest(lines: DataFrame) -> DataFrame:
-    return lines.agg(*digest_columns())
+    return lines.agg(*line_digest())
 
 
 @dataclass(frozen=True)
@@ -56,14 +45,15 @@ class CompactionReport:
     tier: str
 
 
-def packed_scan(spark: SparkSession, src: str, target_bytes: int, line_sep: str | None) -> DataFrame:
+def packed_scan(spark: SparkSession, src: str | list[str], target_bytes: int, line_sep: str | None) -> DataFrame:
     """A text scan whose tasks each cover about `target_bytes` of input files.
 
-    The sizes are set on a session of its own, so the caller's settings stay.
+    Opening a file counts as OPEN_BYTES, so that very many tiny or empty files
+    do not meet in one task. The sizes are set on a session of its own, so the caller's settings stay.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
-    own.conf.set("spark.sql.files.openCostInBytes", "0")
+    own.conf.set("spark.sql.files.openCostInBytes", str(min(OPEN_BYTES, max(1, target_bytes // 16))))
     own.conf.set("spark.sql.files.minPartitionNum", "1")
     return read_text_tree(own, src, line_sep)
 
@@ -77,13 +67,45 @@ def compact_text(
     `src` may be a glob. Map-only: one output file per packed input share. The
     source is left alone and read once; its lines are digested on their way to
     the writer. The result is read back and compared before the call returns,
-    so a caller may replace the source afterwards (`move_tree`).
+    so a caller may replace the source afterwards (`swap_compacted`).
     """
     seen = Observation("compaction")
-    lines = packed_scan(spark, src, target_bytes, line_sep).observe(seen, *digest_columns())
+    lines = packed_scan(spark, src, target_bytes, line_sep).observe(seen, *line_digest())
     write_text_tier(lines, dst, tier)
     before = seen.get
     after = content_digest(read_text_tree(spark, dst, line_sep)).first().asDict()
     if before != after:
         raise RuntimeError(f"compaction changed the lines of {src}; {dst} must not be used")
     return CompactionReport(after["lines"], dst, tier.upper())
+
+
+def planned_files(inv: DataFrame, target_bytes: int) -> DataFrame:
+    """(dir, files_before, files_after, bytes): what a compaction by `plan_compaction` leaves of every folder."""
+    plan = plan_compaction(inv, target_bytes)
+    return plan.groupBy("dir").agg(
+        F.count(F.lit(1)).alias("files_before"), F.countDistinct("bin").alias("files_after"),
+        F.sum("size").cast("bigint").alias("bytes"),
+    )
+
+
+def swap_compacted(
+    spark: SparkSession, src: str, compacted: str, out: str, prefix: str, trash_root: str, day: str
+) -> list[str]:
+    """End a checked compaction: originals to the dated trash, new files into `out` under a prefix.
+
+    Returns the new files. Called again after a crash it ends what was begun: what
+    lies in the trash stays there, and files already moved are left.
+    """
+    fs, at = hadoop_path(spark, src)
+    if fs.exists(at):
+        move_tree(spark, src, trash_root, day)
+    _, goal = hadoop_path(spark, out)
+    fs.mkdirs(goal)
+    _, made = hadoop_path(spark, compacted)
+    for status in fs.listStatus(made) if fs.exists(made) else []:
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            _, to = hadoop_path(spark, f"{out.rstrip('/')}/{prefix}{name}")
+            if not fs.rename(status.getPath(), to):
+                raise RuntimeError(f"could not move {name} to {out}")
+    return sorted(s.getPath().getName() for s in fs.listStatus(goal) if s.getPath().getName().startswith(prefix))

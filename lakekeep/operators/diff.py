@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import is_transient
 from lakekeep.functions.scalars import minute_stamp
-from lakekeep.operators.keyed import HIT, HOT_ROWS, RIGHT, last_wins, match_unique
+from lakekeep.operators.keyed import HIT, RIGHT, last_wins, match_unique
 
 # Operation names.
 ADD, DELETE, UPDATE = "ADD", "DELETE", "UPDATE"
@@ -31,8 +31,6 @@ def snapshot_diff(
     ignore_time: bool = False,
     order: Sequence[str] | None = None,
     path: str | None = "path",
-    hot: Sequence | None = None,
-    min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per change, with column `op` in front.
 
@@ -40,36 +38,25 @@ def snapshot_diff(
     rows vanish. The last old row of a key counts; `order` says which is last
     and defaults to the reading position `pos` where there is one. Every new
     row is compared on its own. ADD and UPDATE show the new row, DELETE the
-    old one. `path=None` turns the exclusion of transient paths off. For `hot`
-    see `match_unique`; `()` suits new listings known to hold a path once.
+    old one. `path=None` turns the exclusion of transient paths off.
+
+    The new rows are joined to one old row per key, and the old rows without any new key are added:
+    neither join has to hold many rows of one key, as a full join would.
     """
     if path:
-        # A full join lets no filter through, so both inputs are cut here.
         old, new = exclude_transient(old, path), exclude_transient(new, path)
     compared = [*compare, *([] if ignore_time or TIME not in new.columns else [TIME])]
     if order is None:
         order = ["pos"] if "pos" in old.columns else compared
     old = last_wins(old, keys, order)
-    both = match_unique(new, old, keys, "full", hot, min_hot_rows)
-
     same = F.lit(True)
     for name in compared:
         same = same & F.col(name).eqNullSafe(F.col(RIGHT + name))
-    op = (
-        F.when(F.col(HIT).isNull(), ADD)
-        .when(F.col("_l_hit").isNull(), DELETE)
-        .when(~same, UPDATE)
-    )
-
-    def pick(name: str) -> Column:
-        if name in keys or name not in old.columns:
-            return F.col(name)
-        from_old = F.col("_l_hit").isNull()
-        return F.when(from_old, F.col(RIGHT + name)).otherwise(F.col(name)).alias(name)
-
-    return both.withColumn("op", op).where(F.col("op").isNotNull()).select(
-        "op", *[pick(c) for c in new.columns]
-    )
+    op = F.when(F.col(HIT).isNull(), ADD).when(~same, UPDATE)
+    held = match_unique(new, old, keys, "left").withColumn("op", op).where(F.col("op").isNotNull())
+    gone = match_unique(old, new.select(*keys).distinct(), keys, "left_anti")
+    shown = [F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns]
+    return held.select("op", *new.columns).unionByName(gone.select(F.lit(DELETE).alias("op"), *shown))
 
 
 def listing_line() -> Column:

@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least 1/HOT_SHARE of all rows and HOT_ROWS rows.
-# There can be at most HOT_SHARE such keys, whatever the size of the data.
-HOT_SHARE = 1000
-HOT_ROWS = 1_000_000
-SKETCH_ITEMS = 20_000
-
 RIGHT = "_r_"
 HIT = "_r_hit"
 
@@ -29,64 +23,16 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return kept.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
-def hot_values(df: DataFrame, key: Column, min_rows: int = HOT_ROWS) -> list:
-    """The few values of `key` that each hold a large share of the rows.
-
-    One pass over the key column with a sketch of bounded size, folded per task.
-    At most HOT_SHARE values come back. Missing one costs speed only, never a row.
-    """
-    found = df.select(key.alias("_k")).agg(
-        F.call_function(
-            "approx_top_k", F.col("_k"), F.lit(HOT_SHARE), F.lit(SKETCH_ITEMS)
-        ).alias("top"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    row = found.first()
-    floor = max(min_rows, row["rows"] / HOT_SHARE)
-    return [t["item"] for t in row["top"] if t["count"] >= floor and t["item"] is not None]
-
-
-def key_column(keys: Sequence[str]) -> Column:
-    return F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
-
-
-def match_unique(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    hot: Sequence | None = None,
-    min_hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Equi-join to a side that has one row per key.
-
-    `how` is left, full, left_semi or left_anti. Columns of the right side that
-    are no key come out prefixed with `_r_`; `_r_hit` tells whether the right
-    side had the key and `_l_hit` (full only) whether the left side had it.
+def match_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join to a side that has one row per key; `how` is left, left_semi or left_anti.
 
-    Left rows of hot keys are not shuffled: the right side has at most one row
-    for each of at most HOT_SHARE hot keys, and only those rows are broadcast.
-    All other keys take the ordinary shuffled join. `hot` names the hot values
-    of `key_column(keys)` where they are known; `()` is for a left side whose
-    keys are unique. Else they are searched for, which runs `left` once.
+    Columns of the right side that are no key come out prefixed with `_r_`, and
+    `_r_hit` tells whether the right side had the key. The side that is held per key has one row,
+    and these are the joins whose left side Spark may split when one key owns much of it.
     """
-    key = key_column(keys)
     renamed = right.select(
         *keys,
         *[F.col(c).alias(RIGHT + c) for c in right.columns if c not in keys],
         F.lit(True).alias(HIT),
     )
-    if how == "full":
-        left = left.withColumn("_l_hit", F.lit(True))
-    if hot is None:
-        hot = hot_values(left, key, min_hot_rows)
-    if not hot:
-        return left.join(renamed, list(keys), how)
-    is_hot = F.coalesce(key.isin(list(hot)), F.lit(False))
-    cold = left.where(~is_hot).join(renamed.where(~is_hot), list(keys), how)
-    # Hot keys exist on the left, so a full join of them is a left join. At most
-    # HOT_SHARE rows are broadcast for one key column; a hash of several columns
-    # may add the few keys that collide.
-    warm_how = "left" if how == "full" else how
-    warm = left.where(is_hot).join(F.broadcast(renamed.where(is_hot)), list(keys), warm_how)
-    return cold.unionByName(warm)
+    return left.join(renamed, list(keys), how)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def contacts(bean: Column) -> Column:
 def contact_values(seen: Column) -> tuple[Column, Column, Column]:
     """Maximum, minimum and whole-number average; null when no node is live."""
     total = F.aggregate(seen, F.lit(0).cast("bigint"), lambda acc, c: acc + c)
-    average = F.when(F.size(seen) > 0, F.floor(total / F.size(seen)))
+    average = F.when(F.size(seen) > 0, F.call_function("div", total, F.size(seen)))
     return F.array_max(seen), F.array_min(seen), average
 
 
@@ -117,17 +119,27 @@ def metric_points(beans: DataFrame, keep_null: bool = False) -> DataFrame:
 
 
 def dedupe_points(points: DataFrame) -> DataFrame:
-    """One point per (ts, namespace, measurement): the one of the last node.
+    """One point per (ts, namespace, measurement): the one of the last node by name, no name being first.
 
-    A plain aggregate, so it folds before the shuffle and also runs on a
+    Of several points of that node the largest value counts, so the result does not
+    depend on the order of rows. A plain aggregate, so it folds before the shuffle and also runs on a
     stream that has a watermark on `ts`.
     """
-    return points.groupBy("ts", "namespace", "measurement").agg(F.max_by("value", "node").alias("value"))
+    best = F.max(F.struct(F.col("node").isNotNull(), "node", "value"))
+    return points.groupBy("ts", "namespace", "measurement").agg(best.getField("value").alias("value"))
 
 
 def retain(points: DataFrame, as_of: Column | str, days: int = RETENTION_DAYS) -> DataFrame:
-    """Points no older than `days` before `as_of`."""
-    as_of = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
+    """Points no older than `days` before `as_of`.
+
+    On a store with a `date` column the days before are not read at all.
+    """
+    if isinstance(as_of, str):
+        first = datetime.fromisoformat(as_of) - timedelta(days=int(days))
+        points = points.where(F.col("ts") >= F.lit(first.isoformat(sep=" ")).cast("timestamp_ntz"))
+        # A day of margin: the store's days follow the time zone of the session that wrote it.
+        day = (first - timedelta(days=1)).date().isoformat()
+        return points.where(F.col("date") >= day) if "date" in points.columns else points
     return points.where(F.col("ts") >= as_of - F.expr(f"interval {int(days)} days"))
 
 

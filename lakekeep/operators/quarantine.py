@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakekeep.functions.paths import glob_match, trash_path
 from lakekeep.operators.partitions import require_external, unregister_partition
-from lakekeep.sources.files import partition_filter
+from lakekeep.session import hadoop_path
+from lakekeep.sources.files import partition_location
 
 
 def checked_day(day: str) -> str:
@@ -35,8 +37,23 @@ def quarantine_files(inv: DataFrame, pattern: str, trash_root: str, day: str) ->
     return hits.select("path", trash_path(trash_root, checked_day(day), "path").alias("trash_path"))
 
 
-def write_trash(trashed: DataFrame, trash_root: str) -> None:
-    trashed.write.mode("append").partitionBy("trash_day").parquet(trash_root)
+def write_trash(trashed: DataFrame, trash_root: str, name: str) -> None:
+    """Write quarantined rows below `<trash root>/<day>/<name>`, the layout of everything in the trash."""
+    for day in trash_days(trashed):
+        rows = trashed.where(F.col("trash_day") == day).drop("trash_day")
+        rows.write.mode("append").parquet(f"{trash_root.rstrip('/')}/{day}/{name.strip('/')}")
+
+
+def trash_days(trashed: DataFrame) -> list[str]:
+    """The days that quarantined rows carry: one for each quarantine that they come from."""
+    return sorted(checked_day(r["trash_day"]) for r in trashed.select("trash_day").distinct().collect())
+
+
+def read_trash(spark: SparkSession, trash_root: str, name: str, schema: StructType) -> DataFrame:
+    """Rows of one name over all days, with the day in `trash_day`."""
+    day = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{8})/" + re.escape(name.strip("/")) + "/", 1)
+    path = f"{trash_root.rstrip('/')}/*/{name.strip('/')}"
+    return spark.read.schema(schema).parquet(path).select("*", day.alias("trash_day"))
 
 
 def purge(trash: DataFrame, day: str) -> DataFrame:
@@ -44,51 +61,59 @@ def purge(trash: DataFrame, day: str) -> DataFrame:
     return trash.where(~F.col("trash_day").eqNullSafe(checked_day(day)))
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """The path's file system and the path as that system knows it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def purge_trash(spark: SparkSession, trash_root: str, day: str) -> bool:
     """Delete one day below a trash root; true when there was something to delete."""
     checked_day(day)
     if not trash_root.strip("/ ") or trash_root.rstrip("/").endswith(":"):
         raise ValueError(f"unsafe trash root: {trash_root!r}")
-    fs, at = _hadoop(spark, f"{trash_root.rstrip('/')}/trash_day={day}")
+    fs, at = hadoop_path(spark, f"{trash_root.rstrip('/')}/{day}")
     return bool(fs.delete(at, True))
 
 
+def trash_goal(bare: str, trash_root: str, day: str) -> str:
+    if bare.rstrip("/").count("/") < 2:
+        raise ValueError(f"too close to the root: {bare!r}")
+    return f"{trash_root.rstrip('/')}/{checked_day(day)}{bare.rstrip('/')}"
+
+
 def move_tree(spark: SparkSession, path: str, trash_root: str, day: str) -> str:
-    """Rename one folder into the dated trash under its absolute path; returns the new place."""
-    fs, at = _hadoop(spark, path)
-    bare = at.toUri().getPath().rstrip("/")
-    if bare.count("/") < 2:
-        raise ValueError(f"too close to the root: {path!r}")
-    goal = f"{trash_root.rstrip('/')}/{checked_day(day)}{bare}"
-    _, to = _hadoop(spark, goal)
+    """Rename one file or folder into the dated trash under its absolute path; returns the new place.
+
+    May be called again after a crash: what lies in the trash already, and nowhere else, is left there.
+    """
+    fs, at = hadoop_path(spark, path)
+    goal = trash_goal(at.toUri().getPath(), trash_root, day)
+    _, to = hadoop_path(spark, goal)
     if fs.exists(to):
-        raise FileExistsError(goal)
+        if fs.exists(at) and not (fs.getFileStatus(at).isDirectory() and not len(fs.listStatus(at))):
+            raise FileExistsError(goal)
+        # A catalog may have put an empty folder in the old place.
+        fs.delete(at, True)
+        return goal
     fs.mkdirs(to.getParent())
     if not fs.rename(at, to):
         raise RuntimeError(f"could not move {path} to {goal}")
     return goal
 
 
-def quarantine_partition(
-    spark: SparkSession, table: str, values: list[str], trash_root: str, day: str
-) -> int:
-    """Copy one partition's rows to the trash, check them, then unregister it.
+def move_matching(spark: SparkSession, glob: str, trash_root: str, day: str) -> list[str]:
+    """Rename everything that a file-system glob names into the dated trash; returns the new places.
 
-    Works on external tables only, where unregistering leaves the files alone.
+    A renaming is one call to the file system, whatever lies below the name.
+    """
+    fs, at = hadoop_path(spark, glob)
+    return [move_tree(spark, hit.getPath().toString(), trash_root, day) for hit in fs.globStatus(at) or []]
+
+
+def quarantine_partition(spark: SparkSession, table: str, values: list[str], trash_root: str, day: str) -> str | None:
+    """Move the folder of one partition to the trash, then unregister it; returns the new place.
+
+    The files go, whatever their format, so a later registration does not find
+    the partition again. Called again after a crash it ends what was begun.
+    Works on external tables only.
     """
     require_external(spark, table)
-    goal = f"{trash_root.rstrip('/')}/{checked_day(day)}/{table}/{'/'.join(values)}"
-    rows = spark.table(table).where(partition_filter(spark, table, values))
-    seen = Observation("quarantine")
-    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(goal)
-    count = seen.get["rows"]
-    if spark.read.schema(rows.schema).parquet(goal).count() != count:
-        raise RuntimeError(f"trash copy of {table} {values} is incomplete")
+    location = partition_location(spark, table, values)
+    goal = move_tree(spark, location, trash_root, day) if location else None
     unregister_partition(spark, table, values)
-    return count
+    return goal

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakekeep.operators.keyed import HOT_ROWS, hot_values
-
 # The first digits of the shuffle hash give 16 ** BUCKET_DIGITS buckets. Their
 # sizes are even, since the hash is; their number bounds the offset table.
 BUCKET_DIGITS = 4
@@ -18,38 +16,30 @@ def whole(value: Column, by: Column) -> Column:
     return F.call_function("div", value, by)
 
 
-def split_work(
-    df: DataFrame,
-    n: int,
-    seed: int = 7,
-    on: str = "path",
-    mode: str = "even",
-    min_hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def row_digest(columns: list[str], seed: int) -> Column:
+    """md5 of the seed and a row's values, parted by a unit separator; nulls are the text NULL."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns]
+    return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *values))
+
+
+def split_work(df: DataFrame, n: int, seed: int = 7, mode: str = "even") -> DataFrame:
     """Shuffle rows and cut them into contiguous chunks; adds `idx` and `chunk`.
 
     `mode='even'` gives at most n chunks; `'floor'` takes floor(rows / n) rows
     per chunk, at least one, so a remainder makes extra chunks.
 
-    The order is that of md5(seed + value), so every attempt of a task sees the
-    same one and nothing has to be pinned. A row's index is the number of rows
-    in earlier buckets plus its place in its own bucket. Rows of a value that
-    would fill a bucket alone are ordered by their content too, and their exact
-    copies are counted before the shuffle instead of being sorted. `df` is run
-    for the sizes and again for the rows, so it had better be a stored table.
+    The order is that of `row_digest`, so every attempt of a task sees the same
+    one and nothing has to be pinned. Exact copies are counted before the
+    shuffle and written out in spread blocks after it, so rows that are alike never meet in one task. A
+    row's index is the number of rows in earlier buckets plus its place in its
+    own bucket. `df` is run for the sizes and again for the rows, so it had
+    better be a stored table.
     """
     if mode not in ("even", "floor"):
         raise ValueError(f"unknown mode: {mode}")
-    text = F.concat(F.lit(str(seed)), F.coalesce(F.col(on), F.lit("")))
-    hot = hot_values(df, F.col(on), min_hot_rows)
     columns = df.columns
-    if hot:
-        own = F.concat(text, F.xxhash64(*columns).cast("string"))
-        text = F.when(F.col(on).isin(hot), own).otherwise(text)
-        rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    else:
-        rows = df.withColumn("_copies", F.lit(1).cast("bigint"))
-    rows = rows.withColumn("_h", F.md5(text)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.withColumn("_h", row_digest(columns, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
 
     # At most 16 ** BUCKET_DIGITS rows, so one ordered window and a broadcast are safe.
     sizes = rows.groupBy("_b").agg(F.sum("_copies").alias("_size"))
@@ -60,22 +50,16 @@ def split_work(
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
         F.sum("_size").over(everything).alias("_total"),
     )
-    inside = Window.partitionBy("_b").orderBy("_h", *[c for c in columns])
+    inside = Window.partitionBy("_b").orderBy("_h", *columns)
     place = F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("_place", F.coalesce(place, F.lit(0))).join(F.broadcast(offsets), "_b", "left")
     first = F.col("_base") + F.col("_place")
+    last = first + F.col("_copies") - 1
     rounding = n - 1 if mode == "even" else 0
     size = F.greatest(whole(F.col("_total") + rounding, F.lit(n)), F.lit(1))
-    if not hot:
-        indexed = placed.withColumn("idx", first)
-    else:
-        # A run of copies is cut into blocks that are spread and only then written out.
-        last = first + F.col("_copies") - 1
-        runs = placed.withColumn("_last", last).withColumn(
-            "_from", F.explode(F.sequence(first, last, F.lit(COPY_BLOCK)))
-        )
-        upto = F.least(F.col("_last"), F.col("_from") + COPY_BLOCK - 1)
-        indexed = runs.repartition("_from").withColumn("idx", F.explode(F.sequence("_from", upto)))
+    runs = placed.withColumn("_last", last).withColumn("_from", F.explode(F.sequence(first, last, F.lit(COPY_BLOCK))))
+    upto = F.least(F.col("_last"), F.col("_from") + COPY_BLOCK - 1)
+    indexed = runs.repartition("_from").withColumn("idx", F.explode(F.sequence("_from", upto)))
     chunk = whole(F.col("idx"), size).cast("int")
     return indexed.select(*columns, F.col("idx").cast("bigint").alias("idx"), chunk.alias("chunk"))
 

@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from lakekeep.functions.paths import (
-    ancestors, as_column, glob_match, is_file, lineage, parent, partition_value,
-)
+from lakekeep.functions.paths import as_column, glob_match, is_file, lineage, parent, parse_values, partition_value
 from lakekeep.functions.scalars import known_atime, temperature, year_of
+from lakekeep.session import pinned
+from lakekeep.sources.files import partition_location, scan_files
 
-# Root lists up to this length travel inside the plan; longer ones are joined.
-INLINE_ROOTS = 500
-
-# Up to this many, comparing prefixes is cheaper than building the ancestors.
-COMPARED_ROOTS = 16
+DIMENSIONS = ("mtime_year", "atime_year", "temperature")
 
 
 def totals() -> tuple[Column, Column]:
@@ -49,83 +45,129 @@ def partition_usage(inv: DataFrame, names: Sequence[str]) -> DataFrame:
     return valued.groupBy(*names).agg(*totals())
 
 
-def under_roots(rows: DataFrame, roots: list[str], path: Column | str = "path") -> DataFrame:
-    """Every row once for each given root that is its path or an ancestor of it.
+def table_usage(spark: SparkSession, table: str, values: str | Sequence[str]) -> DataFrame:
+    """One row (bytes, files) for the files of one table partition; zeros when it has none.
 
-    The roots are listed in the plan, so nothing is joined or shuffled.
+    `values` are the partition's values, in order, as a list or as `v1 / v2`. The
+    catalog tells where the partition lies; no row of it is read.
     """
-    roots = list(dict.fromkeys(roots))
-    if len(roots) > INLINE_ROOTS:
-        raise ValueError("too many roots to list in the plan; pass them as a table")
-    if len(roots) > COMPARED_ROOTS:
-        named = F.array(*[F.lit(r) for r in roots])
-        return rows.withColumn("root", F.explode(F.array_intersect(lineage(path), named)))
-    path = as_column(path)
-    hits = [F.when((path == r) | path.startswith(r.rstrip("/") + "/"), F.lit(r)) for r in roots]
-    none = F.lit(None).cast("string")
-    return rows.withColumn("root", F.explode(F.array(none, *hits))).where(F.col("root").isNotNull())
+    location = partition_location(spark, table, parse_values(values) if isinstance(values, str) else list(values))
+    if location is None:
+        return spark.range(0).select(F.lit(0).alias("size")).agg(*totals())
+    return scan_files(spark, location, recursive=True).agg(*totals())
+
+
+def normal_root(root: Column | str) -> Column:
+    """A root without slashes at its end; all slashes are the root `/`."""
+    bare = F.rtrim(as_column(root), F.lit("/"))
+    return F.when(bare == "", F.lit("/")).otherwise(bare)
 
 
 def roots_table(inv: DataFrame, roots: list[str] | DataFrame) -> DataFrame:
-    if isinstance(roots, DataFrame):
-        return roots.select("root").distinct()
-    session = inv.sparkSession
-    return session.createDataFrame([(r,) for r in dict.fromkeys(roots)], "root string")
-
-
-def _facts(inv: DataFrame, roots: list[str] | DataFrame, facts: DataFrame, dims: list[str]) -> DataFrame:
-    """Files and bytes per (root, dims) of file rows; roots without files are absent."""
-    if not isinstance(roots, DataFrame) and len(roots) <= INLINE_ROOTS:
-        return under_roots(facts, roots).groupBy("root", *dims).agg(*totals())
-    # Folders near the top own every row, so rows are folded per folder first
-    # and the join sees one row per folder and breakdown.
-    wanted = roots_table(inv, roots)
-    by_folder = facts.withColumn("root", F.explode(ancestors("path"))).groupBy("root", *dims)
-    folded = by_folder.agg(*totals()).join(wanted, "root", "left_semi")
-    # A root may also be a file; rows of one path are folded before the join too.
-    named = facts.withColumnRenamed("path", "root").groupBy("root", *dims)
-    named = named.agg(*totals()).join(wanted, "root", "left_semi")
-    return summed(folded.unionByName(named).groupBy("root", *dims))
+    if not isinstance(roots, DataFrame):
+        roots = inv.sparkSession.createDataFrame([(r,) for r in roots], "root string")
+    return roots.select(normal_root("root").alias("root")).distinct()
 
 
-def usage_cube(
-    inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str | None = None,
-    dims: Sequence[str] = ("mtime_year", "atime_year", "temperature"),
-) -> DataFrame:
-    """Files and bytes per root and breakdown, in one pass over the inventory."""
+def under_roots(rows: DataFrame, roots: list[str], path: Column | str = "path") -> DataFrame:
+    """Every row once for each given root that is its path or an ancestor of it.
+
+    The roots are listed in the plan, however many they are, so nothing is
+    joined or shuffled; for long lists a table of roots is the better form.
+    """
+    named = F.array_distinct(F.array(*[normal_root(F.lit(r)) for r in roots]).cast("array<string>"))
+    return rows.withColumn("root", F.explode(F.array_intersect(lineage(path), named)))
+
+
+def by_folder(inv: DataFrame, as_of: Column | str | None, dims: Sequence[str]) -> DataFrame:
+    """(folder, dims.., files, bytes): the inventory folded once, stored.
+
+    A folder that is listed, or that holds a file, has a row; rows of listed
+    folders have null dims and no files. All sums and folder counts are made from
+    this small table.
+    """
     made = {
         "mtime_year": lambda: year_of("mtime"),
         "atime_year": lambda: year_of(known_atime("atime")),
         "temperature": lambda: temperature("atime", as_of),
     }
-    facts = inv.where(file_flag(inv)).select("path", "size", *[made[d]().alias(d) for d in dims])
-    return _facts(inv, roots, facts, list(dims))
+    f = file_flag(inv)
+    rows = inv.select(
+        F.when(f, parent("path")).otherwise(normal_root("path")).alias("folder"), f.alias("f"),
+        *[F.when(f, made[d]()).alias(d) for d in dims], F.when(f, F.col("size")).alias("size"),
+    )
+    held = rows.groupBy("folder", "f", *dims).agg(
+        F.count_if("f").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes")
+    )
+    return pinned(held, "folders")
+
 
+def _climbed(rows: DataFrame, roots: list[str] | DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Files and bytes per (root, dims) of rows per folder; roots above no folder are absent."""
+    if not isinstance(roots, DataFrame):
+        return summed(under_roots(rows, roots, "folder").groupBy("root", *dims))
+    # Folders near the top own every row, so rows are folded per ancestor before they meet the roots.
+    climbed = summed(rows.withColumn("root", F.explode(lineage("folder"))).groupBy("root", *dims))
+    return climbed.join(roots_table(rows, roots), "root", "left_semi")
 
-def dir_counts(inv: DataFrame, roots: list[str] | DataFrame) -> DataFrame:
+
+def _named_files(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str | None, dims: Sequence[str]) -> DataFrame | None:
+    """Files that are roots themselves: (root, dims.., files, bytes); only rows that a root names are looked at."""
+    files = inv.where(file_flag(inv)).join(
+        roots_table(inv, roots).withColumnRenamed("root", "path"), "path", "left_semi"
+    )
+    made = {
+        "mtime_year": lambda: year_of("mtime"), "atime_year": lambda: year_of(known_atime("atime")),
+        "temperature": lambda: temperature("atime", as_of),
+    }
+    sized = files.select(F.col("path").alias("root"), "size", *[made[d]().alias(d) for d in dims])
+    return sized.groupBy("root", *dims).agg(*totals())
+
+
+def _cube(
+    inv: DataFrame, folders: DataFrame, roots: list[str] | DataFrame, as_of: Column | str | None, dims: Sequence[str],
+    file_roots: bool,
+) -> DataFrame:
+    cube = _climbed(folders.where("f"), roots, dims)
+    if file_roots:
+        named = _named_files(inv, roots, as_of, dims)
+        cube = summed(cube.unionByName(named.select(*cube.columns)).groupBy("root", *dims))
+    return cube
+
+
+def _dirs(folders: DataFrame, roots: list[str] | DataFrame) -> DataFrame:
     """Number of folders at or below each root, listed or implied by a path."""
-    flagged = inv.select("path", file_flag(inv).alias("f"))
-    start = F.when(F.col("f"), parent("path")).otherwise(F.col("path"))
-    # First one row per leaf folder, only then the climb to its ancestors.
-    leaves = flagged.select(start.alias("leaf")).distinct()
-    folders = leaves.select(F.explode(lineage("leaf")).alias("path")).distinct()
-    counted = _facts(inv, roots, folders.withColumn("size", F.lit(0)), [])
+    every = folders.select("folder").distinct().select(F.explode(lineage("folder")).alias("folder")).distinct()
+    counted = _climbed(every.select("folder", F.lit(1).alias("files"), F.lit(0).alias("bytes")), roots, [])
     return counted.select("root", F.col("files").alias("dirs"))
 
 
-def dir_rollup(
-    inv: DataFrame, roots: list[str] | DataFrame, sums: DataFrame | None = None
+def usage_cube(
+    inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str | None = None,
+    dims: Sequence[str] = DIMENSIONS, file_roots: bool = False,
 ) -> DataFrame:
-    """(root, bytes, files, dirs) for every given root; an unknown root gives zeros.
+    """Files and bytes per root and breakdown.
 
-    `sums` are files and bytes per root where they are known already.
+    Roots are folders. `file_roots` says that some may be files; those are found by a second pass.
     """
-    if sums is None:
-        sums = usage_cube(inv, roots, dims=())
-    out = roots_table(inv, roots).join(sums, "root", "left").join(dir_counts(inv, roots), "root", "left")
+    return _cube(inv, by_folder(inv, as_of, dims), roots, as_of, dims, file_roots)
+
+
+def _rollup(inv: DataFrame, roots: list[str] | DataFrame, sums: DataFrame, dirs: DataFrame) -> DataFrame:
+    out = roots_table(inv, roots).join(sums, "root", "left").join(dirs, "root", "left")
     return out.select("root", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("bytes", "files", "dirs")])
 
 
+def dir_rollup(inv: DataFrame, roots: list[str] | DataFrame, file_roots: bool = False) -> DataFrame:
+    """(root, bytes, files, dirs) for every given root; an unknown root gives zeros.
+
+    A root may end in slashes; it comes out without. The answer does not depend on
+    how many roots are asked for, nor on whether they come as a list or as a table.
+    """
+    folders = by_folder(inv, None, ())
+    return _rollup(inv, roots, _cube(inv, folders, roots, None, (), file_roots), _dirs(folders, roots))
+
+
 def year_histogram(inv: DataFrame, roots: list[str] | DataFrame, col: str) -> DataFrame:
     """(root, year, files, bytes) by year of `mtime` or `atime`."""
     dim = {"mtime": "mtime_year", "atime": "atime_year"}[col]
@@ -150,14 +192,15 @@ def _long_form(cube: DataFrame) -> DataFrame:
     )
 
 
-def dir_summary(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str) -> DataFrame:
+def dir_summary(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str, file_roots: bool = False) -> DataFrame:
     """All breakdowns of every root in long form, plus its totals.
 
-    The inventory is read once into a small cube (years by years by
-    temperatures per root); all breakdowns and the totals are folded from that.
+    The inventory is read once, into one row per folder, years and temperature;
+    all breakdowns, totals and folder counts are folded from that.
     """
-    cube = usage_cube(inv, roots, as_of)
-    flat = dir_rollup(inv, roots, summed(cube.groupBy("root"))).select(
+    folders = by_folder(inv, as_of, DIMENSIONS)
+    cube = pinned(_cube(inv, folders, roots, as_of, DIMENSIONS, file_roots), "cube")
+    flat = _rollup(inv, roots, summed(cube.groupBy("root")), _dirs(folders, roots)).select(
         "root",
         F.explode(
             F.array(
@@ -171,12 +214,13 @@ def dir_summary(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | st
     return _long_form(cube).unionByName(flat)
 
 
-def dir_summary_maps(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str) -> DataFrame:
+def dir_summary_maps(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str, file_roots: bool = False) -> DataFrame:
     """One row per root with six maps, as `dir_summary` holds them in long form.
 
     A map has one entry per year or temperature, so the collected lists stay short.
     """
-    cube = usage_cube(inv, roots, as_of)
+    folders = by_folder(inv, as_of, DIMENSIONS)
+    cube = pinned(_cube(inv, folders, roots, as_of, DIMENSIONS, file_roots), "cube")
     long = _long_form(cube)
 
     def folded(dimension: str, value: str) -> Column:
@@ -184,11 +228,8 @@ def dir_summary_maps(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column
         return F.map_from_entries(F.sort_array(F.collect_list(entry)))
 
     maps = long.groupBy("root").agg(
-        folded("mtime_year", "files").alias("files_per_mtime_year"),
-        folded("atime_year", "files").alias("files_per_atime_year"),
-        folded("temperature", "files").alias("files_per_temperature"),
-        folded("mtime_year", "bytes").alias("bytes_per_mtime_year"),
-        folded("atime_year", "bytes").alias("bytes_per_atime_year"),
-        folded("temperature", "bytes").alias("bytes_per_temperature"),
+        *[
+            folded(d, value).alias(f"{value}_per_{d}") for value in ("files", "bytes") for d in DIMENSIONS
+        ]
     )
-    return dir_rollup(inv, roots, summed(cube.groupBy("root"))).join(maps, "root", "left")
+    return _rollup(inv, roots, summed(cube.groupBy("root")), _dirs(folders, roots)).join(maps, "root", "left")

@@ -9,7 +9,7 @@ from lakekeep.functions.paths import is_trash
 from lakekeep.operators.diff import ADD, UPDATE
 
 # Verification results.
-MATCH, CONTENT, KIND = "MATCH", "CONTENT", "KIND"
+MATCH, CONTENT, KIND, UNKNOWN = "MATCH", "CONTENT", "KIND", "UNKNOWN"
 NO_SOURCE, NO_TARGET, NO_BOTH = "NO_SOURCE", "NO_TARGET", "NO_BOTH"
 
 
@@ -33,7 +33,7 @@ def verify(src: DataFrame, dst: DataFrame, changes: DataFrame | None = None) ->
     """(path, status) for every path, or for the paths an ADD or UPDATE names.
 
     Both inputs have `path`, `digest` (text or binary) and optionally
-    `is_file`. Several rows of a path match when both sides hold the same
+    `is_file`. A file without a digest on either side is UNKNOWN, never a match. Several rows of a path match when both sides hold the same
     digests equally often. Rows are folded per path and digest first, so a path
     with very many rows is spread and reaches its last step as partial sums.
     """
@@ -55,6 +55,7 @@ def verify(src: DataFrame, dst: DataFrame, changes: DataFrame | None = None) ->
         F.sum("src").alias("src"),
         F.sum("dst").alias("dst"),
         F.bool_and(F.col("src") == F.col("dst")).alias("equal"),
+        F.bool_or(F.col("file") & F.col("digest").isNull() & (F.col("src") + F.col("dst") > 0)).alias("undigested"),
         F.max(F.when(F.col("src") > 0, F.col("file"))).alias("src_file"),
         F.max(F.when(F.col("dst") > 0, F.col("file"))).alias("dst_file"),
         F.max("asked").alias("asked"),
@@ -64,6 +65,7 @@ def verify(src: DataFrame, dst: DataFrame, changes: DataFrame | None = None) ->
         .when(F.col("src") == 0, NO_SOURCE)
         .when(F.col("dst") == 0, NO_TARGET)
         .when(F.col("src_file") != F.col("dst_file"), KIND)
+        .when(F.col("undigested"), UNKNOWN)
         .when(F.col("equal") | ~F.col("src_file"), MATCH)
         .otherwise(CONTENT)
     )

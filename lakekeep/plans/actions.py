@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakekeep.functions.paths import is_file, is_transient, lineage, parent, protected, target_path
+from lakekeep.functions.paths import (
+    ancestors, is_file, is_transient, is_trash, lineage, parent, protected, target_path,
+)
 from lakekeep.functions.scalars import minute_stamp, mode_of
 from lakekeep.operators.diff import ADD, DELETE, OPS, UPDATE
-from lakekeep.operators.keyed import HIT, HOT_ROWS, hot_values, match_unique
+from lakekeep.operators.keyed import HIT, match_unique
 from lakekeep.operators.usage import file_flag
+from lakekeep.operators.verify import MATCH
 
 # Job types and failure reasons.
 COPY, VERIFY, REMOVE = "copy", "verify", "delete"
 JOBS = (COPY, VERIFY, REMOVE)
 UNKNOWN_OP, KIND_CONFLICT, SOURCE_MISSING = "unknown_op", "kind_conflict", "source_missing"
+BAD_MODE = "bad_mode"
 
 
 def check_job(job: str) -> str:
@@ -33,27 +37,34 @@ def kinds_of(inv: DataFrame) -> DataFrame:
 
 
 def outcomes(
-    changes: DataFrame, target: DataFrame, job: str = COPY,
-    hot: Sequence | None = None, min_hot_rows: int = HOT_ROWS,
+    changes: DataFrame, target: DataFrame, job: str = COPY, verified: DataFrame | None = None
 ) -> DataFrame:
     """Adds to every change line what becomes of it.
 
     `file`: the line names a file. `present`, `target_file`: state of the
-    target path before the change. `skipped`: the path is transient. `reason`:
-    why the line fails, null when it does not. Lines of a wrong arity have a
-    null `op`; they neither succeed nor fail.
+    target path before the change. `skipped`: the path is left alone, which
+    are transient paths for a copy job and the trash for a verify job.
+    `reason`: why the line fails, null when it does not. A verify job fails where
+    `verified` (path, status) tells of a path that is no match. Lines of a wrong arity
+    have a null `op`; they neither succeed nor fail.
     """
     if check_job(job) == REMOVE:
         raise ValueError("source deletes are planned by plan_source_delete")
-    seen = match_unique(changes, kinds_of(target), ["path"], "left", hot, min_hot_rows)
-    skipped = is_transient("path")
+    seen = match_unique(changes, kinds_of(target), ["path"], "left")
+    skipped = is_transient("path") if job == COPY else is_trash("path")
     file = is_file("permission")
     target_file = F.coalesce(F.col("_r_is_file"), F.lit(False))
     present = F.col(HIT).isNotNull()
+    live = F.col("op").isNotNull() & ~skipped
+    builds = F.col("op").isin(ADD, UPDATE)
     if job == COPY:
-        blocked = F.col("op").isin(ADD, UPDATE) & file & present & ~target_file
-        reason = F.when(F.col("op").isNotNull() & ~skipped, F.when(
-            ~F.col("op").isin(*OPS), UNKNOWN_OP).when(blocked, KIND_CONFLICT))
+        unreadable = builds & mode_of("permission").isNull()
+        blocked = builds & file & present & ~target_file
+        reason = F.when(live, F.when(~F.col("op").isin(*OPS), UNKNOWN_OP).when(unreadable, BAD_MODE).when(blocked, KIND_CONFLICT))
+    elif verified is not None:
+        told = verified.where(F.col("status") != MATCH).select("path", F.lower("status").alias("_status")).dropDuplicates(["path"])
+        seen = seen.join(told, "path", "left")
+        reason = F.when(live & builds, F.col("_status"))
     else:
         reason = F.lit(None).cast("string")
     return seen.select(
@@ -102,32 +113,49 @@ def plan_actions(outcome: DataFrame, target_root: str = "/") -> DataFrame:
     )
 
 
-def counters(outcome: DataFrame) -> DataFrame:
-    """One row of job counters over the lines of `outcomes`.
+def counters(outcome: DataFrame, job: str = COPY) -> DataFrame:
+    """One row of job counters over the lines of `outcomes`, or of `delete_outcomes` for a delete job.
 
     A skipped line succeeds without counting as an operation. MKDIR counts
-    every folder line, whether or not the folder was there.
+    every folder line, whether or not the folder was there. A verify job makes no
+    changes and so counts none; a delete job counts what it removes.
     """
     op = F.col("op")
     known = op.isNotNull()
     failed = F.col("reason").isNotNull()
     done = known & ~failed & ~F.col("skipped")
+    none = F.lit(False)
+    copies, removes = check_job(job) == COPY, job == REMOVE
     builds = done & op.isin(ADD, UPDATE)
     counts = {
         "total": F.lit(True),
         "succ": known & ~failed,
         "fail": failed,
         "invalid": ~known,
-        "added": done & (op == ADD),
-        "deleted": done & (op == DELETE),
-        "updated": done & (op == UPDATE),
-        "mkdir": builds & ~F.col("file"),
-        "copied": builds & F.col("file"),
+        "added": done & (op == ADD) if copies else none,
+        "deleted": done & (op == DELETE) if copies else F.col("doomed") if removes else none,
+        "updated": done & (op == UPDATE) if copies else none,
+        "mkdir": builds & ~F.col("file") if copies else none,
+        "copied": builds & F.col("file") if copies else none,
         "reduced": failed,
     }
     return outcome.agg(*[F.count_if(c).cast("bigint").alias(n) for n, c in counts.items()])
 
 
+def delete_outcomes(changes: DataFrame, src: DataFrame, recursive: bool = False) -> DataFrame:
+    """What becomes of every line of a delete job: adds `file`, `skipped`, `doomed` and `reason`.
+
+    A line whose source path is removed is `doomed`; all other known lines are skipped.
+    """
+    doomed = plan_source_delete(changes, src, recursive)
+    seen = match_unique(changes, doomed, ["path"], "left")
+    hit = F.col(HIT).isNotNull() & F.col("op").isNotNull()
+    return seen.select(
+        *changes.columns, is_file("permission").alias("file"), (F.col("op").isNotNull() & ~hit).alias("skipped"),
+        hit.alias("doomed"), F.lit(None).cast("string").alias("reason"),
+    )
+
+
 def observed(outcome: DataFrame, name: str = "migrate") -> DataFrame:
     """The same rows, reporting totals to query listeners while they are processed."""
     return outcome.observe(
@@ -143,7 +171,7 @@ def plan_source_delete(
     """(path, is_file) of what a delete after migration removes from the source.
 
     Every listed path that still exists and is not protected: files always,
-    folders only if `recursive`. The op of a line does not matter unless `ops`
+    folders only if `recursive`, and then no folder above a protected path. The op of a line does not matter unless `ops`
     names the wanted ones. Both sides are folded to one row per path before
     they meet.
     """
@@ -152,37 +180,31 @@ def plan_source_delete(
         listed = listed.where(F.col("op").isin(*ops))
     wanted = listed.where(~protected("path")).select("path").distinct()
     hits = kinds_of(src).join(wanted, "path", "left_semi")
-    return hits if recursive else hits.where("is_file")
+    if not recursive:
+        return hits.where("is_file")
+    held = src.select("path").unionByName(src.select(parent("path").alias("path")).distinct()).where(protected("path"))
+    above = held.distinct().select(F.explode(ancestors("path")).alias("path")).distinct()
+    return hits.join(above, "path", "left_anti")
 
 
-def below(rows: DataFrame, folders: DataFrame, min_hot_rows: int = HOT_ROWS) -> DataFrame:
+def below(rows: DataFrame, folders: DataFrame) -> DataFrame:
     """(leaf): the parent folders of `rows` that are, or lie below, one of `folders`.
 
     Only distinct folders climb to their ancestors. A folder near the top is an
-    ancestor of nearly all of them; such hot ancestors are matched without a
-    shuffle.
+    ancestor of nearly all of them; that side of the join Spark may split.
     """
     leaves = rows.select(parent("path").alias("leaf")).distinct()
     climbed = leaves.select("leaf", F.explode(lineage("leaf")).alias("path"))
     wanted = folders.select("path").distinct()
-    found = match_unique(climbed, wanted, ["path"], "left_semi", None, min_hot_rows)
-    return found.select("leaf").distinct()
+    return match_unique(climbed, wanted, ["path"], "left_semi").select("leaf").distinct()
 
 
-def delete_rows(
-    src: DataFrame, doomed: DataFrame, recursive: bool = False,
-    hot: Sequence | None = None, min_hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Rows of `src` that survive the deletes of `plan_source_delete`.
-
-    `hot` are hot paths of `src` where known. Hot folders are searched for in
-    `src` itself, before any join.
-    """
+def delete_rows(src: DataFrame, doomed: DataFrame, recursive: bool = False) -> DataFrame:
+    """Rows of `src` that survive the deletes of `plan_source_delete`."""
     paths = doomed.select("path").distinct()
-    left = match_unique(src, paths, ["path"], "left_anti", hot, min_hot_rows)
+    left = match_unique(src, paths, ["path"], "left_anti")
     if not recursive:
         return left
-    gone = below(src, doomed.where(~F.col("is_file")), min_hot_rows)
-    hot_folders = hot_values(src, parent("path"), min_hot_rows)
+    gone = below(src, doomed.where(~F.col("is_file")))
     owned = left.withColumn("leaf", parent("path"))
-    return match_unique(owned, gone, ["leaf"], "left_anti", hot_folders).select(*src.columns)
+    return match_unique(owned, gone, ["leaf"], "left_anti").select(*src.columns)

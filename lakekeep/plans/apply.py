@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakekeep.operators.diff import ADD, DELETE, OPS, UPDATE
-from lakekeep.operators.keyed import (
-    HIT, HOT_ROWS, RIGHT, hot_values, key_column, last_wins, match_unique,
-)
+from lakekeep.operators.keyed import HIT, RIGHT, last_wins, match_unique
 from lakekeep.operators.usage import file_flag
-from lakekeep.plans.actions import KIND_CONFLICT, SOURCE_MISSING, delete_rows
+from lakekeep.plans.actions import KIND_CONFLICT, SOURCE_MISSING, UNKNOWN_OP, delete_rows
 from lakekeep.session import pinned
 
 
@@ -35,36 +33,33 @@ def apply_changes(
     keys: Sequence[str] = ("path",),
     order: Sequence[str] | None = None,
     tree: bool = False,
-    hot: Sequence | None = None,
-    min_hot_rows: int = HOT_ROWS,
+    carry: Sequence[str] = (),
 ) -> Applied:
     """The snapshot after the changes, and the changes that could not be made.
 
     ADD and UPDATE take the source row, DELETE removes the target row. The last
     change of a key counts, as does its last source row. A change whose source
-    row is gone fails, and the target row is kept. With `tree` the rows are
+    row is gone fails, as does one of an unknown op, and the target row is kept. With `tree` the rows are
     files and folders: a file over a folder fails too, and the DELETE of a
-    folder takes what lies below it. Changes of an unknown op are left to
-    `outcomes`. `hot` are hot keys of the target, see `match_unique`.
+    folder takes what lies below it, but for rows whose own change failed. Failures carry
+    the columns `carry` of their changes.
     """
-    keys = list(keys)
+    keys, carry = list(keys), list(carry)
     columns = target.columns
-    if hot is None:
-        hot = hot_values(target, key_column(keys), min_hot_rows)
-    known = changes.where(F.col("op").isin(*OPS))
-    by = _order(known, order)
-    told = last_wins(known.select(*keys, *dict.fromkeys(["op", *by])), keys, by).select(*keys, "op")
+    by = _order(changes, order)
+    wanted = dict.fromkeys(["op", *by, *carry])
+    told = last_wins(changes.select(*keys, *[c for c in wanted if c not in keys]), keys, by).select(*keys, "op", *carry)
     # Only changed rows of the source are worth a shuffle.
     fresh = source.select(*columns, *[c for c in _order(source, None) if c not in columns])
-    fresh = match_unique(fresh, told.select(*keys), keys, "left_semi", None, min_hot_rows)
+    fresh = match_unique(fresh, told.select(*keys), keys, "left_semi")
     fresh = last_wins(fresh, keys, _order(source, None)).select(*columns)
     if tree:
         fresh = fresh.withColumn("_file", file_flag(fresh))
 
-    # Both sides have unique keys from here on, so none of them can be hot.
-    decided = match_unique(told, fresh, keys, "left", ())
+    decided = match_unique(told, fresh, keys, "left")
     builds = F.col("op").isin(ADD, UPDATE)
-    reason = F.when(builds & F.col(HIT).isNull(), SOURCE_MISSING)
+    known = F.coalesce(F.col("op").isin(*OPS), F.lit(False))
+    reason = F.when(~known, UNKNOWN_OP).when(builds & F.col(HIT).isNull(), SOURCE_MISSING)
     if tree:
         held = target.select(*keys, file_flag(target).alias("held_file")).groupBy(*keys)
         decided = decided.join(held.agg(F.max("held_file").alias("held_file")), keys, "left")
@@ -78,10 +73,12 @@ def apply_changes(
     if tree:
         folders = made.where((F.col("op") == DELETE) & ~F.col("held_file"))
         folders = folders.select("path", F.lit(False).alias("is_file"))
-        kept = delete_rows(target, folders, True, hot, min_hot_rows)
-    kept = match_unique(kept, made.select(*keys), keys, "left_anti", hot)
+        failed = decided.where(F.col("reason").isNotNull()).select(*keys)
+        spared = match_unique(target, failed, keys, "left_semi")
+        kept = delete_rows(match_unique(target, failed, keys, "left_anti"), folders, True).unionByName(spared)
+    kept = match_unique(kept, made.select(*keys), keys, "left_anti")
     taken = made.where(builds).select(
         *[F.col(c) if c in keys else F.col(RIGHT + c).alias(c) for c in columns]
     )
-    failures = decided.where(F.col("reason").isNotNull()).select(*keys, "op", "reason")
+    failures = decided.where(F.col("reason").isNotNull()).select(*keys, "op", "reason", *[c for c in carry if c not in keys])
     return Applied(kept.unionByName(taken), failures)

@@ -12,14 +12,14 @@ from lakekeep.operators.keyed import last_wins
 from lakekeep.operators.split import split_work
 from lakekeep.operators.verify import exclude_trash, verify
 from lakekeep.plans.actions import (
-    counters, delete_rows, outcomes, plan_actions, plan_source_delete,
+    REMOVE, VERIFY, counters, delete_outcomes, delete_rows, outcomes, plan_actions, plan_source_delete,
 )
 from lakekeep.plans.apply import apply_changes
 from lakekeep.plans.inputs import (
-    CHANGES_SQL, INV, NEW_DAY, OLD_DAY, TREES, change_text, inventory, listing_text, tree_at,
+    CHANGES_SQL, INV, TREES, WHOLE_TREE, change_text, inventory, listing_text, tree_at,
 )
 from lakekeep.plans.registry import query
-from lakekeep.plans.sync import sync_diff, sync_full
+from lakekeep.plans.sync import run_changes, sync_diff, sync_full
 from lakekeep.session import load, pinned, work_path
 from lakekeep.sources.listing import parse_changes, read_changes, read_listing
 from lakekeep.sources.sinks import write_failures
@@ -33,7 +33,7 @@ def listed(df: DataFrame, *more: str) -> DataFrame:
 
 
 def trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return tree_at(spark, sf, OLD_DAY), tree_at(spark, sf, NEW_DAY)
+    return tree_at(spark, sf, "old"), tree_at(spark, sf, "new")
 
 
 def landed_text(spark: SparkSession, lines: DataFrame, name: str) -> str:
@@ -79,7 +79,7 @@ def last_wins_query(spark: SparkSession, sf: str) -> DataFrame:
     return last_wins(lines, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
 
 
-@query("listing_scan", f"""with {TREES}
+@query("listing_scan", f"""with {WHOLE_TREE}
 select {LISTED_SQL}, 'valid' status from new where priority <> '5-LOW' and priority not like '% %'
 union all select null, null, null, null, null, null,
        case when priority = '5-LOW' then concat('Found ', cast(size as varchar), ' items')
@@ -87,17 +87,17 @@ union all select null, null, null, null, null, null,
                         strftime(mtime, '%Y-%m-%d %H:%M'), ' ', path, '-', priority, '  ') end, 'arity'
 from new where priority = '5-LOW' or priority like '% %'""")
 def listing_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = landed_text(spark, listing_text(tree_at(spark, sf, NEW_DAY)), "listing")
+    path = landed_text(spark, listing_text(tree_at(spark, sf, "all")), "listing")
     valid, invalid = read_listing(spark, path)
     bad = invalid.select(F.col("raw").alias("path"), F.col("reason").alias("status"))
     return listed(valid).withColumn("status", F.lit("valid")).unionByName(bad, allowMissingColumns=True)
 
 
-@query("change_scan", f"""with {TREES}, {CHANGES_SQL}
+@query("change_scan", f"""with {WHOLE_TREE}, {CHANGES_SQL}
 select op, case when op is not null then permission end permission, case when op is not null then "owner" end "owner",
        case when op is not null then grp end grp, case when op is not null then path end path, raw from changes""")
 def change_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = landed_text(spark, change_text(tree_at(spark, sf, NEW_DAY)), "changes")
+    path = landed_text(spark, change_text(tree_at(spark, sf, "all")), "changes")
     return read_changes(spark, path).select("op", "permission", "owner", "grp", "path", "raw")
 
 
@@ -155,14 +155,14 @@ def migrate_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("migrate_failures", f"""with {OUTCOME_SQL},
-numbered as (select *, row_number() over (order by md5(concat('7', raw)), raw) - 1 idx, count(*) over () n from outcome)
+numbered as (select *, row_number() over (order by md5(concat('7', chr(31), raw)), raw) - 1 idx, count(*) over () n from outcome)
 select cast(idx // greatest(cast(ceil(n / 25.0) as bigint), 1) as integer) chunk, raw, reason
 from numbered where reason is not null""")
 def migrate_failures(spark: SparkSession, sf: str) -> DataFrame:
     old, new = trees(spark, sf)
-    chunked = split_work(parsed_changes(new), 25, on="raw").drop("idx")
+    chunked = split_work(change_text(new).withColumnRenamed("value", "raw"), 25).drop("idx")
     path = work_path(spark, "failures")
-    write_failures(outcomes(chunked, old), path)
+    write_failures(outcomes(parse_changes(chunked), old), path)
     return spark.read.schema("chunk int, raw string, reason string").parquet(path)
 
 
@@ -197,17 +197,49 @@ select distinct c.path,
        case when n.path is null and o.path is null then 'NO_BOTH' when n.path is null then 'NO_SOURCE'
             when o.path is null then 'NO_TARGET'
             when n.permission like 'd%' and o.permission like 'd%' then 'MATCH'
-            when n.size = o.size then 'MATCH' else 'CONTENT' end status
+            when n.content = o.content then 'MATCH' else 'CONTENT' end status
 from outcome c left join new n on c.path = n.path left join old o on c.path = o.path
 where c.op in ('ADD', 'UPDATE') and not contains(c.path, '/.Trash/')""")
 def verify_changes(spark: SparkSession, sf: str) -> DataFrame:
-    def sized(tree: DataFrame) -> DataFrame:
-        return tree.select(
-            "path", F.col("permission").startswith("-").alias("is_file"), F.col("size").cast("string").alias("digest")
-        )
+    old, new = trees(spark, sf)
+    return verify(contents(new), contents(old), parsed_changes(new))
+
+
+def contents(tree: DataFrame) -> DataFrame:
+    return tree.select("path", F.col("permission").startswith("-").alias("is_file"), F.col("content").alias("digest"))
+
 
+STATUS_SQL = """case when n.path is null and o.path is null then 'no_both' when n.path is null then 'no_source'
+            when o.path is null then 'no_target'
+            when n.permission like 'd%' and o.permission like 'd%' then null
+            when n.content = o.content then null else 'content' end"""
+
+
+@query("verify_counters", f"""with {TREES}, {CHANGES_SQL},
+told as (select c.*, contains(c.path, '/.Trash/') skipped,
+                case when c.op in ('ADD', 'UPDATE') and not contains(c.path, '/.Trash/') then {STATUS_SQL} end reason
+         from changes c left join new n on c.path = n.path left join old o on c.path = o.path)
+select count(*) total, count(*) filter (where op is not null and reason is null) succ,
+       count(*) filter (where reason is not null) fail, count(*) filter (where op is null) invalid,
+       0::bigint added, 0::bigint deleted, 0::bigint updated, 0::bigint mkdir, 0::bigint copied,
+       count(*) filter (where reason is not null) reduced from told""")
+def verify_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """A verify job makes no changes; mismatches are its failures."""
+    old, new = trees(spark, sf)
+    lines = pinned(parsed_changes(new), "lines")
+    found = verify(contents(new), contents(old), lines)
+    return counters(outcomes(lines, old, VERIFY, found), VERIFY)
+
+
+@query("delete_counters", f"""with {TREES}, {CHANGES_SQL},
+told as (select c.*, c.op is not null and exists (select 1 from old o where o.path = c.path and o.permission like '-%') doomed
+         from changes c)
+select count(*) total, count(*) filter (where op is not null) succ, 0::bigint fail,
+       count(*) filter (where op is null) invalid, 0::bigint added, count(*) filter (where doomed) deleted,
+       0::bigint updated, 0::bigint mkdir, 0::bigint copied, 0::bigint reduced from told""")
+def delete_counters(spark: SparkSession, sf: str) -> DataFrame:
     old, new = trees(spark, sf)
-    return verify(sized(new), sized(old), parsed_changes(new))
+    return counters(delete_outcomes(parsed_changes(new), old), REMOVE)
 
 
 @query("apply_changes", f"with {TREES} select {LISTED_SQL} from new")
@@ -217,13 +249,15 @@ def apply_changes_query(spark: SparkSession, sf: str) -> DataFrame:
     return listed(apply_changes(old, new, changes).snapshot)
 
 
-@query("apply_failures", f"""with {OUTCOME_SQL}
-select c.path, c.op, case when n.path is null then 'source_missing' else 'kind_conflict' end reason
-from (select distinct path, op from outcome where op in ('ADD', 'UPDATE')) c left join new n on c.path = n.path
-left join old o on c.path = o.path
-where n.path is null or (n.permission like '-%' and o.permission like 'd%')""")
+@query("apply_failures", f"""with {OUTCOME_SQL},
+told as (select case when op is not null then path end path, max(op) op from outcome group by 1)
+select c.path, c.op, case when c.op is null or c.op not in ('ADD', 'UPDATE', 'DELETE') then 'unknown_op'
+                          when n.path is null then 'source_missing' else 'kind_conflict' end reason
+from told c left join new n on c.path = n.path left join old o on c.path = o.path
+where c.op is null or c.op not in ('ADD', 'UPDATE', 'DELETE')
+   or (c.op <> 'DELETE' and (n.path is null or (n.permission like '-%' and o.permission like 'd%')))""")
 def apply_failures(spark: SparkSession, sf: str) -> DataFrame:
-    """Changes whose source is gone: the trash paths of the change text are not in the tree."""
+    """Changes of an unknown op, and those whose source is gone: the trash paths of the change text are not in the tree."""
     old, new = trees(spark, sf)
     return apply_changes(old, new, parsed_changes(new), tree=True).failures
 
@@ -233,19 +267,43 @@ select {LISTED_SQL} from new where priority <> '5-LOW' and priority not like '%
 def sync_diff_query(spark: SparkSession, sf: str) -> DataFrame:
     """From two listing texts to the synchronised snapshot."""
     old, new = (
-        read_listing(spark, landed_text(spark, listing_text(tree_at(spark, sf, day)), "listing"))[0]
-        for day in (OLD_DAY, NEW_DAY)
+        read_listing(spark, landed_text(spark, listing_text(tree_at(spark, sf, state)), "listing"))[0]
+        for state in ("old", "new")
     )
     return listed(sync_diff(spark, old, new, work_path(spark, "sync")).snapshot)
 
 
-@query("sync_full", f"with {TREES} select {LISTED_SQL} from new")
+@query("sync_full", f"with {WHOLE_TREE} select {LISTED_SQL} from new")
 def sync_full_query(spark: SparkSession, sf: str) -> DataFrame:
-    return listed(sync_full(spark, tree_at(spark, sf, NEW_DAY), work_path(spark, "sync"), stored=True).snapshot)
+    return listed(sync_full(spark, tree_at(spark, sf, "all"), work_path(spark, "sync"), stored=True).snapshot)
+
+
+@query("sync_unchanged", f"""with {TREES}
+select {LISTED_SQL}, 0::bigint changes from new""")
+def sync_unchanged(spark: SparkSession, sf: str) -> DataFrame:
+    """A sync of a tree with itself: no change, and the same tree after it."""
+    tree = tree_at(spark, sf, "new")
+    done = sync_diff(spark, tree, tree, work_path(spark, "sync"), stored=True)
+    return listed(done.snapshot).join(done.changes.agg(F.count("*").alias("changes")).hint("broadcast"))
+
+
+@query("sync_failures", f"""with {TREES}, lost as (select * from new where grp = 'P'),
+numbered as (
+  select op, path, row_number() over (order by md5(concat(
+      '7', chr(31), op, chr(31), coalesce(path, 'NULL'), chr(31), concat(op, ' ', path)))) - 1 idx, count(*) over () n
+  from (select 'ADD' op, path from new))
+select cast(idx // greatest(cast(ceil(n / 50.0) as bigint), 1) as integer) chunk, concat(op, ' ', path) raw, 'source_missing' reason
+from numbered where path in (select path from lost)""")
+def sync_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes whose source rows were lost before they were applied, by chunk and line."""
+    tree = tree_at(spark, sf, "new")
+    source = tree.where("grp <> 'P'")
+    changes = pinned(tree.select(F.lit("ADD").alias("op"), "path"), "changes")
+    return run_changes(spark, tree.where("false"), source, changes, work_path(spark, "sync"), 50).failures
 
 
 @query("split_work", f"""with {INV}, numbered as (
-  select path, row_number() over (order by md5(concat('7', path))) - 1 idx, count(*) over () n from inv)
+  select path, row_number() over (order by md5(concat('7', chr(31), path))) - 1 idx, count(*) over () n from inv)
 select path, idx, cast(idx // greatest(n // 40, 1) as integer) chunk from numbered""")
 def split_work_query(spark: SparkSession, sf: str) -> DataFrame:
     return split_work(inventory(spark, sf).select("path"), 40, mode="floor")

@@ -13,8 +13,7 @@ from lakekeep.functions.scalars import minute_stamp
 from lakekeep.session import load, work_path
 
 AS_OF = "2001-11-04 00:00:00"
-OLD_DAY, NEW_DAY = "2000-01-01", "2001-01-01"
-KEPT_YEARS = 4
+SPLIT_DAY = "2000-01-01"
 ROOTS = [
     "/warehouse/orders",
     "/warehouse/orders/status=F",
@@ -77,23 +76,31 @@ def permission_of() -> Column:
     )
 
 
-def tree_at(spark: SparkSession, sf: str, day: str) -> DataFrame:
-    """The file tree as it stood on a day, as a stored table: files and their folders.
+def tree_at(spark: SparkSession, sf: str, state: str) -> DataFrame:
+    """A file tree of the orders as a stored table: files and their folders.
 
-    A file appears with its order, grows with every finished line, is touched
-    by every line, and expires when untouched for some years. The files are
+    `all` holds every order with all its lines. `old` is the tree before returns:
+    orders up to SPLIT_DAY, and those that will be returned whole. `new` is the tree after them: every order
+    that is not returned whole, without the lines that are, and touched later where
+    lines were accepted. So every order and line is in at least one of the two. The files are
     joined together once; the folders come from what was stored.
     """
-    at = F.lit(day).cast("timestamp_ntz")
-    done = F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))
-    lines = load(spark, sf, "lineitem").where(F.col("l_shipdate") <= at).groupBy(
-        F.col("l_orderkey").alias("o_orderkey")
-    ).agg(F.max("l_shipdate").alias("touched"), F.coalesce(F.sum(done), F.lit(0.0)).alias("grown"))
-    orders = load(spark, sf, "orders").where(F.col("o_orderdate") <= at)
+    left = F.col("l_returnflag") != "R" if state == "new" else F.lit(True)
+    lines = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.max(F.when(left, F.col("l_shipdate"))).alias("touched"),
+        F.coalesce(F.sum(F.when(left, F.col("l_quantity"))), F.lit(0.0)).alias("grown"),
+        F.coalesce(F.sum(F.when(left, F.col("l_partkey"))), F.lit(0)).alias("parts"),
+        F.bool_and(F.col("l_returnflag") == "R").alias("returned"), F.bool_or(F.col("l_returnflag") == "A").alias("accepted"),
+    )
+    returned = F.coalesce("returned", F.lit(False))
+    kept = {
+        "all": F.lit(True), "old": (F.col("o_orderdate") <= F.lit(SPLIT_DAY).cast("timestamp_ntz")) | returned, "new": ~returned,
+    }[state]
+    mtime = F.greatest("o_orderdate", "touched")
+    if state == "new":
+        mtime = F.when(F.coalesce("accepted", F.lit(False)), mtime + F.expr("interval 1 hour")).otherwise(mtime)
     files = (
-        orders.join(lines, "o_orderkey", "left")
-        .withColumn("mtime", F.greatest("o_orderdate", "touched"))
-        .where(F.col("mtime") >= at - F.expr(f"interval {KEPT_YEARS} years"))
+        load(spark, sf, "orders").join(lines, "o_orderkey", "left").where(kept)
         .select(
             F.concat(_order_dir(), F.lit("/order-"), _text("o_orderkey")).alias("path"),
             permission_of().alias("permission"),
@@ -101,8 +108,9 @@ def tree_at(spark: SparkSession, sf: str, day: str) -> DataFrame:
             F.concat(F.lit("u"), _text("o_custkey")).alias("owner"),
             F.col("o_orderstatus").alias("grp"),
             (F.round("o_totalprice") + F.coalesce("grown", F.lit(0.0))).cast("bigint").alias("size"),
-            "mtime",
+            mtime.alias("mtime"),
             F.col("o_orderpriority").alias("priority"),
+            F.concat_ws(":", _text("o_orderkey"), _text(F.coalesce("parts", F.lit(0)))).alias("content"),
         )
     )
     path = work_path(spark, "tree")
@@ -112,14 +120,20 @@ def tree_at(spark: SparkSession, sf: str, day: str) -> DataFrame:
     folders = stored.groupBy(folder.alias("path"), "grp").agg(F.max("mtime").alias("mtime")).select(
         "path", F.lit("drwxr-xr-x").alias("permission"), F.lit("-").alias("replication"),
         F.lit("hdfs").alias("owner"), "grp", F.lit(0).cast("bigint").alias("size"), "mtime",
-        F.lit("0-FOLDER").alias("priority"),
+        F.lit("0-FOLDER").alias("priority"), F.lit(None).cast("string").alias("content"),
     )
     folders.write.mode("append").parquet(path)
     return spark.read.schema(files.schema).parquet(path)
 
 
-def tree_sql(name: str, day: str) -> str:
+def tree_sql(name: str, state: str) -> str:
     """`name` as a common table expression; `name`_f holds the files alone."""
+    left = "l_returnflag <> 'R'" if state == "new" else "true"
+    later = "case when l.accepted then interval '1 hour' else interval '0 hour' end" if state == "new" else "interval '0 hour'"
+    kept = {
+        "all": "true", "old": f"o.o_orderdate <= timestamp '{SPLIT_DAY} 00:00:00' or coalesce(l.returned, false)",
+        "new": "not coalesce(l.returned, false)",
+    }[state]
     return f"""
 {name}_f as (
   select concat('/warehouse/orders/status=', o.o_orderstatus, '/year=',
@@ -128,22 +142,25 @@ def tree_sql(name: str, day: str) -> str:
               else '-rw-r--r--' end permission,
          '3' replication, concat('u', cast(o.o_custkey as varchar)) "owner", o.o_orderstatus grp,
          cast(round(o.o_totalprice) + coalesce(l.grown, 0) as bigint) size,
-         greatest(o.o_orderdate, l.touched) mtime, o.o_orderpriority priority
+         greatest(o.o_orderdate, l.touched) + {later} mtime, o.o_orderpriority priority,
+         concat(cast(o.o_orderkey as varchar), ':', cast(coalesce(l.parts, 0) as varchar)) content
   from orders o left join (
-    select l_orderkey, max(l_shipdate) touched,
-           sum(case when l_linestatus = 'F' then l_quantity end) grown
-    from lineitem where l_shipdate <= timestamp '{day} 00:00:00' group by l_orderkey) l
+    select l_orderkey, max(case when {left} then l_shipdate end) touched, sum(case when {left} then l_quantity end) grown,
+           sum(case when {left} then l_partkey end) parts,
+           bool_and(l_returnflag = 'R') returned, bool_or(l_returnflag = 'A') accepted
+    from lineitem group by l_orderkey) l
     on o.o_orderkey = l.l_orderkey
-  where o.o_orderdate <= timestamp '{day} 00:00:00'
-    and greatest(o.o_orderdate, l.touched) >= timestamp '{day} 00:00:00' - interval '{KEPT_YEARS} years'),
+  where {kept}),
 {name} as (
   select * from {name}_f
   union all
-  select regexp_replace(path, '/[^/]*$', ''), 'drwxr-xr-x', '-', 'hdfs', grp, 0, max(mtime), '0-FOLDER'
+  select regexp_replace(path, '/[^/]*$', ''), 'drwxr-xr-x', '-', 'hdfs', grp, 0, max(mtime), '0-FOLDER', null
   from {name}_f group by 1, grp)"""
 
 
-TREES = f"{tree_sql('old', OLD_DAY)},{tree_sql('new', NEW_DAY)}"
+TREES = f"{tree_sql('old', 'old')},{tree_sql('new', 'new')}"
+# The whole inventory under the name of the newer tree.
+WHOLE_TREE = tree_sql("new", "all")
 
 
 def _spaced_path() -> Column:

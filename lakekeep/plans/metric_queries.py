@@ -11,10 +11,10 @@ from lakekeep.operators.metrics import (
 )
 from lakekeep.plans.inputs import METRIC_SQL, metric_snapshots
 from lakekeep.plans.registry import query
-from lakekeep.session import load, work_path
-from lakekeep.sources.sinks import write_metrics
-from lakekeep.sources.snapshots import explode_beans
-from lakekeep.streaming.metrics import metric_stream
+from lakekeep.session import load, pinned, work_path
+from lakekeep.sources.sinks import expire_metrics, write_metrics
+from lakekeep.sources.snapshots import broken_snapshots, explode_beans
+from lakekeep.streaming.metrics import close_stream, metric_stream, stored_points
 
 MINUTE_SQL = "strftime(ts, '%Y-%m-%d %H:%M')"
 RETAIN_FROM, RETAIN_TO = "2024-01-10 00:00:00", "2024-03-10 00:00:00"
@@ -66,8 +66,36 @@ def metric_retained(spark: SparkSession, sf: str) -> DataFrame:
     store = work_path(spark, "metrics")
     points = dedupe_points(metric_points(beans(spark, sf)))
     write_metrics(points, store)
-    stored = spark.read.schema(points.schema).parquet(store)
-    return timed(retain(stored, RETAIN_TO)).drop("date", "hour")
+    stored = spark.read.schema(points.schema.add("date", "string")).parquet(store)
+    return timed(retain(stored, RETAIN_TO)).drop("date")
+
+
+@query("metric_expired", f"""with {DEDUPED_SQL}
+select distinct strftime(ts, '%Y-%m-%d') as "day", ts::date + 1 > timestamp '{RETAIN_FROM}' held from kept""")
+def metric_expired(spark: SparkSession, sf: str) -> DataFrame:
+    """The days of the store, and whether they are still there after what lies before the kept time was dropped."""
+    store = work_path(spark, "metrics")
+    points = dedupe_points(metric_points(beans(spark, sf)))
+    write_metrics(points, store)
+    schema = points.schema.add("date", "string")
+    days = pinned(spark.read.schema(schema).parquet(store).select(F.col("date").alias("day")).distinct())
+    expire_metrics(spark, store, RETAIN_TO, 60)
+    left = spark.read.schema(schema).parquet(store).select(F.col("date").alias("day"), F.lit(True).alias("left")).distinct()
+    return days.join(left, "day", "left").select("day", F.coalesce("left", F.lit(False)).alias("held"))
+
+
+@query("jmx_broken", f"""with {METRIC_SQL}
+select {MINUTE_SQL} ts, namespace, node, case namespace when 'error' then 'json' when 'click' then 'beans' else 'missing' end reason
+from nodes where namespace in ('error', 'click', 'view')""")
+def jmx_broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots cut short, without beans or without payload are told with the reason."""
+    payload = (
+        F.when(F.col("namespace") == "error", F.substring("payload", 1, 100))
+        .when(F.col("namespace") == "click", F.lit('{"other": []}'))
+        .when(F.col("namespace") != "view", F.col("payload"))
+    )
+    broken = broken_snapshots(metric_snapshots(spark, sf).withColumn("payload", payload))
+    return timed(broken.drop("payload"))
 
 
 @query("contact_stats", f"""with {METRIC_SQL}
@@ -90,14 +118,12 @@ def metric_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("metric_stream", f"""with {DEDUPED_SQL}
-select {MINUTE_SQL} ts, namespace, measurement, "value" from kept where ts < (select max(ts) from kept)""")
+select {MINUTE_SQL} ts, namespace, measurement, "value" from kept""")
 def metric_stream_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Snapshots landed as JSON files, taken up by the stream, read back from its store.
-
-    The last hour stays open: no later snapshot has moved the watermark past it.
-    """
+    """Snapshots landed as JSON files, taken up by the stream, closed, and read back from its store."""
     landed, store = work_path(spark, "landed"), work_path(spark, "metrics")
     metric_snapshots(spark, sf).write.json(landed)
     metric_stream(spark, landed, store, work_path(spark, "stream"), every=None).awaitTermination()
-    stored = spark.read.schema("ts timestamp, namespace string, measurement string, value double").parquet(store)
-    return timed(stored).drop("date", "hour")
+    closing = work_path(spark, "closing")
+    close_stream(spark, landed, store, closing)
+    return timed(stored_points(spark, store, closing))

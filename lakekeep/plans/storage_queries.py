@@ -5,17 +5,20 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekeep.operators.compaction import compact_text, line_count, plan_compaction
+from lakekeep.operators.compaction import compact_text, line_count, plan_compaction, swap_compacted
 from lakekeep.operators.partitions import (
     found_partitions, missing_partitions, register_partitions, registered_partitions,
 )
-from lakekeep.operators.quarantine import purge, quarantine, quarantine_files, quarantine_partition, write_trash
-from lakekeep.operators.usage import partition_usage
-from lakekeep.plans.inputs import INV, NEW_DAY, OLD_DAY, TREES, inventory, tree_at
+from lakekeep.operators.quarantine import (
+    move_matching, purge, purge_trash, quarantine, quarantine_files, quarantine_partition, read_trash, write_trash,
+)
+from lakekeep.operators.usage import partition_usage, table_usage
+from lakekeep.plans.inputs import INV, TREES, inventory, tree_at
 from lakekeep.plans.registry import query
 from lakekeep.plans.usage_queries import GLOB, GLOB_SQL
 from lakekeep.session import load, pinned, work_path
@@ -78,16 +81,16 @@ def file_scan(spark: SparkSession, sf: str) -> DataFrame:
     return partition_usage(scan_files(spark, f"{path}/lang=*/*"), ["lang"]).drop("files")
 
 
-@query("quarantine_kept", "select doc_id, n_chars, lang from documents where n_chars >= 400")
+@query("quarantine_kept", "select doc_id, n_chars, lang, text from documents where n_chars >= 400")
 def quarantine_kept(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "text")
     return quarantine(docs, F.col("n_chars") < 400, TRASH_DAY)[0]
 
 
 @query("quarantine_trash", f"""
-select doc_id, n_chars, lang, '{TRASH_DAY}' trash_day from documents where n_chars < 400""")
+select doc_id, n_chars, lang, text, '{TRASH_DAY}' trash_day from documents where n_chars < 400""")
 def quarantine_trash(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "text")
     return quarantine(docs, F.col("n_chars") < 400, TRASH_DAY)[1]
 
 
@@ -98,16 +101,29 @@ def quarantine_files_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("purge_day", f"""
-select doc_id, n_chars, '{LATER_DAY}' trash_day from documents where n_chars >= 400 and lang = 'fr'""")
+select doc_id, n_chars, text, '{LATER_DAY}' trash_day from documents where n_chars >= 400 and lang = 'fr'""")
 def purge_day(spark: SparkSession, sf: str) -> DataFrame:
     """Two days of trash on disk, one purged."""
     root = work_path(spark, "trash")
-    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "text")
     kept, first = quarantine(docs, F.col("n_chars") < 400, TRASH_DAY)
-    write_trash(first.drop("lang"), root)
-    write_trash(quarantine(kept, F.col("lang") == "fr", LATER_DAY)[1].drop("lang"), root)
-    stored = spark.read.schema("doc_id bigint, n_chars bigint, trash_day string").parquet(root)
-    return purge(stored, TRASH_DAY)
+    write_trash(first.drop("lang"), root, "docs")
+    write_trash(quarantine(kept, F.col("lang") == "fr", LATER_DAY)[1].drop("lang"), root, "docs")
+    return purge(read_trash(spark, root, "docs", docs.drop("lang").schema), TRASH_DAY)
+
+
+@query("purge_moved", f"with {LINES_SQL}, by_lang as (select lang, unnest(string_split(text, chr(10))) line from documents) "
+       "select lang, md5(line) digest, count(*) copies from by_lang where lang in ('de', 'es') group by 1, 2")
+def purge_moved(spark: SparkSession, sf: str) -> DataFrame:
+    """Two folders moved to the trash on one day and one on a later day; the first day is purged."""
+    trash, path = work_path(spark, "trash"), document_text(spark, sf, by_lang=True)
+    move_matching(spark, f"{path}/lang={{en,fr}}", trash, TRASH_DAY)
+    later = move_matching(spark, f"{path}/lang=es", trash, LATER_DAY)
+    purge_trash(spark, trash, TRASH_DAY)
+    left = [at for at in (f"{path}/lang=*", *later) if at]
+    lang = F.regexp_extract(F.col("_metadata.file_path"), "/lang=([^/]*)/", 1)
+    lines = read_text_tree(spark, left, "\n").select("value", lang.alias("lang"))
+    return lines.groupBy("lang", F.md5("value").alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query("partitions_missing", f"""with {TREES}
@@ -117,7 +133,7 @@ def partitions_missing(spark: SparkSession, sf: str) -> DataFrame:
     names = ["status", "year"]
     old, new = (
         found_partitions(t.where(F.col("permission").startswith("-")), names)
-        for t in (tree_at(spark, sf, OLD_DAY), tree_at(spark, sf, NEW_DAY))
+        for t in (tree_at(spark, sf, "old"), tree_at(spark, sf, "new"))
     )
     return missing_partitions(new, old, names)
 
@@ -127,9 +143,9 @@ def document_table(spark: SparkSession, sf: str, registered: bool = True) -> Ite
     """(table, folder): the documents as an external table by language; forgotten at the end."""
     folder = work_path(spark, "table")
     table = f"lakekeep_{uuid.uuid4().hex}"
-    load(spark, sf, "documents").select("doc_id", "n_chars", "lang").write.partitionBy("lang").parquet(folder)
+    load(spark, sf, "documents").select("doc_id", "n_chars", "text", "lang").write.partitionBy("lang").parquet(folder)
     spark.sql(
-        f"create table {table} (doc_id bigint, n_chars bigint, lang string) using parquet "
+        f"create table {table} (doc_id bigint, n_chars bigint, text string, lang string) using parquet "
         f"partitioned by (lang) location '{folder}'"
     )
     try:
@@ -140,12 +156,12 @@ def document_table(spark: SparkSession, sf: str, registered: bool = True) -> Ite
         spark.sql(f"drop table {table}")
 
 
-@query("partition_files", "select doc_id, n_chars, lang, true has_file from documents where lang = 'fr'")
+@query("partition_files", "select doc_id, n_chars, text, lang, true has_file from documents where lang = 'fr'")
 def partition_files(spark: SparkSession, sf: str) -> DataFrame:
     with document_table(spark, sf) as (table, _):
         rows = scan_partition(spark, table, ["fr"])
         sized = (F.col("file_path").contains("lang=fr")) & (F.col("file_size") > 0)
-        return pinned(rows.select("doc_id", "n_chars", "lang", sized.alias("has_file")))
+        return pinned(rows.select("doc_id", "n_chars", "text", "lang", sized.alias("has_file")))
 
 
 @query("partition_registry", """
@@ -164,11 +180,51 @@ def partition_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("quarantine_partition", """
-select doc_id, n_chars, lang, case when lang = 'fr' then 'trash' else 'table' end place from documents""")
+select doc_id, n_chars, text, lang, case when lang = 'fr' then 'trash' else 'table' end place from documents""")
 def quarantine_partition_query(spark: SparkSession, sf: str) -> DataFrame:
     trash = work_path(spark, "trash")
     with document_table(spark, sf) as (table, _):
-        quarantine_partition(spark, table, ["fr"], trash, TRASH_DAY)
-        left = pinned(spark.table(table))
-        gone = spark.read.schema(left.schema).parquet(f"{trash}/{TRASH_DAY}/{table}/fr")
+        goal = quarantine_partition(spark, table, ["fr"], trash, TRASH_DAY)
+        left = pinned(spark.table(table).select("doc_id", "n_chars", "text", "lang"))
+        gone = spark.read.schema(left.drop("lang").schema).parquet(goal).withColumn("lang", F.lit("fr"))
     return left.withColumn("place", F.lit("table")).unionByName(gone.withColumn("place", F.lit("trash")))
+
+
+@query("quarantine_register", """
+select 'left' step, lang from documents where lang <> 'fr' group by lang
+union all select 'again', lang from documents where lang <> 'fr' group by lang""")
+def quarantine_register(spark: SparkSession, sf: str) -> DataFrame:
+    """A partition in the trash stays unknown when the table's folders are registered again."""
+    with document_table(spark, sf) as (table, folder):
+        quarantine_partition(spark, table, ["fr"], work_path(spark, "trash"), TRASH_DAY)
+        left = pinned(registered_partitions(spark, table)).withColumn("step", F.lit("left"))
+        register_partitions(spark, table, found_partitions(scan_files(spark, f"{folder}/lang=*/*"), ["lang"]))
+        again = pinned(registered_partitions(spark, table)).withColumn("step", F.lit("again"))
+    return left.unionByName(again)
+
+
+@query("usage_table", """
+select lang, count(*) > 0 has_bytes, true one_form from documents group by lang
+union all select 'xx', false, true""")
+def usage_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of table partitions from the catalog's locations, against those of the whole inventory."""
+    with document_table(spark, sf) as (table, folder):
+        whole = pinned(partition_usage(scan_files(spark, f"{folder}/lang=*/*"), ["lang"]).withColumnRenamed("bytes", "listed"))
+        langs = sorted(r["lang"] for r in registered_partitions(spark, table).collect()) + ["xx"]
+        each = [table_usage(spark, table, f"{v} / ").withColumn("lang", F.lit(v)) for v in langs]
+        told = pinned(reduce(DataFrame.unionByName, each))
+    both = told.join(whole.select("lang", "listed"), "lang", "left")
+    return both.select("lang", (F.col("bytes") > 0).alias("has_bytes"), (F.col("bytes") == F.coalesce("listed", F.lit(0))).alias("one_form"))
+
+
+@query("compact_swap", f"with {LINES_SQL} select 'out' place, md5(line) digest, count(*) copies from lines group by 2 "
+       "union all select 'trash', md5(line), count(*) from lines group by 2")
+def compact_swap(spark: SparkSession, sf: str) -> DataFrame:
+    """A compaction to its end: the new files under a prefix, the originals in the trash."""
+    source, made = document_text(spark, sf), work_path(spark, "compact")
+    out, trash = work_path(spark, "out"), work_path(spark, "trash")
+    compact_text(spark, source, made, "WARM", 1 << 26, "\n")
+    swap_compacted(spark, source, made, out, "packed-", trash, TRASH_DAY)
+    new = read_text_tree(spark, f"{out}/packed-*", "\n").select(F.lit("out").alias("place"), "value")
+    old = read_text_tree(spark, f"{trash}/{TRASH_DAY}", "\n").select(F.lit("trash").alias("place"), "value")
+    return new.unionByName(old).groupBy("place", F.md5("value").alias("digest")).agg(F.count(F.lit(1)).alias("copies"))

@@ -12,7 +12,7 @@ from lakekeep.operators.diff import ADD, exclude_transient, snapshot_diff
 from lakekeep.operators.split import split_work
 from lakekeep.plans.apply import apply_changes
 from lakekeep.session import pinned
-from lakekeep.sources.sinks import write_chunks, write_parquet_tier
+from lakekeep.sources.sinks import FAILURE_SCHEMA, write_chunks, write_failures, write_parquet_tier
 
 # Default numbers of work chunks.
 FULL_CHUNKS = 50
@@ -25,16 +25,24 @@ class Synced(NamedTuple):
     failures: DataFrame
 
 
-def _run(spark: SparkSession, target: DataFrame, source: DataFrame, changes: DataFrame,
-         out: str, chunks: int, seed: int, keys: Sequence[str], tier: str) -> Synced:
-    shuffled = split_work(pinned(changes, "changes"), chunks, seed, keys[0])
+def run_changes(
+    spark: SparkSession, target: DataFrame, source: DataFrame, changes: DataFrame, out: str, chunks: int = DIFF_CHUNKS,
+    seed: int = 7, keys: Sequence[str] = ("path",), tier: str = "WARM",
+) -> Synced:
+    """Shuffle, split and apply a change list; the steps that both kinds of synchronisation share."""
+    if "raw" not in changes.columns:
+        changes = changes.withColumn("raw", F.concat_ws(" ", "op", *keys))
+    shuffled = split_work(pinned(changes, "changes"), chunks, seed)
     write_chunks(shuffled, f"{out}/changes")
-    landed = spark.read.parquet(f"{out}/changes")
+    # Read with their schemas: there may be no change, and then no file.
+    landed = spark.read.schema(shuffled.schema).parquet(f"{out}/changes")
     columns = [c for c in target.columns if c != "pos"]
-    done = apply_changes(target.select(*columns), source, landed, keys)
+    done = apply_changes(target.select(*columns), source, landed, keys, carry=["chunk", "raw"])
     write_parquet_tier(done.snapshot, f"{out}/snapshot", tier)
-    write_parquet_tier(done.failures, f"{out}/failures", tier)
-    return Synced(landed, spark.read.parquet(f"{out}/snapshot"), spark.read.parquet(f"{out}/failures"))
+    write_failures(done.failures, f"{out}/failures")
+    snapshot = spark.read.schema(done.snapshot.schema).parquet(f"{out}/snapshot")
+    failures = spark.read.schema(FAILURE_SCHEMA).parquet(f"{out}/failures")
+    return Synced(landed, snapshot, failures)
 
 
 def sync_diff(
@@ -44,6 +52,8 @@ def sync_diff(
 ) -> Synced:
     """Diff, shuffle, split, apply. Everything is written below `out`, nothing is overwritten.
 
+    Failures are rows (chunk, raw, reason), `raw` being the change's line.
+
     `old` is the target's listing and `new` the source's. The change list is
     written once and read back, so the steps after it start from files. So are
     the listings, lest each pass parse their text again; `stored` says that
@@ -53,7 +63,7 @@ def sync_diff(
     if not stored:
         old, new = pinned(old, "old"), pinned(new, "new")
     changes = snapshot_diff(old, new, keys, ignore_time=ignore_time, path=None)
-    return _run(spark, old, new, changes, out, chunks, seed, keys, tier)
+    return run_changes(spark, old, new, changes, out, chunks, seed, keys, tier)
 
 
 def sync_full(
@@ -66,4 +76,4 @@ def sync_full(
         kept = pinned(kept, "new")
     changes = kept.withColumn("op", F.lit(ADD))
     empty = kept.where(F.lit(False))
-    return _run(spark, empty, kept, changes, out, chunks, seed, keys, tier)
+    return run_changes(spark, empty, kept, changes, out, chunks, seed, keys, tier)

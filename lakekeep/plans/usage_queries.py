@@ -11,7 +11,7 @@ from lakekeep.operators.split import byte_ranges
 from lakekeep.operators.usage import (
     dir_rollup, dir_summary, partition_usage, temperature_histogram, usage, usage_cube, year_histogram,
 )
-from lakekeep.plans.inputs import AS_OF, INV, NEW_DAY, ROOTS, inventory, tree_at, tree_sql
+from lakekeep.plans.inputs import AS_OF, INV, ROOTS, WHOLE_TREE, inventory, tree_at
 from lakekeep.plans.registry import query
 from lakekeep.session import load
 
@@ -61,14 +61,14 @@ def dir_rollup_query(spark: SparkSession, sf: str) -> DataFrame:
     return dir_rollup(inventory(spark, sf), ROOTS)
 
 
-@query("dir_rollup_listed", f"""with {tree_sql('new', NEW_DAY)},
+@query("dir_rollup_listed", f"""with {WHOLE_TREE},
 leaf as (select path root from new where permission like 'd%')
 select l.root, cast(sum(case when n.permission like '-%' then n.size end) as bigint) bytes,
        count(*) filter (where n.permission like '-%') files, count(*) filter (where n.permission like 'd%') dirs
 from leaf l join new n on n.path = l.root or starts_with(n.path, concat(l.root, '/')) group by l.root""")
 def dir_rollup_listed(spark: SparkSession, sf: str) -> DataFrame:
     """Roots given as a table: the folders of the listing themselves."""
-    tree = tree_at(spark, sf, NEW_DAY)
+    tree = tree_at(spark, sf, "all")
     roots = tree.where(~F.col("permission").startswith("-")).select(F.col("path").alias("root"))
     return dir_rollup(tree, roots)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,31 +31,56 @@ def build_session(app: str = "lakekeep", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-# Scratch folders of local sessions that name none, by application.
-_local_roots: dict[str, str] = {}
+# Folders that local sessions without a setting were given, by application; removed at exit.
+_own_roots: dict[str, str] = {}
+# Scratch paths handed out and not yet deleted, by application.
+_handed_out: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir.
 
-    Where it is unset a local session gets a folder of its own. A cluster
-    session is refused, since a machine-local folder would not be shared.
+    Only a session whose driver is its one executor may leave it unset; it gets a folder of
+    its own, which goes when the program ends. All others are refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="lakekeep-")
-    return _local_roots[app]
+    if app not in _own_roots:
+        _own_roots[app] = tempfile.mkdtemp(prefix="lakekeep-")
+        atexit.register(shutil.rmtree, _own_roots[app], ignore_errors=True)
+    return _own_roots[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created."""
-    return f"{shared_root(spark)}/lakekeep/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/lakekeep/{name}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The path's file system and the path as that system knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was stored within; results have to be written before that."""
+    held = _handed_out.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    try:
+        yield
+    finally:
+        for path in held[before:]:
+            fs, at = hadoop_path(spark, path)
+            fs.delete(at, True)
+        del held[before:]
 
 
 def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
@@ -63,12 +91,5 @@ def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Schemas already read, by path; later loads of a table start no job.
-_schemas: dict[str, StructType] = {}
-
-
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = os.path.join(folder, f"{name}.parquet")
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.operators.diff import change_lines
+from lakekeep.session import hadoop_path
 
 # The tiers' text codecs among those Spark's text writer offers.
 TEXT_CODECS = {"HOT": "lz4", "WARM": "gzip", "COLD": "bzip2"}
 PARQUET_CODECS = {"HOT": "lz4_raw", "WARM": "zstd", "COLD": "gzip"}
 NO_MARKER = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
+FAILURE_SCHEMA = "chunk int, raw string, reason string"
+
 # Rows per file of one chunk folder, so that a huge chunk is many tasks' work.
 CHUNK_FILE_ROWS = 1_000_000
 
@@ -58,11 +64,27 @@ def write_parquet_tier(rows: DataFrame, path: str, tier: str) -> None:
 
 
 def with_shards(points: DataFrame) -> DataFrame:
-    """Adds the shard columns of the metric store: day and hour."""
-    return points.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).withColumn("hour", F.hour("ts"))
+    """Adds the shard column of the metric store, the day."""
+    return points.withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
 
 
 def write_metrics(points: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the store. Rebalancing gives few files per shard and splits large shards."""
-    shards = with_shards(points).hint("rebalance", "date", "hour")
-    shards.write.mode(mode).partitionBy("date", "hour").parquet(path)
+    """Append to the store, one folder a day, ordered by time within a file.
+
+    Rebalancing gives few files per day and splits large days.
+    """
+    shards = with_shards(points).hint("rebalance", "date").sortWithinPartitions("date", "ts")
+    shards.write.mode(mode).partitionBy("date").parquet(path)
+
+
+def expire_metrics(spark: SparkSession, path: str, as_of: str, days: int) -> list[str]:
+    """Delete the day folders of the store that lie wholly before the kept time; returns their days."""
+    first = datetime.fromisoformat(as_of) - timedelta(days=int(days))
+    fs, at = hadoop_path(spark, path)
+    gone = []
+    for status in fs.listStatus(at):
+        day = re.fullmatch(r"date=(\d{4}-\d\d-\d\d)", status.getPath().getName())
+        if day and datetime.fromisoformat(day[1]) + timedelta(days=1) <= first:
+            fs.delete(status.getPath(), True)
+            gone.append(day[1])
+    return sorted(gone)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakekeep.operators.metrics import WATERMARK, dedupe_points, metric_points, windowed
-from lakekeep.sources.sinks import with_shards
-from lakekeep.sources.snapshots import explode_beans, stream_snapshots
-
-SHARD_FILES = 4
+from lakekeep.session import hadoop_path
+from lakekeep.sources.sinks import with_shards, write_metrics
+from lakekeep.sources.snapshots import explode_beans, read_snapshots, stream_snapshots
 
 
 def point_stream(
@@ -31,20 +32,40 @@ def metric_stream(
     spark: SparkSession, path: str, sink: str, checkpoint: str,
     every: str | None = "5 minutes", watermark: str = WATERMARK, max_files: int | None = None,
 ) -> StreamingQuery:
-    """Run the job into a day and hour sharded store; `every=None` takes what is there and ends.
+    """Run the job into a store sharded by day; `every=None` takes what is there and ends.
 
-    A batch writes a shard with at most SHARD_FILES tasks, which keeps files few and
-    no shard on one task.
+    Points that the watermark has not passed stay open; `close_stream` writes them when no more are to come.
     """
-    part = F.pmod(F.xxhash64("namespace", "measurement"), F.lit(SHARD_FILES))
     points = with_shards(point_stream(spark, path, watermark, max_files))
     writer = (
-        points.repartition("date", "hour", part)
-        .writeStream.format("parquet")
-        .partitionBy("date", "hour")
+        points.writeStream.format("parquet")
+        .partitionBy("date")
         .option("path", sink)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return writer.trigger(**trigger).start()
+
+
+POINT_SCHEMA = "ts timestamp, namespace string, measurement string, value double"
+
+
+def close_stream(spark: SparkSession, path: str, sink: str, closing: str) -> None:
+    """Write what an ended stream has left open to a store of its own: the points later than all in its sink.
+
+    The stream writes a time as a whole once the watermark has passed it, so the last time in
+    the sink tells which are missing. The sink's own log names its files, hence the second place.
+    """
+    points = dedupe_points(metric_points(explode_beans(read_snapshots(spark, path))))
+    fs, at = hadoop_path(spark, sink)
+    last = spark.read.schema(POINT_SCHEMA).parquet(sink).agg(F.max("ts").alias("t")) if fs.exists(at) else None
+    if last is not None:
+        # One row.
+        points = points.join(F.broadcast(last), F.col("t").isNull() | (F.col("ts") > F.col("t"))).drop("t")
+    write_metrics(points, closing)
+
+
+def stored_points(spark: SparkSession, *stores: str) -> DataFrame:
+    """The points of several stores, such as a stream's sink and what closed it."""
+    return reduce(DataFrame.unionByName, [spark.read.schema(POINT_SCHEMA).parquet(s).select("ts", "namespace", "measurement", "value") for s in stores])

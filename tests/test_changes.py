@@ -5,11 +5,14 @@ from compare import spark_rows
 from pyspark.sql import functions as F
 
 from lakekeep.operators.diff import snapshot_diff
-from lakekeep.operators.keyed import hot_values, last_wins, match_unique
+from lakekeep.operators.keyed import last_wins, match_unique
 from lakekeep.operators.verify import verify
-from lakekeep.plans.actions import check_job, counters, delete_rows, outcomes, plan_actions, plan_source_delete
+from lakekeep.plans.actions import (
+    check_job, counters, delete_outcomes, delete_rows, outcomes, plan_actions, plan_source_delete,
+)
 from lakekeep.plans.apply import apply_changes
 from lakekeep.plans.inputs import inventory
+from lakekeep.plans.sync import sync_diff, sync_full
 from lakekeep.sources.listing import parse_changes, parse_listing
 
 T1, T2 = "2020-01-01 10:00", "2020-01-01 10:01"
@@ -49,7 +52,6 @@ def test_repeated_new_rows_are_all_compared(spark):
     new = listing(spark, *[("/a/f1", 1, T2)] * 7, *[("/a/f9", i, T1) for i in range(5)], ("/a/f2", 3, T1))
     want = sorted([("UPDATE", "/a/f1")] * 7 + [("ADD", "/a/f9")] * 5 + [("DELETE", "/a/f4")])
     assert ops(snapshot_diff(old, new)) == want
-    assert ops(snapshot_diff(old, new, min_hot_rows=2)) == want
 
 
 def test_counts_of_a_regular_pair(spark):
@@ -71,23 +73,28 @@ def test_counts_of_a_regular_pair(spark):
     assert applied.failures.count() == 0
 
 
-@pytest.mark.parametrize("how", ["left", "full", "left_semi", "left_anti"])
-@pytest.mark.parametrize("keys", [["k"], ["k", "j"]])
-def test_hot_keys_change_no_result(spark, how, keys):
-    rows = [(1, 1, i) for i in range(300)] + [(i, i % 2, i) for i in range(2, 60)] + [(None, 0, 1)]
-    left = spark.createDataFrame(rows, "k int, j int, v int")
-    right = spark.createDataFrame([(i, i % 2, i * 10) for i in range(1, 90, 2)], "k int, j int, w int")
-    right = right.select(*keys, "w")
-    plain = match_unique(left, right, keys, how, ())
-    split = match_unique(left, right, keys, how, min_hot_rows=20)
-    assert spark_rows(plain) == spark_rows(split)
-    assert plain.columns == split.columns
+def test_a_key_with_most_rows_of_new(spark):
+    """One path owns most of the new listing; every row of it is compared, and no job starts before the result is asked for."""
+    old = listing(spark, ("/hot", 1, T1), ("/gone", 1, T1), ("/same", 1, T1))
+    hot = spark.range(3000).select(F.lit("/hot").alias("path"), (F.col("id") % 3).alias("size"))
+    new = listing(spark, ("/new", 1, T1), ("/same", 1, T1)).unionByName(
+        listing(spark, ("/hot", 1, T1)).drop("size").join(hot, "path").select(*old.columns)
+    )
+    context = spark.sparkContext
+    context.setJobGroup("diff", "nothing is run by building the diff")
+    changes = snapshot_diff(old, new)
+    assert not context.statusTracker().getJobIdsForGroup("diff")
+    context.setJobGroup("none", "")
+    got = {(r.op, r.path): r["count"] for r in changes.groupBy("op", "path").count().collect()}
+    assert got == {("ADD", "/new"): 1, ("DELETE", "/gone"): 1, ("UPDATE", "/hot"): 2000}
 
 
-def test_hot_values_are_few_and_heavy(spark):
-    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    assert hot_values(df, F.col("k"), 1000) == [-1]
-    assert hot_values(df.where("k >= 0"), F.col("k"), 1000) == []
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
+def test_match_unique_keeps_null_keys_apart(spark, how):
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, 5), (None, 6)], "k int, w int")
+    got = {r.v for r in match_unique(left, right, ["k"], how).collect()}
+    assert got == {"left": {"a", "b", "c"}, "left_semi": {"a"}, "left_anti": {"b", "c"}}[how]
 
 
 def test_last_wins(spark):
@@ -156,11 +163,10 @@ def test_failed_changes_keep_the_target(spark):
     assert sorted(r.path for r in kept.snapshot.collect()) == ["/n/f", "/t/d", "/t/d/x", "/t/f", "/t/f2"]
 
 
-@pytest.mark.parametrize("rows", [1, 10**6])
-def test_deleting_a_folder_takes_what_is_below(spark, rows):
+def test_deleting_a_folder_takes_what_is_below(spark):
     gone = parse_changes(spark.createDataFrame([(f"DELETE drwxr-xr-x - u g 0 {T1} /t/d",)], "raw string"))
     none = target(spark).where("false")
-    done = apply_changes(target(spark).drop("pos"), none, gone, tree=True, min_hot_rows=rows)
+    done = apply_changes(target(spark).drop("pos"), none, gone, tree=True)
     assert sorted(r.path for r in done.snapshot.collect()) == ["/t/f", "/t/f2"]
 
 
@@ -171,8 +177,7 @@ def test_changes_of_one_key_take_the_last(spark):
     assert "/t/f" not in {r.path for r in done.snapshot.collect()}
 
 
-@pytest.mark.parametrize("rows", [1, 10**6])
-def test_source_delete(spark, rows):
+def test_source_delete(spark):
     src = listing(
         spark, ("/user/ann", 0, T1, "drwxr-xr-x"), ("/user/ann/f", 1, T1), ("/user/ann/d", 0, T1, "drwxr-xr-x"),
         ("/user/ann/d/x/y", 1, T1), ("/user/ann/dd", 1, T1), ("/user/bob/.Trash", 0, T1, "drwxr-xr-x"),
@@ -183,9 +188,9 @@ def test_source_delete(spark, rows):
     assert [r.path for r in flat.collect()] == ["/user/ann/f"]
     deep = plan_source_delete(listed, src, recursive=True)
     assert sorted(r.path for r in deep.collect()) == ["/user/ann/d", "/user/ann/f"]
-    left = sorted(r.path for r in delete_rows(src, deep, True, min_hot_rows=rows).collect())
+    left = sorted(r.path for r in delete_rows(src, deep, True).collect())
     assert left == ["/user/ann", "/user/ann/dd", "/user/bob/.Trash"]
-    assert delete_rows(src, flat, min_hot_rows=rows).count() == 5
+    assert delete_rows(src, flat).count() == 5
 
 
 def test_verify(spark):
@@ -199,3 +204,59 @@ def test_verify(spark):
     assert {r.path: r.status for r in verify(src, dst).collect()} == want
     asked = spark.createDataFrame([("ADD", "/a"), ("UPDATE", "/q"), ("DELETE", "/b"), ("ADD", "/a")], "op string, path string")
     assert spark_rows(verify(src, dst, asked)) == {("/a", "MATCH"): 1, ("/q", "NO_BOTH"): 1}
+
+
+def test_an_unknown_digest_is_no_match(spark):
+    rows = spark.createDataFrame([("/a", None, True), ("/b", "1", True), ("/d", None, False)], "path string, digest string, is_file boolean")
+    assert {r.path: r.status for r in verify(rows, rows).collect()} == {"/a": "UNKNOWN", "/b": "MATCH", "/d": "MATCH"}
+
+
+def test_counters_follow_the_job(spark):
+    lines, held = change_rows(spark), target(spark)
+    found = spark.createDataFrame([("/n/f", "NO_TARGET"), ("/t/f", "MATCH"), ("/t/d", "CONTENT")], "path string, status string")
+    row = counters(outcomes(lines, held, "verify", found), "verify").first().asDict()
+    assert row == {
+        "total": 12, "succ": 7, "fail": 4, "invalid": 1, "added": 0, "deleted": 0, "updated": 0, "mkdir": 0, "copied": 0, "reduced": 4,
+    }
+    transient = parse_changes(spark.createDataFrame([(f"ADD -rw-r--r-- 3 u g 1 {T1} /a/_temporary/f",)], "raw string"))
+    missing = spark.createDataFrame([("/a/_temporary/f", "NO_TARGET")], "path string, status string")
+    assert counters(outcomes(transient, held, "verify", missing), "verify").first().fail == 1
+    assert counters(outcomes(transient, held), "copy").first().succ == 1
+    gone = counters(delete_outcomes(lines, held), "delete").first().asDict()
+    assert gone["deleted"] == 3 and gone["added"] == gone["fail"] == 0 and gone["invalid"] == 1
+
+
+def test_folders_above_protected_paths_stay(spark):
+    src = listing(spark, ("/user", 0, T1, "drwxr-xr-x"), ("/user/ann", 0, T1, "drwxr-xr-x"), ("/user/ann/f", 1, T1), ("/data", 0, T1, "drwxr-xr-x"))
+    doomed = plan_source_delete(src, src, recursive=True)
+    assert sorted(r.path for r in doomed.collect()) == ["/data", "/user/ann/f"]
+
+
+def test_access_list_marks_and_unreadable_modes(spark):
+    text = [(f"ADD {mode} 3 u g 1 {T1} /m/{k}",) for k, mode in enumerate(["-rw-r--r--+", "-rw-r--r--", "-zz-r--r--"])]
+    plan = plan_actions(outcomes(parse_changes(spark.createDataFrame(text, "raw string")), target(spark)))
+    got = {(r.path, r.action): r.arg for r in plan.where("action in ('CHMOD', 'FAIL')").collect()}
+    assert got == {("/m/0", "CHMOD"): "644", ("/m/1", "CHMOD"): "644", ("/m/2", "FAIL"): "bad_mode"}
+
+
+def test_unknown_ops_are_failures(spark):
+    done = apply_changes(target(spark).drop("pos"), target(spark), change_rows(spark).where("op = 'MOVE' or op is null"))
+    assert sorted((r.path or "", r.op or "", r.reason) for r in done.failures.collect()) == [
+        ("", "", "unknown_op"), ("/n/f", "MOVE", "unknown_op"),
+    ]
+    assert done.snapshot.count() == 4
+
+
+def test_failed_change_below_a_deleted_folder_keeps_its_row(spark):
+    text = [(f"DELETE drwxr-xr-x - u g 0 {T1} /t/d",), (f"UPDATE -rw-r--r-- 3 u g 1 {T1} /t/d/x",)]
+    done = apply_changes(target(spark).drop("pos"), target(spark).where("false"), parse_changes(spark.createDataFrame(text, "raw string")), tree=True)
+    assert sorted(r.path for r in done.snapshot.collect()) == ["/t/d/x", "/t/f", "/t/f2"]
+    assert [(r.path, r.reason) for r in done.failures.collect()] == [("/t/d/x", "source_missing")]
+
+
+def test_sync_of_nothing(spark, tmp_path):
+    tree = target(spark)
+    same = sync_diff(spark, tree, tree, str(tmp_path / "same"))
+    assert same.changes.count() == same.failures.count() == 0 and same.snapshot.count() == 4
+    empty = sync_full(spark, tree.where("false"), str(tmp_path / "empty"))
+    assert empty.snapshot.count() == empty.changes.count() == 0

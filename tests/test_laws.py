@@ -63,10 +63,9 @@ def pairs(spark):
 
 
 @pytest.mark.parametrize("ignore_time", [False, True])
-@pytest.mark.parametrize("min_rows", [2, 10**6])
-def test_diff_lines(pairs, ignore_time, min_rows):
+def test_diff_lines(pairs, ignore_time):
     old_lines, new_lines, old, new = pairs
-    changes = change_lines(snapshot_diff(old, new, ignore_time=ignore_time, min_hot_rows=min_rows))
+    changes = change_lines(snapshot_diff(old, new, ignore_time=ignore_time))
     assert Counter(r.value for r in changes.collect()) == expected_changes(old_lines, new_lines, ignore_time)
 
 
@@ -91,7 +90,7 @@ def test_applied_diff_gives_the_new_tree(pairs):
 def test_chunks_hold_every_change_once(pairs):
     _, _, old, new = pairs
     changes = snapshot_diff(old, new)
-    chunked = split_work(changes, 9, on="raw")
+    chunked = split_work(changes, 9)
     assert spark_rows(chunked.drop("idx", "chunk")) == spark_rows(changes)
     sizes = [r["count"] for r in chunked.groupBy("chunk").count().orderBy("chunk").collect()]
     assert len(sizes) <= 9 and len(set(sizes[:-1])) == 1 and sizes[-1] <= sizes[0]

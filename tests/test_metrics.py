@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lakekeep.operators.metrics import (
     INFO, JVM, NAMESYSTEM, STATE, contact_stats, dedupe_points, metric_points, retain, unpivot_fields,
 )
-from lakekeep.sources.snapshots import SNAPSHOT_SCHEMA, explode_beans, read_snapshots
-from lakekeep.streaming.metrics import metric_stream, window_stream
+from lakekeep.sources.snapshots import SNAPSHOT_SCHEMA, broken_snapshots, explode_beans, read_snapshots
+from lakekeep.streaming.metrics import close_stream, stored_points, metric_stream, window_stream
 
 STORE = "ts timestamp, namespace string, measurement string, value double"
 
@@ -72,6 +72,10 @@ def test_standby_and_missing(spark, tmp_path):
 def test_broken_payload_gives_no_point(spark, tmp_path):
     broken = {"ts": T, "namespace": "ns", "node": "nn1", "payload": "{not json"}
     assert metric_points(beans(spark, tmp_path, broken)).count() == 0
+    rows = [{**broken, "node": n, "payload": p} for n, p in (("a", "{not json"), ("b", "{}"), ("c", None), ("d", '{"beans":[]}'))]
+    land(tmp_path / "odd", "a.json", *rows)
+    told = broken_snapshots(read_snapshots(spark, str(tmp_path / "odd")))
+    assert {r.node: r.reason for r in told.collect()} == {"a": "json", "b": "beans", "c": "missing"}
 
 
 def test_last_node_wins(spark, tmp_path):
@@ -80,6 +84,13 @@ def test_last_node_wins(spark, tmp_path):
     assert got["maxLastContact"] == 9.0 and len(got) == 12
 
 
+def test_ties_of_one_node_do_not_depend_on_order(spark):
+    rows = [("t", "n", "m", "nn1", 1.0), ("t", "n", "m", "nn1", 2.0), ("t", "n", "o", None, 3.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "ts string, namespace string, measurement string, node string, value double").coalesce(1)
+        assert {r.measurement: r.value for r in dedupe_points(df).collect()} == {"m": 2.0, "o": 3.0}
+
+
 def test_retention(spark):
     rows = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' ts union all select timestamp_ntz'2023-12-31 23:59:59'")
     assert retain(rows, "2024-03-01 00:00:00").count() == 1
@@ -115,6 +126,14 @@ def test_stream(spark, tmp_path):
     assert run(spark, tmp_path) == {"00:00": 2.0, "00:05": 4.0, "00:09": 3.0, "01:00": 5.0}
 
 
+def test_closing_adds_what_the_stream_left_open(spark, tmp_path):
+    land(tmp_path / "in", "1.json", *[snapshot(f"2024-01-01T0{h}:00:00Z", contacts=(h,)) for h in range(4)])
+    assert run(spark, tmp_path) == {f"0{h}:00": float(h) for h in range(3)}
+    close_stream(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "closing"))
+    rows = stored_points(spark, str(tmp_path / "store"), str(tmp_path / "closing")).where("measurement = 'maxLastContact'")
+    assert sorted(r.value for r in rows.collect()) == [0.0, 1.0, 2.0, 3.0]
+
+
 def test_window_stream(spark, tmp_path):
     land(tmp_path / "in", "1.json", *[snapshot(f"2024-01-01T00:{m:02}:00Z", contacts=(m,)) for m in (0, 4, 5, 59)])
     query = (

@@ -6,14 +6,17 @@ import pytest
 from compare import spark_rows
 from pyspark.sql import functions as F
 
-from lakekeep.operators.compaction import compact_text, content_digest, line_count, packed_scan
-from lakekeep.operators.partitions import missing_partitions, register_partitions, registered_partitions
+from lakekeep.operators.compaction import compact_text, content_digest, line_count, packed_scan, swap_compacted
+from lakekeep.operators.metrics import retain
+from lakekeep.operators.partitions import found_partitions, missing_partitions, register_partitions, registered_partitions
 from lakekeep.operators.quarantine import (
-    checked_day, move_tree, purge, purge_trash, quarantine, quarantine_partition, write_trash,
+    checked_day, move_matching, move_tree, purge, purge_trash, quarantine, quarantine_partition, read_trash, write_trash,
 )
-from lakekeep.session import shared_root
-from lakekeep.sources.files import read_text_tree, scan_files, scan_partition
-from lakekeep.sources.sinks import codec_of, TEXT_CODECS, write_failures
+from lakekeep.operators.usage import table_usage
+from lakekeep.operators.verify import verify
+from lakekeep.session import pinned, scratch, shared_root
+from lakekeep.sources.files import file_digests, read_text_tree, scan_files, scan_partition
+from lakekeep.sources.sinks import TEXT_CODECS, codec_of, expire_metrics, write_failures, write_metrics
 
 
 def text_tree(tmp_path, files=40):
@@ -38,7 +41,7 @@ def test_packing_follows_the_target_size(spark, tmp_path):
     src = text_tree(tmp_path)
     total = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(src) for f in fs)
     parts = packed_scan(spark, src, total // 4, None).rdd.getNumPartitions()
-    assert 4 <= parts <= 6
+    assert 4 <= parts <= 8
     assert spark.conf.get("spark.sql.files.openCostInBytes") != "0"
 
 
@@ -77,11 +80,14 @@ def test_purge_keeps_rows_without_a_day(spark):
 def test_purge_trash(spark, tmp_path):
     root = str(tmp_path / "trash")
     df = spark.createDataFrame([(1,), (5,)], "v int")
-    write_trash(quarantine(df, F.col("v") > 3, "20240101")[1], root)
-    write_trash(quarantine(df, F.col("v") < 3, "20240102")[1], root)
+    write_trash(quarantine(df, F.col("v") > 3, "20240101")[1], root, "/tables/t")
+    write_trash(quarantine(df, F.col("v") < 3, "20240102")[1], root, "/tables/t")
+    moved = move_matching(spark, f"{text_tree(tmp_path)}/d[01]", root, "20240101")
+    assert len(moved) == 2 and all(os.path.exists(m) for m in moved)
+    assert spark_rows(read_trash(spark, root, "/tables/t", df.schema)) == {("20240101", 5): 1, ("20240102", 1): 1}
     assert purge_trash(spark, root, "20240101")
-    assert not purge_trash(spark, root, "20240101")
-    assert [r.v for r in spark.read.parquet(root).collect()] == [1]
+    assert not purge_trash(spark, root, "20240101") and not any(os.path.exists(m) for m in moved)
+    assert spark_rows(read_trash(spark, root, "/tables/t", df.schema)) == {("20240102", 1): 1}
     for unsafe in ("", "/", "hdfs://"):
         with pytest.raises(ValueError):
             purge_trash(spark, unsafe, "20240101")
@@ -123,10 +129,10 @@ def found(spark, folder, *values):
 
 def test_registration(spark, table):
     name, folder = table
-    assert register_partitions(spark, name, found(spark, folder, "00", "01")) == 2
+    assert register_partitions(spark, name, found(spark, folder, "00", "01")).added == 2
     # A known partition keeps its place even when found elsewhere.
     moved = found(spark, folder, "02").unionByName(spark.createDataFrame([("00", "/nowhere")], "h string, location string"))
-    assert register_partitions(spark, name, moved) == 1
+    assert register_partitions(spark, name, moved).added == 1
     assert sorted(r.h for r in registered_partitions(spark, name).collect()) == ["00", "01", "02"]
     assert spark.table(name).count() == 30
     rows = scan_partition(spark, name, ["01"])
@@ -135,13 +141,99 @@ def test_registration(spark, table):
         scan_partition(spark, name, ["01", "02"])
 
 
-def test_quarantined_partition_keeps_its_files(spark, table, tmp_path):
+def test_quarantined_partition_takes_its_files_along(spark, table, tmp_path):
     name, folder = table
     register_partitions(spark, name, found(spark, folder, "00", "01"))
-    assert quarantine_partition(spark, name, ["00"], str(tmp_path / "trash"), "20240101") == 10
+    goal = quarantine_partition(spark, name, ["00"], str(tmp_path / "trash"), "20240101")
     assert [r.h for r in registered_partitions(spark, name).collect()] == ["01"]
-    assert os.listdir(f"{folder}/h=00")
-    assert spark.read.parquet(str(tmp_path / "trash/20240101/ext/00")).count() == 10
+    assert not os.path.exists(f"{folder}/h=00") and spark.read.parquet(goal).count() == 10
+    listed = found_partitions(scan_files(spark, f"{folder}/h=*/*"), ["h"])
+    register_partitions(spark, name, listed)
+    assert sorted(r.h for r in registered_partitions(spark, name).collect()) == ["01", "02", "03"]
+    # After a crash between the move and the catalog's change.
+    spark.sql(f"alter table {name} add partition (h='00') location '{folder}/h=00'")
+    assert quarantine_partition(spark, name, ["00"], str(tmp_path / "trash"), "20240101") == goal
+    assert purge_trash(spark, str(tmp_path / "trash"), "20240101") and not os.path.exists(goal)
+
+
+@pytest.mark.parametrize("kind,values", [("int", ["05", "6"]), ("string", ["a%3Ab", "c d", "x+y"]), ("date", ["2024-01-05"])])
+def test_registered_values_are_typed_and_unescaped(spark, tmp_path, kind, values):
+    folder = str(tmp_path / "typed")
+    for v in [*values, "__HIVE_DEFAULT_PARTITION__"]:
+        spark.range(3).select(F.col("id").cast("int").alias("v")).write.parquet(f"{folder}/k={v}/sub")
+    spark.sql(f"create table typed (v int, k {kind}) using parquet partitioned by (k) location '{folder}'")
+    try:
+        inv = scan_files(spark, f"{folder}", recursive=True)
+        first = register_partitions(spark, "typed", found_partitions(inv, ["k"]))
+        assert first.added == len(values) + 1 and first.conflicts.count() == 0
+        assert register_partitions(spark, "typed", found_partitions(inv, ["k"])).added == 0
+        known = registered_partitions(spark, "typed")
+        assert missing_partitions(found_partitions(inv, ["k"]), known, ["k"]).count() == 0
+        want = {None, *(v.replace("%3A", ":").lstrip("0") if kind != "date" else v for v in values)}
+        assert {None if r.k is None else str(r.k) for r in known.collect()} == want
+        extra = found_partitions(inv, ["k"]).limit(0).unionByName(
+            spark.createDataFrame([("7", "/x/k=7"), ("7", "/y/k=7")], "k string, location string")
+        ) if kind == "int" else None
+        if extra is not None:
+            told = register_partitions(spark, "typed", extra)
+            assert told.added == 0 and [sorted(r.locations) for r in told.conflicts.collect()] == [["/x/k=7", "/y/k=7"]]
+    finally:
+        spark.sql("drop table typed")
+
+
+def test_usage_of_a_partition(spark, table):
+    name, folder = table
+    register_partitions(spark, name, found(spark, folder, "00", "01"))
+    size = sum(os.path.getsize(f"{folder}/h=01/{n}") for n in os.listdir(f"{folder}/h=01") if n.endswith(".parquet"))
+    assert table_usage(spark, name, "01 / ").first().bytes == size
+    assert table_usage(spark, name, ["03"]).first().asDict() == {"bytes": 0, "files": 0}
+    with pytest.raises(ValueError):
+        table_usage(spark, name, "01 / 02")
+
+
+def test_swap_after_compaction(spark, tmp_path):
+    src, made, out, trash = text_tree(tmp_path), str(tmp_path / "made"), str(tmp_path / "out"), str(tmp_path / "trash")
+    before = spark_rows(read_text_tree(spark, src))
+    compact_text(spark, src, made, "WARM")
+    names = swap_compacted(spark, src, made, out, "p-", trash, "20240101")
+    assert names == swap_compacted(spark, src, made, out, "p-", trash, "20240101")
+    assert not os.path.exists(src) and spark_rows(read_text_tree(spark, out)) == before
+    assert spark_rows(read_text_tree(spark, f"{trash}/20240101{src}")) == before
+
+
+def test_tiny_files_are_not_one_task(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / "tiny").mkdir(exist_ok=True)
+        (tmp_path / "tiny" / f"f{i}").write_text("" if i % 2 else "x\n")
+    assert packed_scan(spark, str(tmp_path / "tiny"), 32 << 20, None).rdd.getNumPartitions() > 3
+
+
+def test_digests_of_files(spark, tmp_path):
+    src = text_tree(tmp_path, 6)
+    one = file_digests(read_text_tree(spark, src))
+    assert one.count() == 6 and one.select("digest").distinct().count() == 6
+    (tmp_path / "src" / "d0" / "f0.txt").write_text("other\n")
+    two = file_digests(read_text_tree(spark, src))
+    changed = verify(one.cache(), two).where("status = 'CONTENT'").collect()
+    assert len(changed) <= 1
+
+
+def test_scratch_is_deleted(spark, tmp_path):
+    with scratch(spark):
+        kept = pinned(spark.range(5))
+        paths = [f.removeprefix("file:").removeprefix("//") for f in kept.inputFiles()]
+        assert all(os.path.exists(p) for p in paths)
+    assert not any(os.path.exists(p) for p in paths)
+
+
+def test_expired_days_go(spark, tmp_path):
+    rows = spark.sql("select timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(d) ts, 'n' namespace, 'm' measurement, 1.0D value from (select explode(sequence(0, 9)) d)")
+    write_metrics(rows, str(tmp_path / "store"))
+    assert expire_metrics(spark, str(tmp_path / "store"), "2024-01-10 06:00:00", 5) == ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
+    held = spark.read.schema("ts timestamp_ntz, date string").parquet(str(tmp_path / "store"))
+    assert held.count() == 6
+    plan = retain(held, "2024-01-10 06:00:00", 5)
+    assert plan.count() == 6 and "PartitionFilters: [isnotnull(date" in plan._jdf.queryExecution().toString()
 
 
 def test_managed_tables_are_refused(spark, tmp_path):
@@ -189,7 +281,8 @@ class FakeSession:
 
 def test_shared_folder_comes_from_the_session():
     assert shared_root(FakeSession("spark://m:7077", "hdfs://nn/cp/")) == "hdfs://nn/cp"
-    with pytest.raises(RuntimeError):
-        shared_root(FakeSession("spark://m:7077"))
+    for master in ("spark://m:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_root(FakeSession(master))
     local = FakeSession("local[2]")
     assert shared_root(local) == shared_root(local) and os.path.isdir(shared_root(local))
