@@ -109,4 +109,68 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-CHECKS: dict[str, str] = {}
+#: SQL for the queries that it can express.
+CHECKS: dict[str, str] = {
+    "op2_embedding_join": """
+with recursive v as (
+  select vec_id, label, embedding::double[] e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(n, m) as (select vec_id, vec_id from embeddings union select r.n, l.b from reach r join links l on r.m = l.a),
+least as (select n, min(m) component_id from reach group by n),
+held as (select a, count(*) n_links from links group by a)
+select e.vec_id, coalesce(h.n_links, 0) n_links, l.component_id, e.vec_id = l.component_id kept
+from embeddings e join least l on e.vec_id = l.n left join held h on e.vec_id = h.a""",
+    "op4_url_reputation": """
+with p as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "host",
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') "path" from pages),
+rules(word, text, name, start) as (values
+  ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+  ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+ruled as (
+  select page_id, arg_max(text, length(text)) rule, arg_max(word, length(text)) word
+  from p join rules on ("host" = name or ends_with("host", concat('.', name))) and starts_with("path", start) group by page_id),
+outcome as (select p."host", greatest(1 - l.quality, l.toxic) bad from p join labels l on p.page_id = l.doc_id),
+named as (select distinct "host", case when len(string_split("host", '.')) < 2 then "host" else concat(string_split("host", '.')[-2], '.', string_split("host", '.')[-1]) end two,
+                 string_split("host", '.')[-1] one from p),
+d as (
+  select "host", case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz')
+                    then case when len(string_split("host", '.')) < 3 then "host" else concat(string_split("host", '.')[-3], '.', two) end else two end dom,
+         case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz') then two else one end suf from named),
+hosts as (select d.*, count(o.bad) n, coalesce(sum(o.bad), 0) bad from d left join outcome o on d."host" = o."host" group by all),
+doms as (select dom, suf, sum(n) n, sum(bad) bad from hosts group by all),
+tot as (select coalesce(sum(bad) / nullif(sum(n), 0), 0.0) m from hosts),
+sufs as (select suf, sum(n) n, sum(bad) bad, any_value(m) m from doms, tot group by suf),
+w1 as (select sum(n * (bad / n - m) ** 2) seen, sum(m * (1 - m)) want, sum(n * m * (1 - m)) scale from sufs where n > 0),
+k1 as (select case when coalesce(scale, 0) = 0 or scale - want <= 0 or seen <= want then 1000.0
+                   else least(1000.0, greatest(2.0, (scale - want) / (seen - want) - 1)) end k from w1),
+s2 as (select suf, (bad + k * m) / (n + k) m from sufs, k1),
+d1 as (select doms.*, s2.m from doms join s2 using (suf)),
+w2 as (select sum(n * (bad / n - m) ** 2) seen, sum(m * (1 - m)) want, sum(n * m * (1 - m)) scale from d1 where n > 0),
+k2 as (select case when coalesce(scale, 0) = 0 or scale - want <= 0 or seen <= want then 1000.0
+                   else least(1000.0, greatest(2.0, (scale - want) / (seen - want) - 1)) end k from w2),
+d2 as (select dom, suf, (bad + k * m) / (n + k) m from d1, k2),
+h1 as (select hosts.*, d2.m from hosts join d2 using (dom, suf)),
+w3 as (select sum(n * (bad / n - m) ** 2) seen, sum(m * (1 - m)) want, sum(n * m * (1 - m)) scale from h1 where n > 0),
+k3 as (select case when coalesce(scale, 0) = 0 or scale - want <= 0 or seen <= want then 1000.0
+                   else least(1000.0, greatest(2.0, (scale - want) / (seen - want) - 1)) end k from w3),
+h2 as (select "host", n, bad, (bad + k * m) / (n + k) share, n + k size from h1, k3)
+select p.page_id, p."host", p."path", r.rule,
+       coalesce(r.word, case when share - 1.645 * sqrt(share * (1 - share) / (size + 1)) > 0.5 then 'block' else 'allow' end) verdict,
+       h2.n labelled, cast(h2.bad as bigint) labelled_bad
+from p left join ruled r using (page_id) join h2 on p."host" = h2."host"
+""",
+    "op8_warc_index": """
+with p as (select page_id, encode(coalesce(html, '')) payload from pages),
+d as (select page_id, octet_length(payload) payload_bytes, sha1(payload) payload_digest from p),
+last as (select payload_digest, payload_bytes, max(page_id) m from d where payload_bytes >= 1000 group by all)
+select d.page_id, d.payload_bytes, d.payload_digest,
+       case when l.m <> d.page_id then 'revisit' else 'response' end record_type,
+       case when l.m <> d.page_id then l.m end refers_to
+from d left join last l on d.payload_digest = l.payload_digest and d.payload_bytes = l.payload_bytes""",
+}
