@@ -13,7 +13,7 @@ n - ceil(2 t n / (1 + t)) + 1 of the smaller.
   size, position and component. Two blocks are compared as wholes first, and
   left out together when sizes, positions or components say that they hold no new link.
 * Skipping by answers: in each list every set is compared with the set that
-  meets most others and with its neighbour, which is linear. What that links
+  meets most others and with its neighbour, which is linear in the index. What that links
   is one component, within which no pair is looked at again. For the remaining pairs
   (x, y) the computed answer of (x, q) with q similar to y is used: Jaccard distance is
   a metric, so d(x, q) - d(q, y) above 1 - t rules the pair out.
@@ -47,6 +47,10 @@ WORDS, PERCENT = 5, 80
 FREQUENT = 32
 #: Bits of the maps of frequent tokens and of sets in question: 2 MB each.
 MAP_BITS = 24
+#: Lists up to this length give pairs; longer ones are compared block by block, and give no pairs.
+SHORT_LIST = 64
+#: Sets and tokens in one block of a long list.
+BLOCK_SETS, BLOCK_TOKENS = 2048, 1 << 19
 #: Entries of one list that are put in order together.
 LIST_PART = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -288,6 +292,129 @@ def first_pairs(live: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("x"), F.greatest("sid", "other").alias("y")).distinct()
 
 
+def with_components(live: DataFrame, label: DataFrame) -> DataFrame:
+    """The entries (token, sid, n, pos, c, held) of lists that hold several components c; `held` is the list's length."""
+    own = live.join(label, live["sid"] == label["node"], "left").select(
+        "token", "sid", "n", "pos", F.coalesce("component", "sid").alias("c")
+    )
+    several = own.groupBy("token").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("held"), F.sum("n").alias("held_tokens")
+    )
+    return own.join(several.where("lo < hi").drop("lo", "hi"), "token")
+
+
+def reachable(several: DataFrame, percent: int) -> DataFrame:
+    """The entries that some other size in their list can be linked with, as far as sizes and positions tell.
+
+    Sizes are compared, not sets: a list has few sizes, and of each the earliest position counts.
+    """
+    sizes = several.groupBy("token", "n").agg(F.min("pos").alias("pos"))
+    a, b = (sizes.select("token", F.col("n").alias(f"n{i}"), F.col("pos").alias(f"pos{i}")) for i in (1, 2))
+    needed = F.ceil(percent * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
+    met = a.join(b, "token").where(_sizes("n1", "n2", percent) & (F.col("n2") - F.col("pos2") >= needed))
+    last = met.groupBy("token", F.col("n1").alias("n")).agg(F.max(F.col("n1") - needed).alias("last"))
+    return several.join(last, ["token", "n"]).where(F.col("pos") <= F.col("last")).drop("last")
+
+
+def _overlap_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Shared tokens of every two sets, by a product of their incidence matrix; tokens of one set alone are left out."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    column, owner = column[shared], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    column = np.cumsum(np.append(0, np.diff(column) > 0)) if column.size else column
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    width = 8192
+    for first in range(0, int(column[-1]) + 1 if column.size else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - first)), dtype=np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        total += part @ part.T
+    return total
+
+
+def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links (set, smallest set of its component in the block) among the rows (sid, c, side, tokens) of one block pair."""
+    sids = np.array([r[0] for r in rows], dtype=np.int64)
+    groups = np.array([r[1] for r in rows], dtype=np.int64)
+    side = np.array([r[2] for r in rows])
+    sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+    n = np.array([len(t) for t in sets], dtype=np.int64)
+    shared = _overlap_counts(sets).astype(np.int64)
+    near = (100 + percent) * shared >= percent * (n[:, None] + n[None, :])
+    near &= groups[:, None] != groups[None, :]
+    if (side == 1).any():
+        near &= side[:, None] != side[None, :]
+    a, b = np.nonzero(np.triu(near))
+    root = np.argsort(np.argsort(sids))
+    while a.size:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == root).all():
+            break
+        root = new
+    ordered = np.sort(sids)
+    return [(int(sids[k]), int(ordered[root[k]])) for k in np.unique(np.concatenate([a, b])) if sids[k] != ordered[root[k]]]
+
+
+def long_list_links(several: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) that join the components of long lists, with no row for a pair.
+
+    A list is cut into blocks by hash so that a task holds a bounded number of
+    sets and tokens; every two blocks meet once. A block pair returns, in place of pairs, one link for each set
+    it has linked.
+    """
+    entries = stored(reachable(several.where(F.col("held") > SHORT_LIST), percent), "long")
+    asked = entries.select("sid").distinct()
+    tokens = stored(full_sets(docs, sets.join(asked, "sid", "left_semi")), "long-tokens")
+    blocks_ = F.greatest(F.ceil(F.col("held") / BLOCK_SETS), F.ceil(F.col("held_tokens") / BLOCK_TOKENS)).cast("int")
+    own = entries.withColumn("blocks", blocks_).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = other.select(
+        "sid", "c", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+    )
+    # Both blocks of a pair hold their own sets against the other's; within one block all sets meet.
+    loaded = placed.join(tokens, "sid").repartition("block").sortWithinPartitions("block")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        block = None
+
+        def found(rows: list[tuple]) -> pa.RecordBatch:
+            links = block_links(rows, percent) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if key != block:
+                    if held:
+                        yield found(held)
+                    held, block = [], key
+                held.append(tuple(row))
+        if held:
+            yield found(held)
+
+    return loaded.select("block", "sid", "c", "side", "tokens").mapInArrow(run, "x long, y long")
+
+
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (x, y)."""
+    ends = links.select("x", "y")
+    for c in ("x", "y"):
+        ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_top")), c, "left")
+    merged = components(ends.select(F.coalesce("x_top", "x").alias("a"), F.coalesce("y_top", "y").alias("b")))
+    merged = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    known = label.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = merged.join(label, merged["old"] == label["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return stored(known.unionByName(fresh), "label")
+
+
 def _sizes(n: str, m: str, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
@@ -318,14 +445,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, name: str) -> D
     return stored(overlaps(pairs, tokens), name)
 
 
-def other_pairs(live: DataFrame, label: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+def other_pairs(several: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """The pairs of different components that blocks and computed answers do not rule out."""
-    own = live.join(label, live["sid"] == label["node"], "left").select(
-        "token", "sid", "n", "pos", F.coalesce("component", "sid").alias("c")
-    )
-    several = own.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     salt = F.pmod(F.xxhash64("sid"), F.lit(256))
-    grouped = own.join(several, "token").groupBy("token", "n", "pos", "c", salt.alias("salt")).agg(F.collect_list("sid").alias("sids"))
+    grouped = several.groupBy("token", "n", "pos", "c", salt.alias("salt")).agg(F.collect_list("sid").alias("sids"))
     a = grouped.select("token", *[F.col(k).alias(f"{k}1") for k in ("n", "pos", "c", "sids")])
     b = grouped.select("token", *[F.col(k).alias(f"{k}2") for k in ("n", "pos", "c", "sids")])
     room = 1 + F.least(F.expr("n1 - pos1 - 1"), F.expr("n2 - pos2 - 1"))
@@ -369,15 +492,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     done = verified(plausible(first_pairs(live, percent), listed, percent), docs, sets, "first")
     links = done.where(linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(links)
-    rest = plausible(other_pairs(live, label, done, percent), listed, percent)
-    rest = verified(rest, docs, sets, "rest").where(linked(percent))
-    # The second round joins whole components.
-    ends = rest.select("x", "y")
-    for c in ("x", "y"):
-        ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_top")), c, "left")
-    merged = components(ends.select(F.coalesce("x_top", "x").alias("a"), F.coalesce("y_top", "y").alias("b")))
-    named = sets.join(label, sets["sid"] == label["node"], "left").select("fp", "least_id", F.coalesce("component", "sid").alias("c"))
-    named = named.join(merged, named["c"] == merged["node"], "left").select("fp", "least_id", F.coalesce("component", "c").alias("component"))
+    several = stored(with_components(live, label), "several")
+    pairs = other_pairs(several.where(F.col("held") <= SHORT_LIST), done, percent)
+    rest = verified(plausible(pairs, listed, percent), docs, sets, "rest").where(linked(percent)).select("x", "y")
+    label = relabelled(label, rest.unionByName(long_list_links(several, docs, sets, percent)))
+    named = sets.join(label, sets["sid"] == label["node"], "left").select("fp", "least_id", F.coalesce("component", "sid").alias("component"))
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     final = named.join(ids, "component").select("fp", "component", "component_id")
     found = indexed.drop("prefix").join(final, "fp", "left")

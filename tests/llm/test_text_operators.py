@@ -131,7 +131,8 @@ def test_jaccard_components_equal_brute_force(spark, percent):
     assert got == brute_components(rows, percent)
 
 
-def test_jaccard_with_few_frequent_tokens_and_chains(spark, monkeypatch):
+@pytest.mark.parametrize("short", [3, 1000])
+def test_jaccard_with_long_lists_and_chains(spark, monkeypatch, short):
     """Long lists, a full map and chains of links: only the speed may differ."""
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -140,6 +141,8 @@ def test_jaccard_with_few_frequent_tokens_and_chains(spark, monkeypatch):
         rows.append((i, " ".join(words), None, None, 0, None, None))
     rows += [(100 + i, " ".join([f"q{i}_{k}" for k in range(40)] + base[:20]), None, None, 0, None, None) for i in range(40)]
     monkeypatch.setattr(jaccard, "LIST_PART", 4)
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
     got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
     assert got == brute_components(rows)
 
