@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import protected
 from lakekeep.functions.scalars import minute_stamp
-from lakekeep.operators.diff import change_lines, exclude_transient, snapshot_diff
+from lakekeep.operators.diff import exclude_transient, snapshot_diff
 from lakekeep.operators.keyed import last_wins
 from lakekeep.operators.split import split_work
 from lakekeep.operators.verify import exclude_trash, verify
@@ -22,7 +22,7 @@ from lakekeep.plans.registry import query
 from lakekeep.plans.sync import run_changes, sync_diff, sync_full
 from lakekeep.session import load, pinned, work_path
 from lakekeep.sources.listing import parse_changes, read_changes, read_listing
-from lakekeep.sources.sinks import write_failures
+from lakekeep.sources.sinks import write_changes, write_failures
 
 LISTED = ("permission", "replication", "owner", "grp", "size")
 LISTED_SQL = "permission, replication, \"owner\", grp, size, strftime(mtime, '%Y-%m-%d %H:%M') \"minute\", path"
@@ -66,7 +66,10 @@ def diff_ignore_time(spark: SparkSession, sf: str) -> DataFrame:
 select concat_ws(' ', op, permission, replication, "owner", grp, cast(size as varchar), "minute", path) as "value"
 from ({DIFF_SQL.format(trees=TREES, time="or o.mtime <> n.mtime")})""")
 def change_lines_query(spark: SparkSession, sf: str) -> DataFrame:
-    return change_lines(snapshot_diff(*trees(spark, sf)))
+    """The change list as it is written and read back."""
+    path = work_path(spark, "changes")
+    write_changes(snapshot_diff(*trees(spark, sf)), path)
+    return spark.read.text(path)
 
 
 @query("last_wins", """

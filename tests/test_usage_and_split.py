@@ -6,7 +6,7 @@ import pytest
 from compare import spark_rows
 from pyspark.sql import functions as F
 
-from lakekeep.operators.compaction import plan_compaction
+from lakekeep.operators.compaction import plan_compaction, planned_files
 from lakekeep.operators.split import byte_ranges, split_work
 from lakekeep.operators.usage import dir_rollup, dir_summary, dir_summary_maps, usage, year_histogram
 
@@ -112,6 +112,12 @@ def test_bins_keep_rows_without_a_path(spark):
     assert sorted((r.path or "", r.bin) for r in out) == [("", 0), ("", 0), ("/a/f", 0), ("/a/f", 0)]
 
 
+def test_planned_files(spark):
+    df = spark.createDataFrame([("/a/1", 5), ("/a/2", 5), ("/a/3", 5), ("/b/1", 1)], "path string, size bigint")
+    got = {r.dir: (r.files_before, r.files_after, r.bytes) for r in planned_files(df, 10).collect()}
+    assert got == {"/a": (3, 2, 15), "/b": (1, 1, 1)}
+
+
 def test_order_of_chunks_does_not_depend_on_copies(spark):
     df = spark.range(60).select(F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("path"))
     copies = df.unionByName(spark.range(2000).select(F.lit("/p/7").alias("path")))
