@@ -58,7 +58,7 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(only(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size")))
     first = F.get("positions", F.lit(0))
     placed = mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
-    return placed.repartitionByRange("first_position").sortWithinPartitions("first_position", "doc_id")
+    return placed.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 def op6_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,6 +165,28 @@ select p.page_id, p."host", p."path", r.rule,
        h2.n labelled, cast(h2.bad as bigint) labelled_bad
 from p left join ruled r using (page_id) join h2 on p."host" = h2."host"
 """,
+    "op5_mixing": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents),
+s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 k from d group by source),
+w as (select *, [5.0, 2.0, 1.0][k % 3 + 1]::double weight, [0.5, 0.0, -0.5][k % 3 + 1]::double slope, (source_size * 3)::double cap from s),
+f as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over earlier, 0.0))
+            / nullif(sum(weight) over () - coalesce(sum(weight) over earlier, 0.0), 0.0) as level
+  from w window earlier as (order by cap / weight, k rows between unbounded preceding and 1 preceding)),
+settled as (select arg_min(level, struct_pack(r := cap / weight, k := k)) level from f where level * weight <= cap),
+t as (select source, source_size, slope, least(cap, coalesce(settled.level * weight, cap)) target from f, settled),
+placed as (
+  select d.doc_id, d.size, t.source_size, t.slope, t.target,
+         coalesce(sum(d.size) over (partition by d.source order by md5(coalesce(d.doc_id::varchar, '')), d.doc_id, d.size
+                                    rows between unbounded preceding and 1 preceding), 0)::bigint "before",
+         case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end::bigint rounds
+  from d join t on d.source is not distinct from t.source),
+taken as (
+  select *, case when size > 0 then rounds + case when "before" + size / 2 <= target - rounds * source_size and rounds < 3 then 1 else 0 end
+            else 0 end copies, least(1.0, "before" / target) u from placed)
+select doc_id, size, source_size, target, size * copies taken,
+       case when copies > 0 then 2 * u / ((1 + slope) + sqrt(greatest((1 + slope) * (1 + slope) - 4 * slope * u, 0.0))) end first_position
+from taken""",
     "op8_warc_index": """
 with p as (select page_id, encode(coalesce(html, '')) payload from pages),
 d as (select page_id, octet_length(payload) payload_bytes, sha1(payload) payload_digest from p),
@@ -173,4 +195,17 @@ select d.page_id, d.payload_bytes, d.payload_digest,
        case when l.m <> d.page_id then 'revisit' else 'response' end record_type,
        case when l.m <> d.page_id then l.m end refers_to
 from d left join last l on d.payload_digest = l.payload_digest and d.payload_bytes = l.payload_bytes""",
+    "op10_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') w from documents),
+sh as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w),
+n as (select doc_id, count(*) n from sh group by doc_id),
+met as (select a.doc_id a, b.doc_id b, count(*) i from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+reach(n, m) as (select doc_id, doc_id from documents union select r.n, l.b from reach r join links l on r.m = l.a),
+least as (select n doc_id, min(m) component_id from reach group by n)
+select doc_id, coalesce(n.n, 0) n_shingles, component_id from documents join least using (doc_id) left join n using (doc_id)""",
 }
