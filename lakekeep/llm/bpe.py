@@ -36,7 +36,7 @@ LATIN = 0x250
 #: Up to so many bytes a pre-token is worked off by scanning.
 SHORT = 64
 #: Pre-tokens whose ids a Python worker remembers; beyond, it forgets all and starts again.
-CACHED = 400_000
+CACHED = 120_000
 #: Pre-tokens of one text that are held at once.
 HELD = 200_000
 NONE = np.iinfo(np.int32).max
@@ -301,5 +301,6 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=schema.names
                 )
+            pa.default_memory_pool().release_unused()
 
     return df.select(*others, text).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.session import pinned
@@ -38,6 +38,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return pinned(df, f"llm-{name}")
 
 
+#: Rows of one Arrow batch, where the session has Spark's default of ten times as many: texts are long.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -45,9 +48,13 @@ def ship() -> SparkContext:
     """The running context, whose Python workers can import this package.
 
     The package goes to the executors as a zip file through Spark, once for
-    each application.
+    each application. A session that leaves the size of Arrow batches at its default gets
+    smaller ones, since both sides hold a whole batch of texts.
     """
     context = SparkContext.getOrCreate()
+    session = SparkSession.active()
+    if session.conf.get(BATCH_SETTING) == "10000":
+        session.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "lakekeep_package.zip")

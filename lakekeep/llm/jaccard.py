@@ -181,7 +181,7 @@ def prefixes(docs: DataFrame, percent: int, bits: np.ndarray | None = None) -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, end in blocks([t or "" for t in texts], 4_000_000):
+            for start, end in blocks([t or "" for t in texts], 1_000_000):
                 sets = sets_of(texts[start:end])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -193,6 +193,7 @@ def prefixes(docs: DataFrame, percent: int, bits: np.ndarray | None = None) -> D
                     ],
                     names=schema.names,
                 )
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
@@ -236,7 +237,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             hit = _marked(batch.column(1).to_numpy().view(np.uint64), marks.value)
             texts = batch.column(0).filter(pa.array(hit)).to_pylist()
-            for start, end in blocks([t or "" for t in texts], 4_000_000):
+            for start, end in blocks([t or "" for t in texts], 1_000_000):
                 sets = sets_of(texts[start:end])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],

@@ -218,5 +218,6 @@ def identify(df: DataFrame, samples: dict[str, list[str]], text: str = "text") -
                 kept = [batch.column(k).slice(start, end - start) for k in range(len(others))]
                 found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(parsed, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*kept, *found], names=schema.names)
+            pa.default_memory_pool().release_unused()
 
     return df.select(*others, text).mapInArrow(run, schema)
