@@ -193,14 +193,13 @@ def thresholds(bins: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without its text, with `spans`: array<struct<kind, start, end>> ordered by start, then kind as listed.
 
-    The texts are read once; what was found in them is stored, since the
-    corpus-wide thresholds need all of it before any token can be judged.
+    The texts are read twice: once for the candidates' counts, which the corpus-wide thresholds
+    need before any token can be judged, and once for the result. Only the counts are stored.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     others = [c for c in docs.columns if c != text]
     found = docs.select(*others, whole.alias("_text"))
     found = found.select(*others, *[c.alias(f"_{k}") for k, c in base_spans(F.col("_text")).items()], candidates(F.col("_text")).alias("_tested"))
-    found = stored(found, "secrets")
     tested = found.select(F.explode("_tested").alias("t")).select("t.enc", "t.len", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     bins = stored(tested.groupBy("enc", "len", "bin").agg(F.count(F.lit(1)).alias("c")), "secret-bins")
     # One row for each encoding and quarter octave of length: some hundreds at most.
