@@ -75,17 +75,20 @@ def mix(docs: DataFrame) -> DataFrame:
     if "size" not in docs.columns:
         docs = docs.withColumn("size", words())
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    docs = docs.withColumn("_order", order).withColumn("_part", F.substring("_order", 1, DIGITS))
+    docs = docs.withColumn("_order", order)
+    # One key for the shares of a source, so that counting within them and joining to their starts take one shuffle.
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    docs = docs.withColumn("_part", F.concat(F.substring("_order", 1, DIGITS), source))
     parts = stored(docs.groupBy("source", "_part").agg(F.sum("size").alias("part_size")), "mix-parts")
     sources = stored(targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))), "mix-targets")
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
     starts = starts.join(sources, starts["source"].eqNullSafe(sources["source"])).select(
-        starts["source"].alias("_source"), F.col("_part").alias("_p"), "start", "source_size", "slope", "target"
+        "_part", "start", "source_size", "slope", "target"
     )
-    inside = Window.partitionBy("source", "_part").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
+    placed = placed.join(starts, "_part")
     size, whole = F.col("size"), F.col("source_size")
     rounds = F.when(whole > 0, F.floor(F.col("target") / whole)).otherwise(0)
     placed = placed.withColumn("_before", F.col("start") + F.col("_inside")).withColumn("_rounds", rounds.cast("long"))
@@ -97,11 +100,11 @@ def mix(docs: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda c: moment(reached(c), F.col("slope"))),
     ).otherwise(F.array().cast("array<double>"))
     placed = placed.withColumn("positions", positions).withColumn("taken", size * F.col("copies"))
-    helpers = [c for c in placed.columns if c.startswith("_") and c in {"_order", "_part", "_inside", "_source", "_p", "_before", "_rounds"}]
+    helpers = [c for c in placed.columns if c.startswith("_") and c in {"_order", "_part", "_inside", "_before", "_rounds"}]
     return placed.drop(*helpers, "start", "slope")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row for every copy taken, range-sorted by its training position."""
     copies = mixed.withColumn("position", F.explode("positions")).drop("positions", "copies", "taken")
-    return copies.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
