@@ -13,7 +13,7 @@ that encoding a random token has uniform characters, so three tests follow:
 Each gives a normal score; the largest in size, taken for three tests, is the
 p-value of "random". Ordinary tokens gather near 0, random ones are uniform. What the
 tests can tell depends on the length, so false discovery is controlled for each
-encoding and length class over the whole corpus: the share of p-values above
+encoding and length class over the different tokens of the whole corpus: the share of p-values above
 one half estimates how many candidates are random, and a class takes
 the smallest threshold at which, of what passes, at most the allowed share is not.
 
@@ -151,7 +151,7 @@ def length_class(n: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, enc, len, p>> of the tokens that are tested."""
+    """array<struct<start, end, enc, len, p, h>> of the tokens that are tested; h tells different tokens apart."""
     alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
 
     def tested(m: Column) -> Column:
@@ -159,7 +159,7 @@ def candidates(text: Column) -> Column:
             return F.struct(
                 m["start"].alias("start"), m["end"].alias("end"), e.alias("enc"),
                 length_class(F.char_length(m["value"])).alias("len"),
-                randomness(m["value"], F.element_at(alphabets, e)).alias("p"),
+                randomness(m["value"], F.element_at(alphabets, e)).alias("p"), F.xxhash64(m["value"]).alias("h"),
             )
 
         return let(encoding(m["value"]), with_encoding)
@@ -167,6 +167,13 @@ def candidates(text: Column) -> Column:
     return F.transform(matches(text, TOKEN), tested)
 
 
+def binned(found: DataFrame) -> DataFrame:
+    """enc, len, bin and c, the number of different tokens there: copies of a token are no further p-values."""
+    bin_of = F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    different = found.select(F.explode("_tested").alias("t")).select("t.enc", "t.len", bin_of, "t.h").distinct()
+    return different.groupBy("enc", "len", "bin").agg(F.count(F.lit(1)).alias("c"))
+
+
 def thresholds(bins: DataFrame) -> DataFrame:
     """enc, len and the p-value from which a candidate of the class is taken for random.
 
@@ -200,8 +207,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text]
     found = docs.select(*others, whole.alias("_text"))
     found = found.select(*others, *[c.alias(f"_{k}") for k, c in base_spans(F.col("_text")).items()], candidates(F.col("_text")).alias("_tested"))
-    tested = found.select(F.explode("_tested").alias("t")).select("t.enc", "t.len", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    bins = stored(tested.groupBy("enc", "len", "bin").agg(F.count(F.lit(1)).alias("c")), "secret-bins")
+    bins = stored(binned(found), "secret-bins")
     # One row for each encoding and quarter octave of length: some hundreds at most.
     taken = {f"{r['enc']}/{r['len']}": r["least_p"] for r in thresholds(bins).collect()}
     least = F.create_map(*[F.lit(x) for pair in sorted(taken.items()) for x in pair]) if taken else F.create_map().cast("map<string,double>")

@@ -203,6 +203,46 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert hits >= 170 and false == 0
 
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def random_tokens(n, seed, letters=BASE64, size=40):
+    """Random tokens that hold a digit and a letter."""
+    rng = np.random.default_rng(seed)
+    out = []
+    while len(out) < n:
+        token = "".join(rng.choice(list(letters), size))
+        if re.search("[0-9]", token) and re.search("[A-Za-z]", token):
+            out.append(token)
+    return out
+
+
+def p_values(spark, tokens):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in tokens], "text string")
+    found = df.select("text", F.explode(secret_scan.candidates(F.col("text"))).alias("t")).select("text", "t.p").collect()
+    return {r["text"]: r["p"] for r in found}
+
+
+def found_random(spark, tokens):
+    """Those of the tokens, one for each document, that are found to be random."""
+    rows = [(k, t) for k, t in enumerate(tokens)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {tokens[r["doc_id"]] for r in found if any(s["kind"] == "random" for s in r["spans"])}
+
+
+def test_copies_of_a_token_change_no_threshold(spark):
+    tokens = random_tokens(300, 5)
+    p = p_values(spark, tokens)
+    low = min((t for t in p if p[t] > 0.25), key=p.get)
+    high = max(p, key=p.get)
+    alone = found_random(spark, tokens)
+    assert len(alone) > 250 and low in alone
+    assert found_random(spark, tokens + [low] * 500) == alone
+    assert found_random(spark, tokens + [high] * 500) == alone
+
+
 def test_redaction_covers_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("a", 2, 5), ("b", 3, 4), ("c", 5, 6), ("d", 8, 10)]), ("x", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
     from pyspark.sql import functions as F
