@@ -47,14 +47,16 @@ def training_sample(df: DataFrame, usable: Column, sampled: int = SAMPLED, excer
     """Excerpts of at most `sampled` different texts for each label, lowest text hash first.
 
     Bounded by `sampled * excerpt` code points for each language. The filter by
-    hash keeps a few times the wanted number before anything is ordered, and
-    equal texts are folded before the shuffle, so a language with most rows, or
+    hash keeps a few times the wanted number before anything is ordered; its rate
+    comes from the number of different texts, as copies pass or fail together. Equal
+    texts are folded before the shuffle, so a language with most rows, or
     one text with most copies, does no harm.
     """
     hashed = only(df, "text", "lang", "doc_id").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = hashed.select("lang", "text", F.xxhash64("text").alias("h"))
     # One number for each label: fewer than the sampled rows, which come to the driver as well.
-    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    different = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in different.collect()}
     if not counts:
         return {}
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 8.0 * sampled / n * (1 << 31))])

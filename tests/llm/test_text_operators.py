@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from fixtures import documents, frame
+from fixtures import documents, frame, prose
 from tokenizers import Tokenizer as Reference
 
 from lakekeep.llm import bpe, jaccard, langid, secret_scan, winnow
@@ -88,6 +88,17 @@ def test_language_without_labels_or_rows(spark):
     assert langid.identify(only(frame(spark, []), "doc_id", "text"), {"en": ["the"]}).count() == 0
 
 
+def test_copies_do_not_empty_a_language(spark):
+    """Fewer different texts than rows: all are sampled, and a language of copies stays known."""
+    from pyspark.sql import functions as F
+
+    base = [(k, prose(lang, 30, 7000 + k), lang) for lang, n in (("de", 10), ("fr", 10), ("en", 300)) for k in range(n)]
+    docs = spark.createDataFrame(base, "doc_id long, text string, lang string")
+    copies = docs.where("lang <> 'en'").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("_")
+    samples = langid.training_sample(copies.unionByName(docs.where("lang = 'en'")), F.lit(True))
+    assert {lang: len(parts) for lang, parts in samples.items()} == {"de": 10, "en": 120, "fr": 10}
+
+
 def test_language_accuracy_on_the_given_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     samples = langid.training_sample(docs, ~held_out())
