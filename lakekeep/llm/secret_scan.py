@@ -38,8 +38,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 8
 
-#: Runs of token characters that hold a digit and a letter within their first 20.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,19}[0-9])(?=[0-9+/_-]{0,19}[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+#: Runs of token characters that hold a digit and a letter, wherever in the run.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",

@@ -254,6 +254,15 @@ def test_copies_of_a_token_change_no_threshold(spark):
     assert found_random(spark, tokens + [high] * 500) == alone
 
 
+def test_digit_and_letter_may_stand_anywhere_in_a_token(spark):
+    late = ["QwErTyUiOpAsDfGhJkLzXcVbNm+qWeRtYuIoPaSd7", "12345678901234567890123456789a", "x" * 200_000 + "1"]
+    never = ["a" * 200_000, "1" * 200_000, "abcdefghijklmnopqrs1"[:19]]
+    assert set(p_values(spark, late + never)) == set(late)
+    # One in thirty base64 tokens has no digit in its first 20 characters.
+    tokens = random_tokens(1000, 11)
+    assert any(not re.search("[0-9]", t[:20]) for t in tokens) and set(p_values(spark, tokens)) == set(tokens)
+
+
 def test_redaction_covers_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("a", 2, 5), ("b", 3, 4), ("c", 5, 6), ("d", 8, 10)]), ("x", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
     from pyspark.sql import functions as F
