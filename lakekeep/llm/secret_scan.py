@@ -15,7 +15,8 @@ p-value of "random". Ordinary tokens gather near 0, random ones are uniform. Wha
 tests can tell depends on the length, so false discovery is controlled for each
 encoding and length class over the different tokens of the whole corpus: the share of p-values above
 one half estimates how many candidates are random, and a class takes
-the smallest threshold at which, of what passes, at most the allowed share is not.
+the smallest threshold at which, of what passes, at most the allowed share is not. Classes of few
+tokens are pooled with neighbouring lengths, then encodings, until the estimate rests on enough.
 
 All work is done by built-in expressions. The spans of a text come from its
 pieces between matches, so positions count code points.
@@ -26,6 +27,9 @@ equal spans; spans of different kinds may overlap; an empty table gives an empty
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +55,8 @@ ALPHABETS = {
 #: p-values are counted in so many equal bins; a threshold is one of the first of them.
 BINS, FALSE_SHARE = 100, 0.1
 LEAST_P = 0.01
+#: Different tokens from LEAST_P up that an estimate of the random ones rests on.
+ENOUGH = 50
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -174,27 +180,46 @@ def binned(found: DataFrame) -> DataFrame:
     return different.groupBy("enc", "len", "bin").agg(F.count(F.lit(1)).alias("c"))
 
 
+def pool(held: dict[tuple[str, int], np.ndarray], enc: str, length: int) -> tuple[np.ndarray, bool]:
+    """Counts by bin that a class is judged by, and whether they are still too few.
+
+    A class with fewer than ENOUGH different tokens from LEAST_P up takes in the lengths next to its own,
+    one step to each side at a time, then all encodings of lengths near its own, likewise.
+    """
+    far = lambda c: abs(c[1] - length)
+    for same in (True, False):
+        counts = np.zeros(BINS, dtype=np.int64)
+        for _, step in groupby(sorted((c for c in held if c[0] == enc or not same), key=far), key=far):
+            counts = sum((held[c] for c in step), counts)
+            if counts[int(LEAST_P * BINS) :].sum() >= ENOUGH:
+                return counts, False
+    return counts, True
+
+
 def thresholds(bins: DataFrame) -> DataFrame:
     """enc, len and the p-value from which a candidate of the class is taken for random.
 
     `bins` has enc, len, bin and c. With m candidates of which those above one half
     suggest r = 2 c(p >= 1/2) random ones, a threshold b passes c(p >= b)
     candidates, of which r (1 - b) are expected to be random; the rest is false. A class
-    where no threshold is good enough takes nothing.
+    where no threshold is good enough takes nothing. Thin classes are judged by their pool; random tokens
+    are uniform in all of them. Where all tokens together are too few, one
+    more is counted above one half, so that a lone random token is not lost by lying below it.
     """
-    level = F.explode(F.sequence(F.lit(int(LEAST_P * BINS)), F.lit(BINS // 2 - 1)))
-    per = bins.groupBy("enc", "len").agg(
-        F.sum(F.when(F.col("bin") >= BINS // 2, F.col("c")).otherwise(0)).alias("upper"),
-        F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("held"),
-    )
-    tried = per.select("enc", "len", "upper", "held", level.alias("b"))
-    passed = F.aggregate(
-        F.map_entries("held"), F.lit(0).cast("long"), lambda s, e: s + F.when(e["key"] >= F.col("b"), e["value"]).otherwise(0)
-    )
-    tried = tried.withColumn("passed", passed)
-    false = F.col("passed") - 2 * F.col("upper") * (1 - F.col("b") / BINS)
-    good = (F.col("passed") > 0) & (false <= FALSE_SHARE * F.col("passed"))
-    return tried.where(good).groupBy("enc", "len").agg((F.min("b") / BINS).alias("least_p"))
+    held: dict[tuple[str, int], np.ndarray] = {}
+    # A row for each class and bin: some tens of thousands at most.
+    for r in bins.collect():
+        held.setdefault((r["enc"], r["len"]), np.zeros(BINS, dtype=np.int64))[r["bin"]] += r["c"]
+    out = []
+    for enc, length in sorted(held):
+        counts, thin = pool(held, enc, length)
+        r = 2 * (int(counts[BINS // 2 :].sum()) + thin)
+        for b in range(int(LEAST_P * BINS), BINS // 2):
+            passed = int(counts[b:].sum())
+            if passed and passed - r * (1 - b / BINS) <= FALSE_SHARE * passed:
+                out.append((enc, length, b / BINS))
+                break
+    return bins.sparkSession.createDataFrame(out, "enc string, len int, least_p double")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -263,6 +263,39 @@ def test_digit_and_letter_may_stand_anywhere_in_a_token(spark):
     assert any(not re.search("[0-9]", t[:20]) for t in tokens) and set(p_values(spark, tokens)) == set(tokens)
 
 
+def test_a_lone_random_token_of_its_class_is_found(spark):
+    some = random_tokens(40, 21, "0123456789ABCDEF")
+    p = p_values(spark, some)
+    lone = min((t for t in some if p[t] > 0.25), key=p.get)
+    assert p[lone] < 0.5
+    # Alone in the table, with another class, and among ordinary tokens of its class.
+    ordinary = [f"{k:04d}AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA" for k in range(50)]
+    others = random_tokens(300, 22)
+    assert found_random(spark, [lone]) == {lone}
+    found = found_random(spark, [lone, *others, *ordinary])
+    assert lone in found and not found & set(ordinary) and len(found) > 250
+
+
+def bin_rows(spark, counts):
+    return spark.createDataFrame([(e, n, b, c) for (e, n), bins in counts.items() for b, c in bins.items()], "enc string, len int, bin int, c long")
+
+
+def least_p(spark, counts):
+    return {(r["enc"], r["len"]): r["least_p"] for r in secret_scan.thresholds(bin_rows(spark, counts)).collect()}
+
+
+def test_thin_classes_are_judged_by_their_neighbours(spark):
+    uniform = {b: 10 for b in range(100)}
+    got = least_p(spark, {("b64", 21): {**uniform, 0: 2010}, ("b64", 22): {30: 1}, ("HEX", 21): {43: 1}, ("hex", 40): {5: 400, 80: 1}})
+    assert got["b64", 21] == got["b64", 22] == got["HEX", 21] == 0.01
+    # Enough of its own: judged by itself.
+    assert got.get(("hex", 40), 1.0) > 0.05
+    # Few tokens in all: ordinary ones bring at most the one or two that lie highest.
+    assert least_p(spark, {("HEX", 21): {43: 1}}) == {("HEX", 21): 0.01}
+    assert least_p(spark, {("HEX", 21): {2: 18, 43: 1}})["HEX", 21] > 0.02
+    assert least_p(spark, {}) == {}
+
+
 def test_redaction_covers_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("a", 2, 5), ("b", 3, 4), ("c", 5, 6), ("d", 8, 10)]), ("x", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
     from pyspark.sql import functions as F
