@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing.
 
-A text is taken as a row of units (runs of up to 16 code points other than
-white space). Every k consecutive units are hashed; of every w consecutive
+A text is taken as a row of units: runs of up to 16 code points other than
+white space, and of a longer run every 16 consecutive code points, one unit beginning
+at each, so that units do not depend on where in the run a passage stands. Every k consecutive units are hashed; of every w consecutive
 hashes the smallest is kept, the rightmost of equal ones, with its position. Two
 texts that share a run of w + k - 1 units share at least one kept hash, and no match
 below k units is ever reported. Likeness is the Jaccard similarity of the kept hashes.
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 
 from lakekeep.llm.common import let, only
 
-UNIT = r"[^\x20\x09-\x0D]{1,16}"
+#: A whole run of up to 16 code points, or 16 code points of a longer one; a match moves on by the run or by one code point.
+SOLID = r"[^\x20\x09-\x0D]"
+SHORT = rf"(?<!{SOLID}){SOLID}{{1,16}}+(?!{SOLID})"
+UNIT = rf"(?=({SHORT}|{SOLID}{{16}}))(?:{SHORT}|{SOLID})"
 K, WINDOW = 5, 8
 #: Rows of one id range, and ranges at most.
 RANGE_ROWS, RANGES = 5000, 4096
@@ -52,7 +56,7 @@ def winnowed(text: Column, k: int = K, window: int = WINDOW) -> Column:
         return F.when(F.size(values) > 0, chosen).otherwise(values)
 
     hashed = lambda units: F.transform(units, lambda u: F.xxhash64(u))
-    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(1))
     return let(units, lambda u: let(hashed(u), lambda h: let(grams(h), lambda g: let(numbered(g), kept))))
 
 

@@ -336,6 +336,26 @@ def test_winnowing_guarantees(spark):
     assert by_id[64]["near_next"] > 0.9 and by_id[50]["near_edited"] > 0.2 and by_id[50]["near_next"] < 0.05
 
 
+def test_winnowing_of_runs_without_blanks(spark):
+    """A passage is met wherever it stands in a run, and an early change leaves later fingerprints alone."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    run = lambda n, low, high: "".join(map(chr, rng.integers(low, high, n)))
+    for low, high in ((0x4E00, 0x9000), (0x61, 0x7B), (0x1F300, 0x1F600)):
+        text, passage = run(600, low, high), run(27, low, high)
+        texts = [text, text[:3] + "x" + text[3:]] + [run(n, low, high) + passage + run(50 - n, low, high) for n in (16, 17, 23, 30)]
+        df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+        rows = df.select("k", winnow.winnowed(F.col("text")).alias("kept")).collect()
+        hashes = [{v >> 31 for v in r["kept"]} for r in sorted(rows)]
+        assert len(hashes[0] & hashes[1]) > 0.9 * len(hashes[0])
+        assert all(a & b for a in hashes[2:] for b in hashes[2:])
+        assert not hashes[0] & hashes[2]
+    rows = spark.createDataFrame([("a bc  " + "d" * 16 + "\t" + "e" * 15 + "fgh \U0001F600",)], "text string")
+    got = rows.select(F.regexp_extract_all("text", F.lit(winnow.UNIT), F.lit(1))).first()[0]
+    assert got == ["a", "bc", "d" * 16, "e" * 15 + "f", "e" * 14 + "fg", "e" * 13 + "fgh", "\U0001F600"]
+
+
 def test_winnowing_takes_the_rightmost_of_ties(spark):
     rows = [(1, "a " * 40, None, None, 0, None, None)]
     found = winnow.fingerprints(frame(spark, rows)).first()
