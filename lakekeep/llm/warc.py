@@ -25,6 +25,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -57,10 +58,13 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(key, r"[\x00-\x20]", "_")
 
 
+CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
 def with_roles(pages: DataFrame) -> DataFrame:
-    """page_id, key, payload (binary), digest, record_type and refers_to of every page."""
+    """page_id, key, url, payload (binary), digest, record_type and refers_to of every page."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.select("page_id", url_key(F.col("url")).alias("key"), payload.alias("payload"))
+    pages = pages.select("page_id", url_key(F.col("url")).alias("key"), "url", payload.alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     # Without the payloads: only payloads that occur more than once have a row here.
     copied = pages.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(
@@ -70,18 +74,23 @@ def with_roles(pages: DataFrame) -> DataFrame:
     placed = pages.join(copied, ["digest", "size"], "left")
     revisit = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return placed.select(
-        "page_id", "key", F.when(~revisit, F.col("payload")).alias("payload"), "digest",
+        "page_id", "key", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_last")).alias("refers_to"),
     )
 
 
-def record(page_id: int | None, key: str, payload: bytes | None, digest: str, kind: str, refers_to: int | None) -> bytes:
+def target(url: str | None) -> str:
+    """The page's URL as it is, but for control characters, which no header line can hold: these are percent-encoded."""
+    return CONTROL.sub(lambda m: f"%{ord(m.group()):02X}", url or "")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC record."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = head + (payload or b"")
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {key}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
+        f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
         lines += [
@@ -110,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             rows = batch.to_pydict()
             places: list[tuple[str, int, int]] = []
-            for values in zip(*(rows[c] for c in ("page_id", "key", "payload", "digest", "record_type", "refers_to")), strict=True):
+            for values in zip(*(rows[c] for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")), strict=True):
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()

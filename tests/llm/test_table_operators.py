@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import gzip
 import hashlib
 import random
 
@@ -261,3 +262,17 @@ def test_query_against_sql(spark, sf, name):
     columns, want = check_rows(connect(sf), CHECKS[name])
     assert sorted(df.columns) == columns
     assert spark_rows(df) == want
+
+
+def test_warc_records_give_back_the_url(spark, tmp_path):
+    urls = ["http://Www.Example.com/A?b#c", "https://www.example.com/A?b#c", "http://é.example/x\r\nWARC-Type: y", None]
+    want = ["http://Www.Example.com/A?b#c", "https://www.example.com/A?b#c", "http://é.example/x%0D%0AWARC-Type: y", ""]
+    df = spark.createDataFrame([(k, u, f"<p>{k}") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    places = warc.write_archives(warc.with_roles(df), f"file://{tmp_path}/warc").collect()
+    assert len(places) == 4
+    for r in places:
+        with open(f"{tmp_path}/warc/{r['file']}", "rb") as f:
+            f.seek(r["offset"])
+            fields, payload = warc.parsed(gzip.decompress(f.read(r["length"])))
+        assert fields["WARC-Target-URI"] == want[r["page_id"]] and fields["WARC-Type"] == "response"
+        assert payload == f"<p>{r['page_id']}".encode()
