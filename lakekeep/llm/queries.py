@@ -13,6 +13,7 @@ from lakekeep.llm.common import only
 from lakekeep.llm.hilbert import hilbert_shards
 from lakekeep.llm.jaccard import jaccard_components
 from lakekeep.llm.langid import identify, training_sample
+from lakekeep.llm.line_dedup import dedup_lines
 from lakekeep.llm.metric_join import metric_components
 from lakekeep.llm.mixing import mix, words
 from lakekeep.llm.secret_scan import scan, span_text
@@ -97,6 +98,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(load(spark, sf, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    told = dedup_lines(load(spark, sf, "documents"))
+    return told.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "most_docs")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_embedding_join": op2_embedding_join,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_index": op8_warc_index,
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op13_line_dedup": op13_line_dedup,
 }
 #: SQL for the queries that it can express.
 CHECKS: dict[str, str] = {
@@ -208,4 +215,15 @@ links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b
 reach(n, m) as (select doc_id, doc_id from documents union select r.n, l.b from reach r join links l on r.m = l.a),
 least as (select n doc_id, min(m) component_id from reach group by n)
 select doc_id, coalesce(n.n, 0) n_shingles, component_id from documents join least using (doc_id) left join n using (doc_id)""",
+    "op13_line_dedup": r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) lines, row_number() over () r from documents),
+l as (select r, doc_id, unnest(lines) line, unnest(range(len(lines))) i from d),
+k as (select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "key" from l),
+held as (select "key", count(distinct r) n, max(doc_id) keeper from k where length("key") >= 20 group by "key" having count(distinct r) >= 3),
+told as (select k.*, case when h.keeper is distinct from k.doc_id then h.n end gone from k left join held h on k."key" = h."key")
+select doc_id, count(*) n_lines, count(gone) n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (gone is null), '')) kept_sha256,
+       coalesce(max(gone), 0) most_docs
+from told group by r, doc_id""",
 }
