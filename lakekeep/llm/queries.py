@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakekeep.llm.align import align_tokenizers
 from lakekeep.llm.bpe import encode_decode
 from lakekeep.llm.common import only
 from lakekeep.llm.hilbert import hilbert_shards
@@ -98,6 +99,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(load(spark, sf, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokenizers(load(spark, sf, "documents"), *files)
+
+
 def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     told = dedup_lines(load(spark, sf, "documents"))
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "most_docs")
@@ -114,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_index": op8_warc_index,
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_alignment": op11_alignment,
     "op13_line_dedup": op13_line_dedup,
 }
 #: SQL for the queries that it can express.
