@@ -17,6 +17,7 @@ from lakekeep.llm.langid import identify, training_sample
 from lakekeep.llm.line_dedup import dedup_lines
 from lakekeep.llm.metric_join import metric_components
 from lakekeep.llm.mixing import mix, words
+from lakekeep.llm.prefix_trie import prefix_trie
 from lakekeep.llm.secret_scan import scan, span_text
 from lakekeep.llm.url_filter import judge
 from lakekeep.llm.warc import archive_and_read
@@ -104,6 +105,10 @@ def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return align_tokenizers(load(spark, sf, "documents"), *files)
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(load(spark, sf, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     told = dedup_lines(load(spark, sf, "documents"))
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "most_docs")
@@ -121,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_alignment": op11_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 #: SQL for the queries that it can express.
@@ -222,6 +228,35 @@ links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b
 reach(n, m) as (select doc_id, doc_id from documents union select r.n, l.b from reach r join links l on r.m = l.a),
 least as (select n doc_id, min(m) component_id from reach group by n)
 select doc_id, coalesce(n.n, 0) n_shingles, component_id from documents join least using (doc_id) left join n using (doc_id)""",
+    "op12_prefix_trie": r"""
+with t as (
+  select conv_id, coalesce(role, '') role, coalesce(text, '') text, row_number() over (
+           partition by conv_id order by turn nulls first,
+                        md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 idx
+  from conversations where conv_id is not null),
+-- crc32, bit by bit
+c as (select conv_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                                 lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint) % 4 h
+      from (select distinct conv_id from t)),
+b as (select c.conv_id, t.idx place, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and t.idx < c.h),
+m as (select c.conv_id, c.h, count(b.place) m from c left join b on b.conv_id = c.conv_id group by all),
+r as (select * from b union all select t.conv_id, m.m + t.idx - m.h, role, text from t join m on t.conv_id = m.conv_id where t.idx >= m.h),
+s as (select c.conv_id, coalesce(list(struct_pack(r := role, t := text) order by place) filter (where place is not null), []) turns
+      from c left join r on c.conv_id = r.conv_id group by c.conv_id),
+p as (select conv_id, unnest(range(len(turns) + 1)) depth, turns from s),
+k as (select conv_id, depth, md5(turns[1:depth]::json::varchar) node, case when depth > 0 then md5(turns[1:depth - 1]::json::varchar) end parent,
+             case when depth > 0 then turns[depth].t else '' end last, len(turns) = depth stops from p),
+n as (select node, depth, any_value(parent) parent, min(conv_id) conv_id, count(*) n_convs,
+             len(regexp_extract_all(any_value(last), '[^ 	-]+')) words,
+             sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (stops), '')) ends_sha256
+      from k group by node, depth),
+ch as (select parent, count(*) n_children from n group by parent),
+f as (select n.*, coalesce(n_children, 0) n_children from n left join ch on n.node = ch.parent),
+up as (select f.node, a.node top from f join k a on a.conv_id = f.conv_id and a.depth <= f.depth),
+sums as (select top, count(*) filter (n_children = 0) n_leaves, sum((n_convs - 1) * words)::bigint saved_tokens from up join f on up.node = f.node group by top)
+select f.conv_id, f.depth, q.conv_id parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+from f join sums on f.node = sums.top left join n q on f.parent = q.node""",
     "op13_line_dedup": r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) lines, row_number() over () r from documents),
 l as (select r, doc_id, unnest(lines) line, unnest(range(len(lines))) i from d),
