@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +42,10 @@ from lakekeep.llm.shards import RESIDENT, Shards, store_shards
 
 #: Fixed value: the mark for a space in the pieces.
 PIECE_SPACE = "▁"
+#: A word with the spaces before it.
+WORDS = re.compile(" +[^ ]*")
+#: Beyond so many words whose pieces a Python worker knows, those not met again are forgotten; the longest word that is kept.
+REMEMBERED, LONG_WORD = 300_000, 64
 #: Code points of text that are worked off together, and entries that a product holds at once.
 BLOCK, EXPANDED = 1_000_000, 4_000_000
 #: Different id pairs that a task counts before it hands them on.
@@ -49,7 +55,7 @@ SHARD_PAIRS = 1 << 20
 
 
 class ByteLevel:
-    """The byte-level tokenizer of a tokenizers file; `bytes_of` and encoding without special tokens.
+    """The byte-level tokenizer of a tokenizers file, without special tokens; None for texts whose bytes it does not keep.
 
     Where the file's merges make ids in ascending order, ids are ranks and the faster
     library gives the same tokens; else the file's own library is used.
@@ -69,25 +75,74 @@ class ByteLevel:
         in_order = all(a < b for a, b in zip(made, made[1:])) and sorted(len(raw[i]) for i in range(256)) == [1] * 256
         if plain and in_order and not data["model"].get("ignore_merges") and len(ranks) == 256 + len(made):
             fast = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            # Its tokens are the bytes of the text, whatever these are.
             self.encode = lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         else:
             own = tokenizers.Tokenizer.from_str(content.decode())
             own.no_truncation()
             own.no_padding()
             own.encode_special_tokens = True
-            self.encode = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+
+            def encode(text: str) -> np.ndarray | None:
+                ids = own.encode(text, add_special_tokens=False).ids
+                same = b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode()
+                return np.array(ids, dtype=np.int64) if same else None
+
+            self.encode = encode
 
 
 class Pieces:
-    """The tokenizer of a sentencepiece model, which puts the space before the text by itself."""
+    """The tokenizer of a sentencepiece model, which puts the space before the text by itself.
+
+    Where no piece holds a space behind anything but spaces, none reaches over
+    the start of a word's spaces, so words with the spaces before them are encoded once and remembered.
+    """
 
     def __init__(self, content: bytes):
-        model = sentencepiece.SentencePieceProcessor(model_proto=content)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_proto=content)
         names = [model.IdToPiece(i) for i in range(model.GetPieceSize())]
         self.bytes_of = [
             bytes([int(n[3:5], 16)]) if model.IsByte(i) else n.replace(PIECE_SPACE, " ").encode() for i, n in enumerate(names)
         ]
-        self.encode = lambda text: np.array(model.encode(text), dtype=np.int64)
+        self.apart = not any(PIECE_SPACE in n.lstrip(PIECE_SPACE) for n in names)
+        self.blank = model.PieceToId(PIECE_SPACE)
+        self.sizes = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of words with the spaces before them into `known`; `odd` are those whose ids have other bytes."""
+        self.known |= {w: self.before[w] for w in words if w in self.before}
+        if " " in words:
+            self.known[" "] = np.array([self.blank], dtype="<i4").tobytes()
+        new = [w for w in words if w not in self.known]
+        ids = self.model.encode([w[1:] for w in new], num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<i4")
+        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        raw, at = flat.tobytes(), [0, *(4 * ends).tolist()]
+        self.known.update(zip(new, [raw[s:e] for s, e in zip(at, at[1:])], strict=True))
+        # All bytes at once, and the size of each word: then each word has its own bytes.
+        wanted = [w.encode() for w in new]
+        upto = np.concatenate([[0], np.cumsum(self.sizes[flat])])
+        sizes = np.diff(upto[np.concatenate([[0], ends])])
+        same = np.array_equal(sizes, np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted)))
+        if not same or b"".join(map(self.bytes_of.__getitem__, flat.tolist())) != b"".join(wanted):
+            self.odd |= {w for w, i, x in zip(new, ids, wanted, strict=True) if b"".join(map(self.bytes_of.__getitem__, i)) != x}
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts, None where they do not have the bytes of a space and the text."""
+        held = [WORDS.findall(" " + t) if self.apart else [" " + t] for t in texts]
+        known = self.known
+        self._learn({w for words in held for w in words if w not in known})
+        out = [
+            np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4").astype(np.int64) if self.odd.isdisjoint(words) else None
+            for words in held
+        ]
+        if len(known) > REMEMBERED:
+            self.before = {w: ids for w, ids in known.items() if len(w) <= LONG_WORD and w not in self.odd}
+            self.known, self.odd = {}, set()
+        return out
 
 
 class Csr(NamedTuple):
@@ -132,7 +187,7 @@ def _joined(parts: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 def _pointers(keys: np.ndarray, n: int) -> np.ndarray:
     """Row pointers of entries that are sorted by their row."""
-    return np.searchsorted(keys, np.arange(n + 1)).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=n))])
 
 
 def overlaps(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +218,8 @@ def align(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.n
     """
     over_a, over_b, _ = overlaps(size_a, size_b)
     # The first and the last overlap of each A token; groups end where neither tokenizer's token goes on.
-    first = over_b[np.searchsorted(over_a, np.arange(len(ids_a)))] if len(ids_a) else over_b
-    last = over_b[np.searchsorted(over_a, np.arange(len(ids_a)), "right") - 1] if len(ids_a) else over_b
+    first = over_b[np.flatnonzero(np.diff(over_a, prepend=-1))]
+    last = over_b[np.flatnonzero(np.diff(over_a, append=-1))]
     group_a = np.cumsum(np.concatenate([[0], (first[1:] > last[:-1]).astype(np.int64)]))[: len(ids_a)]
     group_b = np.zeros(len(ids_b), dtype=np.int64)
     group_b[over_b] = group_a[over_a]
@@ -199,26 +254,16 @@ class Aligner:
         self.a, self.b = ByteLevel(byte_level), Pieces(pieces)
         self.width_a, self.width_b = len(self.a.bytes_of), len(self.b.bytes_of)
         self.size_a = np.array([len(t) for t in self.a.bytes_of], dtype=np.int64)
-        self.size_b = np.array([len(t) for t in self.b.bytes_of], dtype=np.int64)
+        self.size_b = self.b.sizes
         self.table = [
             b"%d%s" % (i, mark) for n, marks in ((self.width_a, (b",", b"|")), (self.width_b, (b",", b";"))) for mark in marks for i in range(n)
         ]
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both tokenizers, None where they do not cover the same bytes."""
-        if not text:
-            return None
-        want = b" " + text.encode()
-        a = self.a.encode(" " + text)
-        if b"".join(map(self.a.bytes_of.__getitem__, a.tolist())) != want:
-            return None
-        b = self.b.encode(text)
-        return (a, b) if b"".join(map(self.b.bytes_of.__getitem__, b.tolist())) == want else None
-
     def rows(self, texts: list[str | None], shift: int, wide: bool) -> list[tuple]:
         """For each text (n_a, n_b, n_groups, n_links, n_overlaps, groups_sha256, keys, links, bytes of a link count)."""
-        held = [self.tokens(t) for t in texts]
-        docs = [k for k, h in enumerate(held) if h is not None]
+        full = [k for k, t in enumerate(texts) if t]
+        held = dict(zip(full, zip((self.a.encode(" " + texts[k]) for k in full), self.b.encode_all([texts[k] for k in full])), strict=True))
+        docs = [k for k in full if held[k][0] is not None and held[k][1] is not None]
         none = (0, 0, 0, 0, 0, "", b"", b"", 1)
         out = [none] * len(texts)
         if not docs:
