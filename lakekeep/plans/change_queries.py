@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekeep.functions.paths import protected
+from lakekeep.functions.paths import base_name, parent, protected
 from lakekeep.functions.scalars import minute_stamp
 from lakekeep.operators.diff import exclude_transient, snapshot_diff
 from lakekeep.operators.keyed import last_wins
@@ -19,7 +19,7 @@ from lakekeep.plans.inputs import (
     CHANGES_SQL, INV, TREES, WHOLE_TREE, change_text, inventory, listing_text, tree_at,
 )
 from lakekeep.plans.registry import query
-from lakekeep.plans.sync import run_changes, sync_diff, sync_full
+from lakekeep.plans.sync import run_changes, sync_diff, sync_full, sync_resumable
 from lakekeep.session import load, pinned, work_path
 from lakekeep.sources.listing import parse_changes, read_changes, read_listing
 from lakekeep.sources.sinks import write_changes, write_failures
@@ -305,6 +305,57 @@ def sync_failures(spark: SparkSession, sf: str) -> DataFrame:
     return run_changes(spark, tree.where("false"), source, changes, work_path(spark, "sync"), 50).failures
 
 
+GONE_YEAR, BLOCKED = "/year=1995", "/warehouse/orders/status=F/year=1994"
+SYNC_TREE_SQL = f"""{TREES},
+src as (
+  select case when path = '{BLOCKED}' then '-rw-r--r--' else permission end permission, replication, "owner", grp,
+         case when path = '{BLOCKED}' then 1 else size end size, mtime, path
+  from new where not contains(path, '{GONE_YEAR}') and not starts_with(path, '{BLOCKED}/')),
+extra as (
+  select permission, replication, "owner", grp, size, mtime,
+         case when priority = '2-HIGH' then concat(path, '.part')
+              else concat(regexp_replace(path, '/[^/]*$', ''), '/.Trash/', regexp_extract(path, '[^/]*$')) end path
+  from old where priority in ('1-URGENT', '2-HIGH')),
+gone as (select path from old where permission like 'd%' and path not in (select path from src)),
+blocked as (select s.path from src s join old o on s.path = o.path where s.permission like '-%' and o.permission like 'd%')"""
+
+
+@query("sync_tree", f"""with {SYNC_TREE_SQL}
+select {LISTED_SQL}, 'row' state from src where path not in (select path from blocked)
+union all select {LISTED_SQL}, 'row' from old where path in (select path from blocked)
+union all select {LISTED_SQL}, 'row' from extra e
+  where not exists (select 1 from gone g where starts_with(e.path, concat(g.path, '/')))
+union all select null, null, null, null, null, null, path, 'kind_conflict' from blocked""")
+def sync_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """A sync of trees: whole years and a folder are gone from the source, where a file has taken the folder's place.
+
+    The target also holds files that no listing tells of, and transient ones. Those below a deleted folder go
+    with it, the others stay; the file does not replace the folder.
+    """
+    old, new = trees(spark, sf)
+    blocked = F.col("path") == BLOCKED
+    source = new.where(~F.col("path").contains(GONE_YEAR) & ~F.col("path").startswith(BLOCKED + "/")).withColumns({
+        "permission": F.when(blocked, "-rw-r--r--").otherwise(F.col("permission")), "size": F.when(blocked, 1).otherwise(F.col("size")),
+    })
+    part = old.where("priority = '2-HIGH'").withColumn("path", F.concat("path", F.lit(".part")))
+    trash = old.where("priority = '1-URGENT'").withColumn("path", F.concat(parent("path"), F.lit("/.Trash/"), base_name("path")))
+    seen = pinned(old.unionByName(trash), "listed")
+    there = pinned(seen.unionByName(part), "target")
+    done = sync_diff(spark, seen, source, work_path(spark, "sync"), stored=True, tree=True, target=there)
+    failed = done.failures.select(F.regexp_extract("raw", "^[^ ]* (.*)$", 1).alias("path"), F.col("reason").alias("state"))
+    return listed(done.snapshot).withColumn("state", F.lit("row")).unionByName(failed, allowMissingColumns=True)
+
+
+@query("sync_resumed", f"""with {TREES}
+select {LISTED_SQL} from new""")
+def sync_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A sync that ends after ten chunks, and is called again for the others; the result is that of `sync_diff`."""
+    old, new = trees(spark, sf)
+    out = work_path(spark, "sync")
+    sync_resumable(spark, old, new, out, most=10)
+    return listed(sync_resumable(spark, old, new, out).synced.snapshot)
+
+
 @query("split_work", f"""with {INV}, numbered as (
   select path, row_number() over (order by md5(concat('7', chr(31), path))) - 1 idx, count(*) over () n from inv)
 select path, idx, cast(idx // greatest(n // 40, 1) as integer) chunk from numbered""")

@@ -33,24 +33,24 @@ def write_changes(changes: DataFrame, path: str) -> None:
     change_lines(changes).write.text(path)
 
 
-def write_chunks(chunked: DataFrame, path: str) -> None:
+def write_chunks(chunked: DataFrame, path: str, mode: str = "error") -> None:
     """One folder per work chunk; needs `chunk` and `idx` from `split_work`."""
     piece = F.floor(F.col("idx") / CHUNK_FILE_ROWS)
     spread = chunked.withColumn("_piece", piece).repartition("chunk", "_piece").drop("_piece")
-    spread.write.partitionBy("chunk").parquet(path)
+    spread.write.mode(mode).partitionBy("chunk").parquet(path)
 
 
 def failures_of(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("reason").isNotNull())
 
 
-def write_failures(outcomes: DataFrame, path: str) -> None:
+def write_failures(outcomes: DataFrame, path: str, mode: str = "error") -> None:
     """Failure rows sorted by chunk and line over all output files.
 
     A range partitioning splits a chunk that holds most of the failures.
     """
     rows = failures_of(outcomes).select("chunk", "raw", "reason")
-    rows.repartitionByRange("chunk", "raw").sortWithinPartitions("chunk", "raw").write.parquet(path)
+    rows.repartitionByRange("chunk", "raw").sortWithinPartitions("chunk", "raw").write.mode(mode).parquet(path)
 
 
 def write_text_tier(lines: DataFrame, path: str, tier: str) -> None:
@@ -59,8 +59,8 @@ def write_text_tier(lines: DataFrame, path: str, tier: str) -> None:
     lines.select("value").write.option("compression", codec).option(NO_MARKER, "false").text(path)
 
 
-def write_parquet_tier(rows: DataFrame, path: str, tier: str) -> None:
-    rows.write.option("compression", codec_of(tier, PARQUET_CODECS)).parquet(path)
+def write_parquet_tier(rows: DataFrame, path: str, tier: str, mode: str = "error") -> None:
+    rows.write.mode(mode).option("compression", codec_of(tier, PARQUET_CODECS)).parquet(path)
 
 
 def with_shards(points: DataFrame) -> DataFrame:
