@@ -12,9 +12,10 @@ from lakekeep.operators.metrics import (
 from lakekeep.plans.inputs import METRIC_SQL, metric_snapshots
 from lakekeep.plans.registry import query
 from lakekeep.session import load, pinned, work_path
+from lakekeep.sources.metric_store import MetricStore
 from lakekeep.sources.sinks import expire_metrics, write_metrics
 from lakekeep.sources.snapshots import broken_snapshots, explode_beans
-from lakekeep.streaming.metrics import close_stream, metric_stream, stored_points
+from lakekeep.streaming.metrics import close_stream, metric_stream, stored_points, upsert_stream
 
 MINUTE_SQL = "strftime(ts, '%Y-%m-%d %H:%M')"
 RETAIN_FROM, RETAIN_TO = "2024-01-10 00:00:00", "2024-03-10 00:00:00"
@@ -127,3 +128,40 @@ def metric_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     closing = work_path(spark, "closing")
     close_stream(spark, landed, store, closing)
     return timed(stored_points(spark, store, closing))
+
+
+@query("metric_stream_late", f"""with {DEDUPED_SQL}
+select {MINUTE_SQL} ts, namespace, measurement, "value" from kept""")
+def metric_stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of every other day land after those of later days; their points count all the same."""
+    landed, store, checkpoint = (work_path(spark, name) for name in ("landed", "metrics", "stream"))
+    snapshots = pinned(metric_snapshots(spark, sf), "snapshots")
+    late = F.dayofmonth("ts") % 2 == 0
+    for part in (snapshots.where(~late), snapshots.where(late)):
+        part.write.mode("append").json(landed)
+        upsert_stream(spark, landed, store, checkpoint, every=None, open_from="9999-01-01").awaitTermination()
+    return timed(MetricStore(spark, store).read()).select("ts", "namespace", "measurement", "value")
+
+
+OPEN_FROM, CLOSED_BEFORE = "2024-01-20", "2024-01-26"
+
+
+@query("metric_shards", f"""with {DEDUPED_SQL},
+shards as (select *, strftime(ts, '%Y-%m-%d') "date", strftime(ts, '%H') h from kept where ts >= timestamp '{RETAIN_FROM}')
+select "date", case when "date" < '{CLOSED_BEFORE}' then 'all' else h end "hour", count(*) points, min("value") low, max("value") high
+from shards group by 1, 2""")
+def metric_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """The shards of a store: hours of open days, one of each closed day, and none of the days whose time is over.
+
+    The points come in two parts, the second of which also falls into days that are closed by then.
+    """
+    store = MetricStore(spark, work_path(spark, "metrics"))
+    points = pinned(metric_points(beans(spark, sf)), "points")
+    early = F.hour("ts") < 12
+    store.upsert(points.where(early), open_from=OPEN_FROM)
+    store.close_days(CLOSED_BEFORE)
+    store.upsert(points.where(~early))
+    store.expire(RETAIN_TO, 60)
+    return store.read().groupBy("date", "hour").agg(
+        F.count(F.lit(1)).alias("points"), F.min("value").alias("low"), F.max("value").alias("high")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakekeep.operators.metrics import WATERMARK, dedupe_points, metric_points, windowed
 from lakekeep.session import hadoop_path
+from lakekeep.sources.metric_store import MetricStore
 from lakekeep.sources.sinks import with_shards, write_metrics
 from lakekeep.sources.snapshots import explode_beans, read_snapshots, stream_snapshots
 
@@ -48,6 +50,31 @@ def metric_stream(
     return writer.trigger(**trigger).start()
 
 
+def upsert_stream(
+    spark: SparkSession, path: str, store: str, checkpoint: str, every: str | None = "5 minutes",
+    max_files: int | None = None, open_from: str | None = None,
+) -> StreamingQuery:
+    """Run the job into a `MetricStore`, where a later point of a series takes its place at any time.
+
+    There is no watermark and no state: each batch is merged with the shards that it falls into, however old they are.
+    A batch that is run again after a crash is known by its number and the id that the checkpoint
+    gives the stream, and changes nothing. A new checkpoint begins anew; its points are put in once more, which changes nothing either.
+    """
+    points = metric_points(explode_beans(stream_snapshots(spark, path, max_files)))
+    known, stream = threading.Event(), []
+
+    def put(batch: DataFrame, number: int) -> None:
+        known.wait()
+        MetricStore(batch.sparkSession, store).upsert(batch, stream[0], number, open_from)
+
+    writer = points.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    query = writer.trigger(**trigger).start()
+    stream.append(query.id)
+    known.set()
+    return query
+
+
 POINT_SCHEMA = "ts timestamp, namespace string, measurement string, value double"
 
 
@@ -55,15 +82,16 @@ def close_stream(spark: SparkSession, path: str, sink: str, closing: str) -> Non
     """Write what an ended stream has left open to a store of its own: the points later than all in its sink.
 
     The stream writes a time as a whole once the watermark has passed it, so the last time in
-    the sink tells which are missing. The sink's own log names its files, hence the second place.
+    the sink tells which are missing, and only their snapshots are parsed. The sink's own log names its files, hence the second place.
     """
-    points = dedupe_points(metric_points(explode_beans(read_snapshots(spark, path))))
+    snapshots = read_snapshots(spark, path)
     fs, at = hadoop_path(spark, sink)
-    last = spark.read.schema(POINT_SCHEMA).parquet(sink).agg(F.max("ts").alias("t")) if fs.exists(at) else None
-    if last is not None:
-        # One row.
-        points = points.join(F.broadcast(last), F.col("t").isNull() | (F.col("ts") > F.col("t"))).drop("t")
-    write_metrics(points, closing)
+    if fs.exists(at):
+        # One value.
+        last = spark.read.schema(POINT_SCHEMA).parquet(sink).agg(F.max("ts").cast("string").alias("t")).first().t
+        if last is not None:
+            snapshots = snapshots.where(F.col("ts") > F.lit(last).cast("timestamp"))
+    write_metrics(dedupe_points(metric_points(explode_beans(snapshots))), closing)
 
 
 def stored_points(spark: SparkSession, *stores: str) -> DataFrame:
