@@ -35,7 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LATIN = 0x250
 #: Up to so many bytes a pre-token is worked off by scanning.
 SHORT = 64
-#: Pre-tokens whose ids a Python worker remembers; beyond, it forgets all and starts again.
+#: Beyond so many pre-tokens whose ids a Python worker knows, those not met again are forgotten.
 CACHED = 120_000
 #: Pre-tokens of one text that are held at once.
 HELD = 200_000
@@ -92,6 +92,7 @@ class Tokenizer:
         self.beyond = re.compile(f"[^\\x00-{chr(LATIN - 1)}]")
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.by_id = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
 
     def _hash_table(self) -> None:
@@ -223,31 +224,40 @@ class Tokenizer:
             at = m.end()
         yield from self._words(text[at:] if at else text)
 
+    def _known(self, words: set[str]) -> None:
+        """Have the ids of pre-tokens in the cache: unknown ones are learned together, however full it is."""
+        self.cache |= {w: self.before[w] for w in words if w in self.before}
+        self.learn({w for w in words if w not in self.cache})
+
+    def _forget(self) -> None:
+        """When the cache is full, what it holds becomes the older half, and the older half before goes."""
+        if len(self.cache) > CACHED:
+            self.before, self.cache = self.cache, {}
+
     def _ids(self, part: list[str] | int) -> bytes:
+        """Ids of pre-tokens that are in the cache, or of an added token."""
         if isinstance(part, int):
             return np.array([part], dtype="<u4").tobytes()
-        try:
-            return b"".join([self.cache[w] for w in part])
-        except KeyError:
-            new = {w for w in part if w not in self.cache}
-            if len(self.cache) + len(new) > CACHED:
-                self.cache.clear()
-                new = set(part)
-            self.learn(new)
-            return b"".join([self.cache[w] for w in part])
+        return b"".join(map(self.cache.__getitem__, part))
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._ids, self._parts(text)))
+        """Ids as little-endian unsigned 32-bit integers; a long text is worked off in pieces."""
+        out = []
+        for part in self._parts(text):
+            if not isinstance(part, int):
+                self._known({w for w in part if w not in self.cache})
+            out.append(self._ids(part))
+            self._forget()
+        return b"".join(out)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """As `encode`; the unknown pre-tokens of short texts are worked off together."""
         held = [list(self._parts(t)) if len(t) <= HELD else None for t in texts]
         cache = self.cache
-        new = {w for parts in held if parts for part in parts if not isinstance(part, int) for w in part if w not in cache}
-        if len(cache) + len(new) <= CACHED:
-            self.learn(new)
-        return [self.encode(t) if parts is None else b"".join(map(self._ids, parts)) for t, parts in zip(texts, held, strict=True)]
+        self._known({w for parts in held if parts for part in parts if not isinstance(part, int) for w in part if w not in cache})
+        short = [None if parts is None else b"".join(map(self._ids, parts)) for parts in held]
+        self._forget()
+        return [self.encode(t) if ids is None else ids for t, ids in zip(texts, short, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         found = map(self.by_id.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())

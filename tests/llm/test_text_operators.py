@@ -44,6 +44,19 @@ def test_bpe_scan_and_heap_agree():
         bpe.CACHED = small
 
 
+def test_bpe_with_a_cache_of_a_few_words(monkeypatch):
+    """Words are forgotten all the time, within a long text too; the ids stay those of the library."""
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    monkeypatch.setattr(bpe, "HELD", 40)
+    with open(PATH, "rb") as f:
+        own = bpe.Tokenizer(f.read())
+    reference = Reference.from_file(PATH)
+    texts = [t or "" for _, t, *_ in documents() if len(t or "") < 10_000]
+    got = [ids for start in range(0, len(texts), 7) for ids in own.encode_all(texts[start : start + 7])]
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own.cache) <= 3 + 40 * 7
+
+
 def test_bpe_empty_table(spark):
     assert bpe_digest(frame(spark, [])).count() == 0
 
