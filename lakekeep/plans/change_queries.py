@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import base_name, parent, protected
 from lakekeep.functions.scalars import minute_stamp
 from lakekeep.operators.diff import exclude_transient, snapshot_diff
+from lakekeep.operators.digests import read_digests, verify_tree, write_digests
 from lakekeep.operators.keyed import last_wins
 from lakekeep.operators.split import split_work
 from lakekeep.operators.verify import exclude_trash, verify
@@ -23,6 +26,7 @@ from lakekeep.plans.sync import run_changes, sync_diff, sync_full, sync_resumabl
 from lakekeep.session import load, pinned, work_path
 from lakekeep.sources.listing import parse_changes, read_changes, read_listing
 from lakekeep.sources.sinks import write_changes, write_failures
+from lakekeep.sources.snapshot_table import store_snapshot, stored_diff
 
 LISTED = ("permission", "replication", "owner", "grp", "size")
 LISTED_SQL = "permission, replication, \"owner\", grp, size, strftime(mtime, '%Y-%m-%d %H:%M') \"minute\", path"
@@ -62,6 +66,16 @@ def diff_ignore_time(spark: SparkSession, sf: str) -> DataFrame:
     return listed(snapshot_diff(*trees(spark, sf), ignore_time=True), "op")
 
 
+@query("diff_bucketed", DIFF_SQL.format(trees=TREES, time="or o.mtime <> n.mtime"))
+def diff_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The older tree is kept in buckets and sorted; the diff leaves it where it lies."""
+    old, new = trees(spark, sf)
+    table = f"snapshot_{uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store_snapshot(old, table, work_path(spark, "snapshot"), buckets)
+    return listed(stored_diff(spark, table, new), "op")
+
+
 @query("change_lines", f"""
 select concat_ws(' ', op, permission, replication, "owner", grp, cast(size as varchar), "minute", path) as "value"
 from ({DIFF_SQL.format(trees=TREES, time="or o.mtime <> n.mtime")})""")
@@ -181,7 +195,7 @@ def copies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return docs.select(at, F.md5("text").alias("digest")), lossy.unionByName(extra)
 
 
-@query("verify_content", """
+VERIFY_SQL = """
 with src as (select concat('/docs/', source, '/', cast(doc_id as varchar)) path, md5(text) digest from documents),
 dst as (select concat('/docs/', source, '/', cast(doc_id as varchar)) path,
                md5(case when lang = 'es' then upper(text) else text end) digest
@@ -190,11 +204,26 @@ dst as (select concat('/docs/', source, '/', cast(doc_id as varchar)) path,
 select coalesce(s.path, d.path) path,
        case when s.path is null then 'NO_SOURCE' when d.path is null then 'NO_TARGET'
             when s.digest = d.digest then 'MATCH' else 'CONTENT' end status
-from src s full join dst d on s.path = d.path""")
+from src s full join dst d on s.path = d.path"""
+
+
+@query("verify_content", VERIFY_SQL)
 def verify_content(spark: SparkSession, sf: str) -> DataFrame:
     return verify(*copies(spark, sf))
 
 
+@query("verify_tree", VERIFY_SQL)
+def verify_tree_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from stored folder digests: files are compared in folders that differ alone."""
+    sides = [pinned(rows, "side") for rows in copies(spark, sf)]
+    digests = []
+    for rows in sides:
+        path = work_path(spark, "digests")
+        write_digests(rows, path)
+        digests.append(read_digests(spark, path))
+    return verify_tree(*sides, *digests)
+
+
 @query("verify_changes", f"""with {OUTCOME_SQL}
 select distinct c.path,
        case when n.path is null and o.path is null then 'NO_BOTH' when n.path is null then 'NO_SOURCE'
