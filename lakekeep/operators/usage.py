@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from lakekeep.functions.paths import as_column, glob_match, is_file, lineage, parent, parse_values, partition_value
+from lakekeep.functions.paths import (
+    as_column, bare_path, glob_match, is_file, lineage, parent, parse_values, partition_value, squeeze,
+)
 from lakekeep.functions.scalars import known_atime, temperature, year_of
 from lakekeep.session import pinned
 from lakekeep.sources.files import partition_location, scan_files
@@ -57,6 +59,28 @@ def table_usage(spark: SparkSession, table: str, values: str | Sequence[str]) ->
     return scan_files(spark, location, recursive=True).agg(*totals())
 
 
+def location_usage(inv: DataFrame, locations: DataFrame) -> DataFrame:
+    """Bytes and files of every partition of a table, wherever its location lies: (columns.., location, bytes, files).
+
+    `locations` (columns.., location) is what the catalog knows. A file belongs to the longest location above it, so a
+    partition may lie inside another; partitions of one location each have its files. One without files has zeros. The row with a null location
+    has the files that no partition holds. The inventory is folded to a row for each folder first; these climb to
+    their ancestors and meet the locations.
+    """
+    names = [c for c in locations.columns if c != "location"]
+    at = normal_root(squeeze(bare_path("location")))
+    known = locations.select(*names, "location", at.alias("_at"))
+    folders = inv.where(file_flag(inv)).groupBy(parent("path").alias("folder")).agg(*totals())
+    climbed = folders.select("folder", F.explode(lineage("folder")).alias("_at"))
+    met = climbed.join(known.select("_at").distinct(), "_at", "left_semi")
+    owner = met.groupBy("folder").agg(F.max(F.struct(F.char_length("_at"), "_at")).getField("_at").alias("_at"))
+    held = summed(folders.join(owner, "folder", "left").groupBy("_at"))
+    zero = F.lit(0).cast("bigint")
+    told = known.join(held, "_at", "left").select(*names, "location", F.coalesce("bytes", zero).alias("bytes"), F.coalesce("files", zero).alias("files"))
+    rest = held.where(F.col("_at").isNull()).select("bytes", "files")
+    return told.unionByName(rest, allowMissingColumns=True)
+
+
 def normal_root(root: Column | str) -> Column:
     """A root without slashes at its end; all slashes are the root `/`."""
     bare = F.rtrim(as_column(root), F.lit("/"))
@@ -192,15 +216,8 @@ def _long_form(cube: DataFrame) -> DataFrame:
     )
 
 
-def dir_summary(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str, file_roots: bool = False) -> DataFrame:
-    """All breakdowns of every root in long form, plus its totals.
-
-    The inventory is read once, into one row per folder, years and temperature;
-    all breakdowns, totals and folder counts are folded from that.
-    """
-    folders = by_folder(inv, as_of, DIMENSIONS)
-    cube = pinned(_cube(inv, folders, roots, as_of, DIMENSIONS, file_roots), "cube")
-    flat = _rollup(inv, roots, summed(cube.groupBy("root")), _dirs(folders, roots)).select(
+def _summary(cube: DataFrame, folders: DataFrame, roots: list[str] | DataFrame) -> DataFrame:
+    flat = _rollup(folders, roots, summed(cube.groupBy("root")), _dirs(folders, roots)).select(
         "root",
         F.explode(
             F.array(
@@ -214,6 +231,22 @@ def dir_summary(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | st
     return _long_form(cube).unionByName(flat)
 
 
+def summary_of(folders: DataFrame, roots: list[str] | DataFrame) -> DataFrame:
+    """`dir_summary` of a table of folders and breakdowns such as `by_folder` makes."""
+    folders = pinned(folders, "folders")
+    return _summary(pinned(_climbed(folders.where("f"), roots, DIMENSIONS), "cube"), folders, roots)
+
+
+def dir_summary(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str, file_roots: bool = False) -> DataFrame:
+    """All breakdowns of every root in long form, plus its totals.
+
+    The inventory is read once, into one row per folder, years and temperature;
+    all breakdowns, totals and folder counts are folded from that.
+    """
+    folders = by_folder(inv, as_of, DIMENSIONS)
+    return _summary(pinned(_cube(inv, folders, roots, as_of, DIMENSIONS, file_roots), "cube"), folders, roots)
+
+
 def dir_summary_maps(inv: DataFrame, roots: list[str] | DataFrame, as_of: Column | str, file_roots: bool = False) -> DataFrame:
     """One row per root with six maps, as `dir_summary` holds them in long form.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lakekeep.functions.paths import (
@@ -113,8 +113,8 @@ def plan_actions(outcome: DataFrame, target_root: str = "/") -> DataFrame:
     )
 
 
-def counters(outcome: DataFrame, job: str = COPY) -> DataFrame:
-    """One row of job counters over the lines of `outcomes`, or of `delete_outcomes` for a delete job.
+def counter_columns(job: str = COPY) -> list[Column]:
+    """The job counters as aggregates over lines with `op`, `reason`, `skipped` and `file`, for a delete job also `doomed`.
 
     A skipped line succeeds without counting as an operation. MKDIR counts
     every folder line, whether or not the folder was there. A verify job makes no
@@ -139,7 +139,15 @@ def counters(outcome: DataFrame, job: str = COPY) -> DataFrame:
         "copied": builds & F.col("file") if copies else none,
         "reduced": failed,
     }
-    return outcome.agg(*[F.count_if(c).cast("bigint").alias(n) for n, c in counts.items()])
+    return [F.count_if(c).cast("bigint").alias(n) for n, c in counts.items()]
+
+
+COUNTERS = ("total", "succ", "fail", "invalid", "added", "deleted", "updated", "mkdir", "copied", "reduced")
+
+
+def counters(outcome: DataFrame, job: str = COPY) -> DataFrame:
+    """One row of job counters over the lines of `outcomes`, or of `delete_outcomes` for a delete job."""
+    return outcome.agg(*counter_columns(job))
 
 
 def delete_outcomes(changes: DataFrame, src: DataFrame, recursive: bool = False) -> DataFrame:
@@ -156,13 +164,12 @@ def delete_outcomes(changes: DataFrame, src: DataFrame, recursive: bool = False)
     )
 
 
-def observed(outcome: DataFrame, name: str = "migrate") -> DataFrame:
-    """The same rows, reporting totals to query listeners while they are processed."""
-    return outcome.observe(
-        name,
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("reason").isNotNull()).alias("fail"),
-    )
+def observed(outcome: DataFrame, observation: Observation | str, job: str = COPY) -> DataFrame:
+    """The same lines, which tell their job counters to the observation, or to listeners by its name, as they are worked off.
+
+    The counters come with the job that writes the lines; there is no second pass. They hold for one action on the result.
+    """
+    return outcome.observe(observation, *counter_columns(job))
 
 
 def plan_source_delete(

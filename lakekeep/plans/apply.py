@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lakekeep.functions.paths import is_file
 from lakekeep.operators.diff import ADD, DELETE, OPS, UPDATE
 from lakekeep.operators.keyed import HIT, RIGHT, last_wins, match_unique
 from lakekeep.operators.usage import file_flag
-from lakekeep.plans.actions import KIND_CONFLICT, SOURCE_MISSING, UNKNOWN_OP, delete_rows
+from lakekeep.plans.actions import KIND_CONFLICT, SOURCE_MISSING, UNKNOWN_OP, delete_rows, observed
 from lakekeep.session import pinned
 
 
@@ -80,6 +81,12 @@ def settle(target: DataFrame, decided: DataFrame, keys: Sequence[str] = ("path",
     return kept.unionByName(taken)
 
 
+def lined(decided: DataFrame) -> DataFrame:
+    """Decisions as job counters take them; a row without a permission is a file."""
+    kind = F.coalesce(is_file(RIGHT + "permission"), F.lit(True)) if RIGHT + "permission" in decided.columns else F.lit(True)
+    return decided.withColumns({"skipped": F.lit(False), "file": kind})
+
+
 def failures_in(decided: DataFrame, keys: Sequence[str] = ("path",), carry: Sequence[str] = ()) -> DataFrame:
     return decided.where(F.col("reason").isNotNull()).select(*keys, "op", "reason", *[c for c in carry if c not in keys])
 
@@ -92,6 +99,7 @@ def apply_changes(
     order: Sequence[str] | None = None,
     tree: bool = False,
     carry: Sequence[str] = (),
+    observation: Observation | None = None,
 ) -> Applied:
     """The snapshot after the changes, and the changes that could not be made.
 
@@ -100,9 +108,13 @@ def apply_changes(
     row is gone fails, as does one of an unknown op, and the target row is kept. With `tree` the rows are
     files and folders: a file over a folder fails too, and the DELETE of a
     folder takes what lies below it, but for rows whose own change failed. Failures carry
-    the columns `carry` of their changes.
+    the columns `carry` of their changes. An `observation` is told the job
+    counters by the job that stores the decisions.
     """
     told = fold_changes(changes, keys, order, carry)
     # The decisions feed every part of the result, so they are stored once.
-    decided = pinned(decide(target, source, told, keys, tree), "decided")
+    decided = decide(target, source, told, keys, tree)
+    if observation is not None:
+        decided = observed(lined(decided), observation).select(*decided.columns)
+    decided = pinned(decided, "decided")
     return Applied(settle(target, decided, keys, tree), failures_in(decided, keys, carry))

@@ -15,14 +15,14 @@ from lakekeep.operators.keyed import last_wins
 from lakekeep.operators.split import split_work
 from lakekeep.operators.verify import exclude_trash, verify
 from lakekeep.plans.actions import (
-    REMOVE, VERIFY, counters, delete_outcomes, delete_rows, outcomes, plan_actions, plan_source_delete,
+    COUNTERS, REMOVE, VERIFY, counters, delete_outcomes, delete_rows, outcomes, plan_actions, plan_source_delete,
 )
 from lakekeep.plans.apply import apply_changes
 from lakekeep.plans.inputs import (
     CHANGES_SQL, INV, TREES, WHOLE_TREE, change_text, inventory, listing_text, tree_at,
 )
 from lakekeep.plans.registry import query
-from lakekeep.plans.sync import run_changes, sync_diff, sync_full, sync_resumable
+from lakekeep.plans.sync import run_changes, run_chunks, sync_diff, sync_full, sync_resumable
 from lakekeep.session import load, pinned, work_path
 from lakekeep.sources.listing import parse_changes, read_changes, read_listing
 from lakekeep.sources.sinks import write_changes, write_failures
@@ -385,6 +385,29 @@ def sync_resumed(spark: SparkSession, sf: str) -> DataFrame:
     return listed(sync_resumable(spark, old, new, out).synced.snapshot)
 
 
+@query("sync_counters", f"""with {TREES},
+d as (select case when o.path is null then 'ADD' when n.path is null then 'DELETE' else 'UPDATE' end op, n.permission, n.grp
+      from old o full join new n on o.path = n.path
+      where o.path is null or n.path is null or o.permission <> n.permission or o.replication <> n.replication
+         or o."owner" <> n."owner" or o.grp <> n.grp or o.size <> n.size or o.mtime <> n.mtime),
+t as (select *, op <> 'DELETE' and grp = 'P' failed from d),
+counts as (select count(*) total, count(*) filter (where not failed) succ, count(*) filter (where failed) fail, 0::bigint invalid,
+       count(*) filter (where not failed and op = 'ADD') added, count(*) filter (where op = 'DELETE') deleted,
+       count(*) filter (where not failed and op = 'UPDATE') updated,
+       count(*) filter (where not failed and op <> 'DELETE' and permission like 'd%') mkdir,
+       count(*) filter (where not failed and op <> 'DELETE' and permission like '-%') copied,
+       count(*) filter (where failed) reduced from t)
+select 'observed' form, * from counts union all select 'by chunk', * from counts""")
+def sync_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Job counters of a sync whose source has lost rows: as observed by its own job, and added up from a ledger of chunks."""
+    old, new = trees(spark, sf)
+    changes, source = pinned(snapshot_diff(old, new), "changes"), new.where("grp <> 'P'")
+    one = run_changes(spark, old, source, changes, work_path(spark, "sync")).counters
+    two = run_chunks(spark, old, source, changes, work_path(spark, "sync"), wave=9).synced.counters
+    rows = [(form, *[counted[n] for n in COUNTERS]) for form, counted in (("observed", one), ("by chunk", two))]
+    return spark.createDataFrame(rows, f"form string, {', '.join(f'{n} bigint' for n in COUNTERS)}")
+
+
 @query("split_work", f"""with {INV}, numbered as (
   select path, row_number() over (order by md5(concat('7', chr(31), path))) - 1 idx, count(*) over () n from inv)
 select path, idx, cast(idx // greatest(n // 40, 1) as integer) chunk from numbered""")
@@ -449,11 +472,13 @@ def source_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return listed(delete_rows(new, doomed))
 
 
-@query("source_delete_recursive", f"""with {TREES}
+@query("source_delete_recursive", f"""with {TREES}, asked as (select * from old where permission like '-%' or grp <> 'F')
 select {LISTED_SQL} from new n
-where n.path not in (select path from old)
-  and not exists (select 1 from old o where o.permission like 'd%' and starts_with(n.path, concat(o.path, '/')))""")
+where n.path not in (select path from asked)
+  and not exists (select 1 from asked o where o.permission like 'd%' and starts_with(n.path, concat(o.path, '/')))""")
 def source_delete_recursive(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders of one status are not asked for: of these, folders and new files survive."""
     old, new = trees(spark, sf)
-    doomed = pinned(plan_source_delete(old, new, recursive=True), "doomed")
+    asked = old.where("permission like '-%' or grp <> 'F'")
+    doomed = pinned(plan_source_delete(asked, new, recursive=True), "doomed")
     return listed(delete_rows(new, doomed, recursive=True))

@@ -6,13 +6,14 @@ import json
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakekeep.operators.diff import ADD, exclude_transient, snapshot_diff
 from lakekeep.operators.split import split_work
-from lakekeep.plans.apply import apply_changes, decide, failures_in, fold_changes, settle
+from lakekeep.plans.actions import COUNTERS, counter_columns
+from lakekeep.plans.apply import apply_changes, decide, failures_in, fold_changes, lined, settle
 from lakekeep.session import pinned
 from lakekeep.sources.ledger import Ledger
 from lakekeep.sources.sinks import FAILURE_SCHEMA, write_chunks, write_failures, write_parquet_tier
@@ -29,6 +30,8 @@ class Synced(NamedTuple):
     changes: DataFrame
     snapshot: DataFrame
     failures: DataFrame
+    # The job counters by name, over the last change of each key; told by the job that decided them.
+    counters: dict[str, int]
 
 
 class Progress(NamedTuple):
@@ -61,12 +64,13 @@ def run_changes(
     write_chunks(shuffled, f"{out}/changes")
     # Read with their schemas: there may be no change, and then no file.
     landed = spark.read.schema(shuffled.schema).parquet(f"{out}/changes")
-    done = apply_changes(_plain(target), source, landed, keys, tree=tree, carry=CARRIED)
+    counted = Observation("sync")
+    done = apply_changes(_plain(target), source, landed, keys, tree=tree, carry=CARRIED, observation=counted)
     write_parquet_tier(done.snapshot, f"{out}/snapshot", tier)
     write_failures(done.failures, f"{out}/failures")
     snapshot = spark.read.schema(done.snapshot.schema).parquet(f"{out}/snapshot")
     failures = spark.read.schema(FAILURE_SCHEMA).parquet(f"{out}/failures")
-    return Synced(landed, snapshot, failures)
+    return Synced(landed, snapshot, failures, counted.get)
 
 
 def _planned(spark: SparkSession, changes: DataFrame, out: str, chunks: int, seed: int, keys: Sequence[str], ledger: Ledger, after: int) -> dict:
@@ -80,7 +84,7 @@ def _planned(spark: SparkSession, changes: DataFrame, out: str, chunks: int, see
     sizes = spark.read.schema(told.schema).parquet(f"{out}/told").groupBy("chunk").count().collect()
     state = {
         "columns": landed.schema.json(), "told": told.schema.json(),
-        "chunks": {str(r["chunk"]): {"state": OPEN, "changes": r["count"], "failed": 0, "attempts": 0} for r in sizes},
+        "chunks": {str(r["chunk"]): {"state": OPEN, "changes": r["count"], "attempts": 0} for r in sizes},
     }
     ledger.commit(state, after)
     return state
@@ -117,9 +121,11 @@ def run_chunks(
         writer = rows.hint("rebalance", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("chunk").parquet(f"{out}/decided")
         stored = spark.read.schema(schema).parquet(f"{out}/decided").where(F.col("chunk").isin(part))
-        for r in stored.groupBy("chunk").agg(F.count_if(F.col("reason").isNotNull()).alias("failed")).collect():
+        # A row for each chunk of the wave.
+        for r in lined(stored).groupBy("chunk").agg(*counter_columns()).collect():
             chunk = state["chunks"][str(r["chunk"])]
-            chunk |= {"failed": r["failed"], "state": FAILED if r["failed"] else DONE, "attempts": chunk["attempts"] + 1}
+            counted = {n: r[n] for n in COUNTERS}
+            chunk |= {"counters": counted, "state": FAILED if r["fail"] else DONE, "attempts": chunk["attempts"] + 1}
         number = ledger.commit(state, number)
     states = {int(c): s["state"] for c, s in sorted(state["chunks"].items(), key=lambda x: int(x[0]))}
     if OPEN in states.values():
@@ -133,7 +139,8 @@ def run_chunks(
         ledger.commit(state | {"written": True}, number)
     snapshot = spark.read.schema(target.schema).parquet(f"{out}/snapshot")
     failures = spark.read.schema(FAILURE_SCHEMA).parquet(f"{out}/failures")
-    return Progress(todo, states, Synced(landed, snapshot, failures))
+    counts = {n: sum(c["counters"][n] for c in state["chunks"].values()) for n in COUNTERS}
+    return Progress(todo, states, Synced(landed, snapshot, failures, counts))
 
 
 def sync_diff(

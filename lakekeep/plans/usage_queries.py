@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lakekeep.functions.paths import glob_match, partition_value, partition_values, trash_path
 from lakekeep.functions.scalars import day_stamp, mode_of, percent, temperature
 from lakekeep.operators.split import byte_ranges
+from lakekeep.operators.stored_usage import folder_classes, signed_changes, summary_from, updated_classes
 from lakekeep.operators.usage import (
-    dir_rollup, dir_summary, partition_usage, temperature_histogram, usage, usage_cube, year_histogram,
+    dir_rollup, dir_summary, location_usage, partition_usage, temperature_histogram, usage, usage_cube, year_histogram,
 )
 from lakekeep.plans.inputs import AS_OF, INV, ROOTS, WHOLE_TREE, inventory, tree_at
 from lakekeep.plans.registry import query
-from lakekeep.session import load
+from lakekeep.session import load, pinned
 
 GLOB = "/warehouse/orders/status=[FO]/year=*/order-1??"
 GLOB_SQL = "regexp_full_match(path, '/warehouse/orders/status=[FO]/year=[^/]*/order-1[^/][^/]')"
@@ -88,16 +89,64 @@ def hist_temperature(spark: SparkSession, sf: str) -> DataFrame:
     return temperature_histogram(inventory(spark, sf), ROOTS, AS_OF)
 
 
-@query("dir_summary", f"""with {UNDER_SQL}
+DIR_SUMMARY_SQL = f"""with {UNDER_SQL}
 select root, 'mtime_year' dimension, strftime(mtime, '%Y') as "key", {SUMS_SQL} from under group by 1, 3
 union all select root, 'atime_year', strftime(atime, '%Y'), {SUMS_SQL} from under group by 1, 3
 union all select root, 'temperature', {HEAT_SQL}, {SUMS_SQL} from under group by 1, 3
 union all select root, 'total', 'files', files, bytes from rollup_
-union all select root, 'total', 'dirs', dirs, 0 from rollup_""")
+union all select root, 'total', 'dirs', dirs, 0 from rollup_"""
+
+
+@query("dir_summary", DIR_SUMMARY_SQL)
 def dir_summary_query(spark: SparkSession, sf: str) -> DataFrame:
     return dir_summary(inventory(spark, sf), ROOTS, AS_OF)
 
 
+@query("dir_summary_delta", DIR_SUMMARY_SQL)
+def dir_summary_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stored table of an older inventory and the changes since.
+
+    In the older one urgent files were missing, files of high priority smaller, of medium priority older in year and
+    access, and files of other folders were still there, whose classes and folders come to nothing.
+    """
+    new = inventory(spark, sf)
+    p = F.col("priority")
+    old = new.where(p != "1-URGENT").withColumns({
+        "size": F.when(p == "2-HIGH", F.col("size") - 1).otherwise(F.col("size")),
+        "mtime": F.when(p == "3-MEDIUM", F.col("mtime") - F.expr("interval 1 year")).otherwise(F.col("mtime")),
+        "atime": F.when(p == "3-MEDIUM", F.col("atime") - F.expr("interval 200 days")).otherwise(F.col("atime")),
+    })
+    gone = new.where(p == "5-LOW").withColumn("path", F.replace("path", F.lit("/orders/"), F.lit("/returns/")))
+    old = old.unionByName(gone)
+    classes = pinned(folder_classes(old), "classes")
+    signed = pinned(signed_changes(old, new), "signed")
+    return summary_from(updated_classes(classes, signed), ROOTS, AS_OF)
+
+
+LOCATIONS = [
+    ("F", "1995", "/warehouse/orders/status=F/year=1995"), ("F", None, "hdfs://nn:8020//warehouse/orders/status=F/"),
+    ("P", "1995", "/warehouse/orders/status=P/year=1995"), ("O", "1996", "/warehouse/orders/status=O/year=1996/"),
+    ("O", "1997", "/warehouse/orders/status=O/year=1997"), ("X", "away", "/elsewhere/x"), ("X", "none", "/warehouse/orders/status=O/year=19"),
+]
+LOCATIONS_SQL = ", ".join(f"('{s}', {'null' if y is None else repr(y)}, '{at}')" for s, y, at in LOCATIONS)
+
+
+@query("usage_all_partitions", f"""with {INV},
+files as (select case when priority = '5-LOW' then concat('/elsewhere/x', path) else path end path, size from inv),
+locations(status, "year", location) as (values {LOCATIONS_SQL}),
+placed as (select *, rtrim(replace(replace(location, 'hdfs://nn:8020', ''), '//', '/'), '/') place from locations),
+owned as (select path, size, (select arg_max(place, length(place)) from placed where starts_with(path, concat(place, '/'))) place from files)
+select p.status, p."year", p.location, coalesce(sum(o.size), 0)::bigint bytes, count(o.size) files
+from placed p left join owned o on p.place = o.place group by all
+union all select null, null, null, sum(size)::bigint, count(*) from owned where place is null having count(*) > 0""")
+def usage_all_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Partitions anywhere: one inside another, one outside the table's folder, one without files, names that are prefixes of others."""
+    files = inventory(spark, sf).select(
+        F.when(F.col("priority") == "5-LOW", F.concat(F.lit("/elsewhere/x"), "path")).otherwise(F.col("path")).alias("path"), "size"
+    )
+    return location_usage(files, spark.createDataFrame(LOCATIONS, "status string, year string, location string"))
+
+
 @query("usage_cube", f"""with {UNDER_SQL}
 select root, strftime(mtime, '%Y') mtime_year, strftime(atime, '%Y') atime_year, {HEAT_SQL} temperature, {SUMS_SQL}
 from under group by 1, 2, 3, 4""")

@@ -95,6 +95,23 @@ def partition_location(spark: SparkSession, table: str, values: list[str]) -> st
     return told["data_type"] if told else None
 
 
+def partition_locations(spark: SparkSession, table: str) -> DataFrame:
+    """(columns.., location) of all partitions of a table, as text, from one question to the catalog; null is the null partition.
+
+    The catalog answers the driver, with a row for each partition.
+    """
+    names = partition_columns(spark, table)
+    session = spark._jsparkSession.sessionState()
+    found = session.catalog().listPartitions(session.sqlParser().parseTableIdentifier(table), getattr(spark._jvm.scala, "None$").__getattr__("MODULE$"))
+    rows = []
+    for k in range(found.size()):
+        part = found.apply(k)
+        values = [part.spec().apply(n) for n in names]
+        where = part.storage().locationUri()
+        rows.append((*[None if v == NULL_PARTITION else v for v in values], where.get().toString() if where.isDefined() else None))
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names) + ", location string")
+
+
 def quoted(text: str | None) -> str:
     """A partition value in a statement; the null partition is null."""
     if text is None or text == NULL_PARTITION:
