@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from lakekeep.functions.paths import glob_match, trash_path
 from lakekeep.operators.partitions import require_external, unregister_partition
-from lakekeep.session import hadoop_path
+from lakekeep.session import hadoop_path, work_path
 from lakekeep.sources.files import partition_location
 
 
@@ -39,8 +39,13 @@ def quarantine_files(inv: DataFrame, pattern: str, trash_root: str, day: str) ->
 
 def write_trash(trashed: DataFrame, trash_root: str, name: str) -> None:
     """Write quarantined rows below `<trash root>/<day>/<name>`, the layout of everything in the trash."""
-    for day in trash_days(trashed):
-        rows = trashed.where(F.col("trash_day") == day).drop("trash_day")
+    spark = trashed.sparkSession
+    held = work_path(spark, "trashed")
+    # The rows are made once, parted by day; each day then reads its own part.
+    trashed.write.partitionBy("trash_day").parquet(held)
+    stored = spark.read.schema(trashed.schema).parquet(held)
+    for day in trash_days(stored):
+        rows = stored.where(F.col("trash_day") == day).drop("trash_day")
         rows.write.mode("append").parquet(f"{trash_root.rstrip('/')}/{day}/{name.strip('/')}")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeep.operators.compaction import compact_text, line_count, plan_compaction, swap_compacted
+from lakekeep.operators.moves import check_moves, move_files, plan_trash, stored_plan
 from lakekeep.operators.partitions import (
     found_partitions, missing_partitions, register_partitions, registered_partitions,
 )
@@ -126,6 +127,24 @@ def purge_moved(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("lang", F.md5("value").alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query("moves_planned", """
+select lang, 'done' state, sum(len(string_split(coalesce(text, ''), chr(10))))::bigint as lines from documents group by lang""")
+def moves_planned(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file of a text tree moved to the trash by tasks, in two calls, the first of which does one language; then the plan is checked.
+
+    The lines are counted where the plan says that the files are by then.
+    """
+    trash, path = work_path(spark, "trash"), document_text(spark, sf, by_lang=True)
+    at = work_path(spark, "plan")
+    plan = stored_plan(spark, plan_trash(scan_files(spark, f"{path}/lang=*/*"), trash, TRASH_DAY), at)
+    move_files(spark, plan.where(F.col("source").contains("/lang=en/")), work_path(spark, "part"))
+    move_files(spark, plan, at)
+    lang = F.regexp_extract(F.col("_metadata.file_path"), "/lang=([^/]*)/", 1)
+    lines = read_text_tree(spark, f"{trash}/{TRASH_DAY}", "\n").select(lang.alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("lines"))
+    states = check_moves(spark, at).select(F.regexp_extract("goal", "/lang=([^/]*)/", 1).alias("lang"), "state").distinct()
+    return states.join(lines, "lang", "full").select("lang", "state", "lines")
+
+
 @query("partitions_missing", f"""with {TREES}
 select distinct grp status, regexp_extract(path, 'year=([^/]*)', 1) as "year" from new_f
 except select distinct grp, regexp_extract(path, 'year=([^/]*)', 1) from old_f where priority = '2-HIGH' and mtime < timestamp '1996-01-01'""")
