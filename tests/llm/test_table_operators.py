@@ -256,6 +256,77 @@ def test_shards(spark):
     assert hilbert.hilbert_shards(frame(spark, [])).count() == 0
 
 
+def shard_rows():
+    rng = np.random.default_rng(9)
+    rows = documents() + [(1000 + i, "copy", "en", f"s{i % 3}", 4, None, None) for i in range(300)]
+    for i in range(400):
+        rows.append((2000 + i, "t" * int(rng.integers(1, 400)) if i % 4 else f"shared {i % 12}", "defr"[i % 3 :][:2], f"src{i % 9}", 1, None, None))
+    return rows
+
+
+def test_shards_equal_brute_force(spark):
+    """Cell, rank and slot of every row made anew in plain Python; only a boundary cuts equal texts."""
+    import zlib
+
+    rows = shard_rows()
+    out = hilbert.placed(frame(spark, rows)).collect()
+    held = collections.defaultdict(list)
+    for i, t, lang, source, *_ in rows:
+        held[(t or "").encode()].append((i is None, i if i is not None else 0, source, lang, i))
+    first = {}
+    for raw, members in held.items():
+        # Nulls sort first within equal ids.
+        _, _, source, lang, i = min(members, key=lambda m: (m[0], m[1], m[2] is not None, m[2] or "", m[3] is not None, m[3] or ""))
+        first[raw] = (source, lang, len(raw) + 1, i)
+
+    def text_levels(k):
+        values = sorted({f[k] for f in first.values() if f[k] is not None}) + ([None] if any(f[k] is None for f in first.values()) else [])
+        return {v: min(15, j * 16 // max(len(values), 16)) for j, v in enumerate(values)}
+
+    def cuts(k):
+        values = sorted(f[k] for f in first.values() if f[k] is not None)
+        return sorted({values[max(0, int(np.ceil(j / 16 * len(values))) - 1)] for j in range(1, 16)})
+
+    by_text, by_cut = {k: text_levels(k) for k in (0, 1)}, {k: cuts(k) for k in (2, 3)}
+    cell = {
+        raw: (by_text[0][f[0]], by_text[1][f[1]], *[0 if f[k] is None else sum(f[k] >= c for c in by_cut[k]) for k in (2, 3)])
+        for raw, f in first.items()
+    }
+    names = [f"a{k}" for k in range(4)]
+    cells = spark.createDataFrame([[int(x) for x in c] for c in set(cell.values())], names)
+    curve = {tuple(r[n] for n in names): r["curve"] for r in hilbert.curve_index([F.col(n) for n in names], 4, cells).collect()}
+    order = sorted(held, key=lambda raw: (curve[cell[raw]], hashlib.md5(raw).hexdigest()))
+    n, rank, want = len(rows), 0, {}
+    for raw in order:
+        want[hashlib.md5(raw).hexdigest()] = (curve[cell[raw]], set(range(rank, rank + len(held[raw]))))
+        rank += len(held[raw])
+    starts = [-(-s * n // 16) for s in range(16)]
+    got = collections.defaultdict(set)
+    for r in out:
+        assert r["curve"] == want[r["digest"]][0]
+        got[r["digest"]].add(starts[r["shard"]] + r["slot"])
+    assert got == {d: ranks for d, (_, ranks) in want.items()}
+    assert sum(len({r["shard"] for r in out if r["digest"] == d}) > 1 for d in want) <= 15
+    assert {r["text_crc32"] for r in out} == {zlib.crc32(raw) for raw in held}
+
+
+def test_written_shards_are_pruned(spark, tmp_path):
+    rows = shard_rows()
+    docs = frame(spark, rows)
+    hilbert.write_shards(docs, str(tmp_path / "out"))
+    assert spark_rows(spark.read.parquet(str(tmp_path / "out/data")).select(*docs.columns)) == spark_rows(docs)
+    every = len(set(hilbert.read_shards(spark, str(tmp_path / "out")).inputFiles()))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    for name, bounds, value in (
+        ("source", ("src1", "src1"), F.col("source")), ("lang", ("fr", "fr"), F.col("lang")), ("size", (1, 12), size),
+        ("size", (300, 400), size), ("doc_id", (2390, 2399), F.col("doc_id")),
+    ):
+        found = hilbert.read_shards(spark, str(tmp_path / "out"), **{name: bounds})
+        assert spark_rows(found.select(*docs.columns)) == spark_rows(docs.where(value.between(*bounds)))
+        read = {f.split("shard=")[1].split("/")[0] for f in found.inputFiles()}
+        assert 0 < len(read) < 16 <= every, name
+
+
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_against_sql(spark, sf, name):
     df = QUERIES[name](spark, sf)
