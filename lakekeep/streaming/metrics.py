@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lakekeep.operators.metrics import WATERMARK, dedupe_points, metric_points, windowed
 from lakekeep.session import hadoop_path
@@ -50,6 +50,37 @@ def metric_stream(
     return writer.trigger(**trigger).start()
 
 
+OBSERVED = "metric_points"
+
+
+class PointCounters(StreamingQueryListener):
+    """Adds up what running streams tell: `totals` has batches, snapshots, points and, for the points, the latest time by stream id.
+
+    Register it with `spark.streams.addListener` before a stream is started.
+    """
+
+    def __init__(self) -> None:
+        self.totals: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.totals.setdefault(str(event.id), {"batches": 0, "snapshots": 0, "points": 0, "latest": None})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        told = event.progress.observedMetrics.get(OBSERVED)
+        held = self.totals.setdefault(str(event.progress.id), {"batches": 0, "snapshots": 0, "points": 0, "latest": None})
+        held["batches"] += 1
+        held["snapshots"] += event.progress.numInputRows
+        if told is not None:
+            held["points"] += told.points
+            held["latest"] = max((t for t in (held["latest"], told.latest) if t is not None), default=None)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def upsert_stream(
     spark: SparkSession, path: str, store: str, checkpoint: str, every: str | None = "5 minutes",
     max_files: int | None = None, open_from: str | None = None,
@@ -58,9 +89,10 @@ def upsert_stream(
 
     There is no watermark and no state: each batch is merged with the shards that it falls into, however old they are.
     A batch that is run again after a crash is known by its number and the id that the checkpoint
-    gives the stream, and changes nothing. A new checkpoint begins anew; its points are put in once more, which changes nothing either.
+    gives the stream, and changes nothing. Points are counted as they pass, for listeners such as `PointCounters`. A new checkpoint begins anew; its points are put in once more, which changes nothing either.
     """
     points = metric_points(explode_beans(stream_snapshots(spark, path, max_files)))
+    points = points.observe(OBSERVED, F.count(F.lit(1)).alias("points"), F.max("ts").cast("string").alias("latest"))
     known, stream = threading.Event(), []
 
     def put(batch: DataFrame, number: int) -> None:

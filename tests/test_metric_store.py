@@ -1,13 +1,14 @@
 """The store of hour and day shards: late points, batches run again, closing, retention, crashes."""
 
 import glob
+import time
 
 import pytest
 from compare import spark_rows
 
 from lakekeep.operators.metrics import dedupe_points
 from lakekeep.sources.metric_store import MetricStore
-from lakekeep.streaming.metrics import upsert_stream
+from lakekeep.streaming.metrics import PointCounters, upsert_stream
 
 SCHEMA = "ts timestamp_ntz, namespace string, measurement string, node string, value double"
 
@@ -118,10 +119,20 @@ def test_stream_takes_late_files_and_restarts(spark, tmp_path):
         upsert_stream(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / checkpoint), every=None, max_files=1).awaitTermination()
 
     store = MetricStore(spark, str(tmp_path / "store"))
+    listener = PointCounters()
+    spark.streams.addListener(listener)
     land("a", "09 10:00", 9)
     run()
     land("b", "01 10:00", 1)
     run()
+    # Listeners are told a little later.
+    for _ in range(100):
+        if sum(t["points"] for t in listener.totals.values()) == 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    (told,) = listener.totals.values()
+    assert (told["snapshots"], told["points"], told["latest"]) == (2, 2, "2024-01-09 10:00:00")
     want = [("2024-01-01 10:00:00", 1.0), ("2024-01-09 10:00:00", 9.0)]
     assert values(store) == want and len(store.state()[1]["batches"]) == 1
     run("another")  # A lost checkpoint: everything comes again, as another stream.
