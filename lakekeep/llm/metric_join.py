@@ -39,11 +39,16 @@ PIVOTS = 16384
 HOMES, CHUNK = 1024, 4096
 
 
-def unit_rows(vectors: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(vectors), dtype="<f8").reshape(len(vectors), -1)
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1. They are divided by their largest component first, so no square leaves the range of doubles."""
+    rows = rows / np.abs(rows).max(axis=1)[:, None]
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
+def unit_rows(vectors: list[bytes]) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(vectors), dtype="<f8").reshape(len(vectors), -1))
+
+
 def vector_classes(df: DataFrame) -> DataFrame:
     """node, label, dim, vec, copies and least_id of every distinct valid vector of a label."""
     x = F.col("embedding")
@@ -75,8 +80,7 @@ def pivots_of(classes: DataFrame) -> dict[tuple, np.ndarray]:
         found.setdefault((row["label"], row["dim"]), []).append(row["vec"])
     out = {}
     for key, rows in found.items():
-        m = np.array(rows, dtype=np.float64)
-        out[key] = m / np.linalg.norm(m, axis=1)[:, None]
+        out[key] = unit(np.array(rows, dtype=np.float64))
     return out
 
 
@@ -97,8 +101,7 @@ def placed(classes: DataFrame, radius: float) -> DataFrame:
                 if near is None:
                     home, there = np.zeros(len(ks), dtype=int), np.ones((len(ks), 1), dtype=bool)
                 else:
-                    unit = m / np.linalg.norm(m, axis=1)[:, None]
-                    d = np.sqrt(np.maximum(0.0, 2 - 2 * unit @ near.T))
+                    d = np.sqrt(np.maximum(0.0, 2 - 2 * unit(m) @ near.T))
                     home = d.argmin(axis=1)
                     there = d - d[np.arange(len(ks)), home][:, None] <= 2 * radius + 1e-7
                 i, j = np.nonzero(there)

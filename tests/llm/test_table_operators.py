@@ -75,6 +75,26 @@ def test_metric_join_equals_brute_force(spark, monkeypatch, cell, homes, chunk):
     assert collections.Counter(tuple(r) for r in got) == brute_vectors(rows)
 
 
+@pytest.mark.parametrize("cell", [4000, 3])
+def test_metric_join_of_extreme_doubles(spark, monkeypatch, cell):
+    """Squares of the components leave the range of doubles; exact fractions tell which pairs link."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(metric_join, "CELL", cell)
+    base = [(1.0, 0.0), (1.0, 1.0), (1.0, 0.01), (-1.0, 1.0), (1.0, 0.2), (3.0, 2.9), (0.0, 1.0)]
+    vecs = [(x * s, y * s) for s in (1.0, 1e-200, 1e200, 1e300, 2.0**-1000) for x, y in base] + [(5e-324, 0.0), (0.0, 5e-324), (5e-324, 5e-324)]
+    rows = [(k, list(v), 1) for k, v in enumerate(vecs)]
+
+    def linked(u, v):
+        (a, b), (c, d) = (tuple(map(Fraction, w)) for w in (u, v))
+        dot = a * c + b * d
+        return dot > 0 and dot * dot * 2500 >= 2401 * (a * a + b * b) * (c * c + d * d)
+
+    want = {i: sum(linked(u, v) for j, (_, v, _) in enumerate(rows) if j != i) for i, u, _ in rows}
+    got = metric_join.metric_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == want
+
+
 def test_metric_join_of_nothing(spark):
     assert metric_join.metric_components(spark.createDataFrame([], VECTORS)).count() == 0
 
