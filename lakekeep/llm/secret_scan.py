@@ -52,6 +52,8 @@ ALPHABETS = {
     "B36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: Matches of a text that are folded together.
+SLICE = 256
 #: p-values are counted in so many equal bins; a threshold is one of the first of them.
 BINS, FALSE_SHARE = 100, 0.1
 LEAST_P = 0.01
@@ -59,24 +61,46 @@ LEAST_P = 0.01
 ENOUGH = 50
 
 
+def sliced(items: Column) -> Column:
+    """An array in slices of SLICE, so that a fold may append to a short array and its cost stays in proportion."""
+    last = F.floor((F.size(items) - 1) / SLICE).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * SLICE + 1, F.lit(SLICE)))).otherwise(F.array(items))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points.
+
+    Places are summed up within slices first, then over the slices.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    kind = "array<struct<start:int,end:int,value:string>>"
 
     def walk(found: Column, gaps: Column) -> Column:
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.char_length(pair["gap"])
-            end = start + F.char_length(pair["value"])
-            span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        def within(pairs: Column) -> Column:
+            def step(acc: Column, pair: Column) -> Column:
+                start = acc["at"] + F.char_length(pair["gap"])
+                end = start + F.char_length(pair["value"])
+                span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
+                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+            return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step)
+
+        def shifted(parts: Column) -> Column:
+            offsets = F.aggregate(
+                parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+                lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                lambda acc: acc["out"],
+            )
+            moved = F.zip_with(parts, offsets, lambda p, o: F.transform(
+                p["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["value"].alias("value"))
+            ))
+            return F.flatten(moved)
 
         pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-        return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+        return let(pairs, lambda p: let(F.transform(sliced(p), within), shifted))
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(kind)
     return F.when(F.rlike(text, F.lit(pattern)), let(found, lambda f: let(gaps, lambda g: walk(f, g)))).otherwise(none)
 
 
@@ -256,13 +280,30 @@ def span_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch covered by spans replaced by a mark."""
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        hidden = s["start"] + 1 < acc["at"]
-        kept = F.concat(acc["out"], F.substring(text, acc["at"], F.greatest(s["start"] + 1 - acc["at"], F.lit(0))), F.when(hidden, "").otherwise(mark))
-        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), kept.alias("out"))
+    """The text with every stretch covered by spans replaced by a mark.
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.char_length(text))))
+    Spans are taken in slices, each with its own stretch of the text, so that no span is looked for from the text's beginning.
+    """
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def within(part: Column, own: Column, base: Column, at: Column) -> Column:
+        """Pieces of one slice's stretch; the stretch begins at place `base`, and what lies before `at` is done with."""
+        def step(acc: Column, s: Column) -> Column:
+            hidden = s["start"] + 1 < acc["at"]
+            kept = F.substring(own, acc["at"] - base + 1, F.greatest(s["start"] + 1 - acc["at"], F.lit(0)))
+            piece = F.concat(kept, F.when(hidden, "").otherwise(mark))
+            return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step)
+
+    def over(acc: Column, part: Column) -> Column:
+        last = F.array_max(F.transform(part, lambda s: s["end"])) + 1
+        own = F.substring(text, acc["at"], F.greatest(last - acc["at"], F.lit(0)))
+        done = let(own, lambda o: within(part, o, acc["at"], acc["at"]))
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
+
+    whole = F.aggregate(
+        sliced(spans), start, over,
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"], F.char_length(text))),
+    )
     return F.when(F.size(spans) > 0, whole).otherwise(text)

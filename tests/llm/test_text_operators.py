@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from fixtures import documents, frame, prose
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Reference
 
 from lakekeep.llm import bpe, jaccard, langid, secret_scan, winnow
@@ -103,8 +105,6 @@ def test_language_without_labels_or_rows(spark):
 
 def test_copies_do_not_empty_a_language(spark):
     """Fewer different texts than rows: all are sampled, and a language of copies stays known."""
-    from pyspark.sql import functions as F
-
     base = [(k, prose(lang, 30, 7000 + k), lang) for lang, n in (("de", 10), ("fr", 10), ("en", 300)) for k in range(n)]
     docs = spark.createDataFrame(base, "doc_id long, text string, lang string")
     copies = docs.where("lang <> 'en'").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("_")
@@ -242,8 +242,6 @@ def random_tokens(n, seed, letters=BASE64, size=40):
 
 
 def p_values(spark, tokens):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(t,) for t in tokens], "text string")
     found = df.select("text", F.explode(secret_scan.candidates(F.col("text"))).alias("t")).select("text", "t.p").collect()
     return {r["text"]: r["p"] for r in found}
@@ -309,10 +307,40 @@ def test_thin_classes_are_judged_by_their_neighbours(spark):
     assert least_p(spark, {}) == {}
 
 
+def test_a_text_of_very_many_matches(spark):
+    """Places of 100,000 keys in one text, and the text without them, in time that grows in proportion."""
+    import time
+
+    rng = random.Random(3)
+    keys = [f"{rng.getrandbits(128):032x}" for _ in range(100_000)]
+    text = "".join(f"é{'ü' * (k % 3)} {key}\n" for k, key in enumerate(keys))
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer(secret_scan.HEX, text)]
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = F.transform("found", lambda m: F.struct(F.lit("hex").alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    begin = time.monotonic()
+    row = df.select("text", secret_scan.matches(F.col("text"), secret_scan.HEX).alias("found")).select(
+        "found", secret_scan.redacted(F.col("text"), spans, "#").alias("clean")
+    ).first()
+    assert time.monotonic() - begin < 60
+    assert [tuple(m) for m in row["found"]] == want
+    assert row["clean"] == re.sub(secret_scan.HEX, "#", text)
+
+
+def test_many_overlapping_spans_are_redacted(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abé日 ") for _ in range(4000))
+    spans = sorted((s, s + rng.randint(1, 9)) for s in (rng.randint(0, 3980) for _ in range(1500)))
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], "#"]
+        at = max(at, end)
+    df = spark.createDataFrame([(text, [("hex", s, e) for s, e in spans])], "text string, spans array<struct<kind:string,start:int,end:int>>")
+    assert df.select(secret_scan.redacted(F.col("text"), F.col("spans"), "#")).first()[0] == "".join(out) + text[at:]
+
+
 def test_redaction_covers_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("a", 2, 5), ("b", 3, 4), ("c", 5, 6), ("d", 8, 10)]), ("x", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
-    from pyspark.sql import functions as F
-
     got = [r[0] for r in df.select(secret_scan.redacted(F.col("text"), F.col("spans"), "#")).collect()]
     assert got == ["01##67#", "x"]
 
@@ -351,8 +379,6 @@ def test_winnowing_guarantees(spark):
 
 def test_winnowing_of_runs_without_blanks(spark):
     """A passage is met wherever it stands in a run, and an early change leaves later fingerprints alone."""
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(8)
     run = lambda n, low, high: "".join(map(chr, rng.integers(low, high, n)))
     for low, high in ((0x4E00, 0x9000), (0x61, 0x7B), (0x1F300, 0x1F600)):
