@@ -103,8 +103,8 @@ def under_roots(rows: DataFrame, roots: list[str], path: Column | str = "path")
     return rows.withColumn("root", F.explode(F.array_intersect(lineage(path), named)))
 
 
-def by_folder(inv: DataFrame, as_of: Column | str | None, dims: Sequence[str]) -> DataFrame:
-    """(folder, dims.., files, bytes): the inventory folded once, stored.
+def by_folder(inv: DataFrame, as_of: Column | str | None, dims: Sequence[str], store: bool = True) -> DataFrame:
+    """(folder, f, dims.., files, bytes): the inventory folded once; stored where several passes read it.
 
     A folder that is listed, or that holds a file, has a row; rows of listed
     folders have null dims and no files. All sums and folder counts are made from
@@ -123,7 +123,7 @@ def by_folder(inv: DataFrame, as_of: Column | str | None, dims: Sequence[str]) -
     held = rows.groupBy("folder", "f", *dims).agg(
         F.count_if("f").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes")
     )
-    return pinned(held, "folders")
+    return pinned(held, "folders") if store else held
 
 
 def _climbed(rows: DataFrame, roots: list[str] | DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -174,7 +174,7 @@ def usage_cube(
 
     Roots are folders. `file_roots` says that some may be files; those are found by a second pass.
     """
-    return _cube(inv, by_folder(inv, as_of, dims), roots, as_of, dims, file_roots)
+    return _cube(inv, by_folder(inv, as_of, dims, store=False), roots, as_of, dims, file_roots)
 
 
 def _rollup(inv: DataFrame, roots: list[str] | DataFrame, sums: DataFrame, dirs: DataFrame) -> DataFrame:
