@@ -144,7 +144,7 @@ least as (select n, min(m) component_id from reach group by n),
 held as (select a, count(*) n_links from links group by a)
 select e.vec_id, coalesce(h.n_links, 0) n_links, l.component_id, e.vec_id = l.component_id kept
 from embeddings e join least l on e.vec_id = l.n left join held h on e.vec_id = h.a""",
-    "op4_url_reputation": """
+    "op4_url_reputation": r"""
 with p as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "host",
@@ -156,12 +156,14 @@ ruled as (
   select page_id, arg_max(text, length(text)) rule, arg_max(word, length(text)) word
   from p join rules on ("host" = name or ends_with("host", concat('.', name))) and starts_with("path", start) group by page_id),
 outcome as (select p."host", greatest(1 - l.quality, l.toxic) bad from p join labels l on p.page_id = l.doc_id),
-named as (select distinct "host", case when len(string_split("host", '.')) < 2 then "host" else concat(string_split("host", '.')[-2], '.', string_split("host", '.')[-1]) end two,
-                 string_split("host", '.')[-1] one from p),
+servers as (select distinct "host", regexp_replace(regexp_replace(regexp_replace("host", '^.*@', '', 's'), ':[0-9]*$', ''), '\.$', '') s from p),
+named as (select "host", s, starts_with(s, '[') or regexp_full_match(s, '[0-9]{1,3}(\.[0-9]{1,3}){3}') lone,
+                 case when len(string_split(s, '.')) < 2 then s else concat(string_split(s, '.')[-2], '.', string_split(s, '.')[-1]) end two,
+                 string_split(s, '.')[-1] one from servers),
 d as (
-  select "host", case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz')
-                    then case when len(string_split("host", '.')) < 3 then "host" else concat(string_split("host", '.')[-3], '.', two) end else two end dom,
-         case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz') then two else one end suf from named),
+  select "host", case when lone then s when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz')
+                    then case when len(string_split(s, '.')) < 3 then s else concat(string_split(s, '.')[-3], '.', two) end else two end dom,
+         case when lone then s when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz') then two else one end suf from named),
 hosts as (select d.*, count(o.bad) n, coalesce(sum(o.bad), 0) bad from d left join outcome o on d."host" = o."host" group by all),
 doms as (select dom, suf, sum(n) n, sum(bad) bad from hosts group by all),
 tot as (select coalesce(sum(bad) / nullif(sum(n), 0), 0.0) m from hosts),
@@ -248,7 +250,8 @@ p as (select conv_id, unnest(range(len(turns) + 1)) depth, turns from s),
 k as (select conv_id, depth, md5(turns[1:depth]::json::varchar) node, case when depth > 0 then md5(turns[1:depth - 1]::json::varchar) end parent,
              case when depth > 0 then turns[depth].t else '' end last, len(turns) = depth stops from p),
 n as (select node, depth, any_value(parent) parent, min(conv_id) conv_id, count(*) n_convs,
-             len(regexp_extract_all(any_value(last), '[^ 	-]+')) words,
+             len(regexp_extract_all(any_value(last), '[^ 	-
+]+')) words,
              sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (stops), '')) ends_sha256
       from k group by node, depth),
 ch as (select parent, count(*) n_children from n group by parent),

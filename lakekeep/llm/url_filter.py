@@ -29,7 +29,7 @@ from lakekeep.llm.common import stored
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
-#: Public suffixes of two labels; all others are taken to have one.
+#: Public suffixes of more than one label that are known without a table of the caller's; all others are taken to have one.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
 #: A host is blocked when its bad share exceeds LIMIT with the certainty of Z standard deviations.
 LIMIT, Z = 0.5, 1.645
@@ -48,15 +48,46 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def server(host: Column) -> Column:
+    """The host without a user before `@`, a port, and a dot at its end."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+    return F.regexp_replace(bare, r"\.$", "")
 
 
-def domain(host: Column) -> Column:
-    """The registered domain: one label more than the public suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def is_address(name: Column) -> Column:
+    """IPv4 addresses, and IPv6 ones in brackets: such a host is its own domain and suffix."""
+    return name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | name.startswith("[")
+
+
+def suffix(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest public suffix of a server's name: by the table, else its last label.
+
+    As in the public suffix list, an entry `*.ck` makes any label before `ck` part of the suffix,
+    and `!www.ck` excepts that name from it.
+    """
+    held = F.array(*map(F.lit, [s for s in suffixes if s[:1] not in "*!"])).cast("array<string>")
+    wild = F.array(*[F.lit(s[2:]) for s in suffixes if s.startswith("*.")]).cast("array<string>")
+    excepted = F.array(*[F.lit(s[1:]) for s in suffixes if s.startswith("!")]).cast("array<string>")
+    labels = F.split(name, r"\.")
+    most = max([s.count(".") + 1 for s in suffixes], default=1)
+    found = F.substring_index(name, ".", -1)
+    for n in range(1, most + 1):
+        tail = F.substring_index(name, ".", -n)
+        fits = F.array_contains(held, tail) | (F.array_contains(wild, F.substring_index(name, ".", -(n - 1))) if n > 1 else F.lit(False))
+        found = F.when(F.size(labels) >= n, F.when(fits, tail).otherwise(found)).otherwise(found)
+    # An exception's suffix is what follows its first label.
+    for n in range(2, most + 1):
+        tail = F.substring_index(name, ".", -n)
+        found = F.when((F.size(labels) >= n) & F.array_contains(excepted, tail), F.substring_index(name, ".", -(n - 1))).otherwise(found)
+    return F.when(is_address(name), name).otherwise(found)
+
+
+def domain(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain of a server's name: one label more than the public suffix."""
+    own = suffix(name, suffixes)
+    more = F.size(F.split(own, r"\.")) + 1
+    taken = F.array_join(F.slice(F.split(name, r"\."), F.greatest(F.size(F.split(name, r"\.")) - more + 1, F.lit(1)), more), ".")
+    return F.when(is_address(name), name).otherwise(taken)
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Column]:
@@ -95,11 +126,16 @@ def shrunk(groups: DataFrame, mean: str, weight: float, name: str) -> DataFrame:
     return groups.withColumn(name, (F.col("bad") + weight * F.col(mean)) / (F.col("n") + weight))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, bad_share and bad_low of every host of `outcomes` (host, bad: 0, 1 or null)."""
+def reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """host, n, bad, bad_share and bad_low of every host of `outcomes` (host, bad: 0, 1 or null).
+
+    Hosts that differ in user, port or a last dot are hosts of their own within one domain.
+    """
     seen = F.count("bad")
     hosts = outcomes.groupBy("host").agg(seen.alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = stored(hosts.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))}), "url-hosts")
+    hosts = hosts.withColumn("_name", server(F.col("host")))
+    named = {"domain": domain(F.col("_name"), suffixes), "suffix": suffix(F.col("_name"), suffixes)}
+    hosts = stored(hosts.withColumns(named).drop("_name"), "url-hosts")
     folded = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = stored(hosts.groupBy("domain", "suffix").agg(*folded), "url-domains")
     suffixes = domains.groupBy("suffix").agg(*folded)
@@ -117,15 +153,18 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "bad", "bad_share", F.greatest(low, F.lit(0.0)).alias("bad_low"))
 
 
-def judge(urls: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def judge(
+    urls: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, suffixes: Sequence[str] = SUFFIXES
+) -> DataFrame:
     """`urls` (with `url`) plus host, path, rule, verdict, labelled, bad and bad_low; `outcomes` has url and bad.
 
+    `suffixes` is a table of public suffixes of more than one label, with wildcards and exceptions, such as the public suffix list.
     Each host of `urls` gets a row of its own, with no outcomes where there are none.
     """
     named = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     known = outcomes.select(host(F.col("url")).alias("host"), F.col("bad").cast("int").alias("bad"))
     every = known.unionByName(named.select("host", F.lit(None).cast("int").alias("bad")))
-    hosts = reputation(every).select("host", F.col("n").alias("labelled"), F.col("bad").alias("labelled_bad"), "bad_low")
+    hosts = reputation(every, suffixes).select("host", F.col("n").alias("labelled"), F.col("bad").alias("labelled_bad"), "bad_low")
     rule, ruled = fitting_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_low") > LIMIT, "block").otherwise("allow")
     return named.join(hosts, "host", "left").withColumns({"rule": rule, "verdict": F.coalesce(ruled, own)})

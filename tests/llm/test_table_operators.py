@@ -347,6 +347,36 @@ def test_written_shards_are_pruned(spark, tmp_path):
         assert 0 < len(read) < 16 <= every, name
 
 
+def test_domains_of_hosts(spark):
+    table = ("co.uk", "a.b.example", "*.ck", "!www.ck", "*.compute.test")
+    want = {
+        "www.example.com": ("example.com", "com"), "example.com.": ("example.com", "com"), "u:p@shop.example.com:8080": ("example.com", "com"),
+        "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "99.1.0.1:80": ("99.1.0.1", "99.1.0.1"), "[::1]:443": ("[::1]", "[::1]"),
+        "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""),
+        "p.q.a.b.example": ("q.a.b.example", "a.b.example"), "b.example": ("b.example", "example"), "m.n.o.ck": ("n.o.ck", "o.ck"),
+        "www.ck": ("www.ck", "ck"), "x.www.ck": ("www.ck", "ck"), "z.eu.compute.test": ("z.eu.compute.test", "eu.compute.test"), "1.2.3.4.5": ("4.5", "5"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string").withColumn("name", url_filter.server(F.col("host")))
+    got = df.select("host", url_filter.domain(F.col("name"), table), url_filter.suffix(F.col("name"), table)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
+def test_the_method_blocks_and_lets_through(spark):
+    """Hosts with many bad pages are blocked, by their own pages or their domain's; few pages do not block; rules win."""
+    def pages(host, n, bad):
+        return [(f"http://{host}/p{k}", int(k < bad)) for k in range(n)]
+
+    outcomes = pages("spam.bad.co.uk", 200, 195) + pages("more.bad.co.uk:81", 200, 190) + pages("good.net", 300, 3) + pages("fine.org", 300, 2)
+    outcomes += pages("mixed.org", 100, 50) + [("http://spam.bad.co.uk/null", None)] + pages("10.0.0.1", 80, 80) + pages("99.1.0.1", 80, 0)
+    urls = ["http://spam.bad.co.uk/x", "http://new.bad.co.uk/", "http://good.net/", "http://mixed.org/", "http://unknown.net/", "http://10.0.0.1/", "http://99.1.0.1/", None, "http://spam.bad.co.uk/x"]
+    known = spark.createDataFrame(outcomes, "url string, bad int")
+    asked = spark.createDataFrame([(k, u, "h", 1) for k, u in enumerate(urls)], "page_id long, url string, note string, n int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(asked, known, rules=()).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "allow", 7: "allow", 8: "block"}
+    ruled = url_filter.judge(asked, known, rules=(("allow", "co.uk/x"),)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in ruled if r.page_id < 2} == {0: ("co.uk/x", "allow"), 1: (None, "block")}
+
+
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_against_sql(spark, sf, name):
     df = QUERIES[name](spark, sf)
