@@ -142,11 +142,6 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return stored(pages.mapInArrow(run, "page_id long, key string, file string, offset long, length long"), "warc-places")
 
 
-def line_order(page_id: int | None) -> int:
-    """Lines of one key are ordered by page_id, those without one first."""
-    return -(1 << 63) if page_id is None else page_id
-
-
 def build_index(places: DataFrame) -> DataFrame:
     """Level one: first_key, first_id and the compressed lines of every block, sorted by key then page_id; stored."""
     ship()
