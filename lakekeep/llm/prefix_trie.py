@@ -7,7 +7,7 @@ conversations with the same sum.
 
 Sums over subtrees: `span`, the number of turns that a node's members have at or below it, is a sum over the
 subtree that grouping gives at once, so it serves to find centroids. Nodes with a span of
-more than `PIECE` are set aside; below them the tree falls into pieces that fit into a task. A task splits all its pieces at
+more than `PIECE` (`HIGH_PIECE` from the second round on) are set aside; below them the tree falls into pieces that fit into a task. A task splits all its pieces at
 their centroids, adds the totals of the components below a centroid, and adds them along
 the path from the centroid to the top of its component; each component has at most half the span, so there
 are as many rounds as the span has binary digits. The nodes set aside take the totals of the pieces below
@@ -32,8 +32,8 @@ from lakekeep.llm.common import WORD, only, ship, stored
 
 #: Conversations that share a first one, and the most turns taken from it.
 FAMILY, HEADS = 20, 4
-#: The span of a piece that one task works off, at most.
-PIECE = 4096
+#: The span of a piece that one task works off, at most: of all nodes, and of the nodes set aside, which are few but may be long chains.
+PIECE, HIGH_PIECE = 4096, 1 << 18
 #: Nodes of one task, about.
 TASK_NODES = 20_000
 #: Conversation numbers in one row on their way to a digest, at most.
@@ -183,7 +183,7 @@ def _solve(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, schema=SOLVED)
 
 
-def rollup(nodes: DataFrame, chains: DataFrame, piece: int = PIECE) -> DataFrame:
+def rollup(nodes: DataFrame, chains: DataFrame, piece: int = PIECE, high_piece: int = HIGH_PIECE) -> DataFrame:
     """(node, figures): the figures of `nodes` (node, parent, conv_id, depth, figures) summed over subtrees.
 
     `chains` (conv_id, depth, node, last) are the nodes of conversations from the
@@ -213,6 +213,7 @@ def rollup(nodes: DataFrame, chains: DataFrame, piece: int = PIECE) -> DataFrame
         # One conversation for each node that is left, as far as its chain is.
         kept = chains.where(F.col("depth") < F.col("_high")).join(high.select("conv_id").distinct(), "conv_id", "left_semi")
         chains = stored(kept.select("conv_id", "depth", "node", (F.col("_high") - 1).alias("last")), "trie-chains")
+        piece = max(piece, high_piece)
     out = solved[0]
     for more in solved[1:]:
         out = out.unionByName(more)
@@ -263,7 +264,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_digested, "node string, ends_sha256 string")
 
 
-def prefix_trie(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+def prefix_trie(conversations: DataFrame, piece: int = PIECE, high_piece: int = HIGH_PIECE) -> DataFrame:
     """A row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     ship()
     chains = stored(prefixes(rebuilt(stored(numbered_turns(conversations), "numbered"))), "trie-prefixes")
@@ -278,7 +279,7 @@ def prefix_trie(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
         "node", "parent", "conv_id", "depth", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
         ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens"),
     )
-    sums = rollup(own, chains.select("conv_id", "depth", "node", "last"), piece)
+    sums = rollup(own, chains.select("conv_id", "depth", "node", "last"), piece, high_piece)
     digests = end_digests(chains.where(F.col("depth") == F.col("last")).select("node", "conv_id"))
     parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     told = nodes.join(sums, "node").join(digests, "node", "left").join(parents, "parent", "left")

@@ -63,11 +63,11 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("piece", [4096, 30])
-def test_trie_equals_brute_force(spark, piece):
+@pytest.mark.parametrize(("piece", "high_piece"), [(4096, 1 << 18), (30, 90), (30, 1 << 18)])
+def test_trie_equals_brute_force(spark, piece, high_piece):
     data = rows()
     df = spark.createDataFrame([(*r, "n", "d") for r in data], SCHEMA).repartition(3)
-    found = prefix_trie(df, piece)
+    found = prefix_trie(df, piece, high_piece)
     assert tuple(found.columns) == COLUMNS
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(data)
 
