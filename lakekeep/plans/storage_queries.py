@@ -147,12 +147,14 @@ def moves_planned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("partitions_missing", f"""with {TREES}
 select distinct grp status, regexp_extract(path, 'year=([^/]*)', 1) as "year" from new_f
-except select distinct grp, regexp_extract(path, 'year=([^/]*)', 1) from old_f where priority = '2-HIGH' and mtime < timestamp '1996-01-01'""")
+except select distinct grp, regexp_extract(path, 'year=([^/]*)', 1) from old_f""")
 def partitions_missing(spark: SparkSession, sf: str) -> DataFrame:
-    """Partitions of the newer tree without an early file of high priority in the older one."""
+    """Partitions of the newer tree that the older one has no file of."""
     names = ["status", "year"]
-    old = tree_at(spark, sf, "old").where("priority = '2-HIGH' and mtime < timestamp_ntz'1996-01-01'")
-    old, new = (found_partitions(t.where(F.col("permission").startswith("-")), names) for t in (old, tree_at(spark, sf, "new")))
+    old, new = (
+        found_partitions(t.where(F.col("permission").startswith("-")), names)
+        for t in (tree_at(spark, sf, "old"), tree_at(spark, sf, "new"))
+    )
     return missing_partitions(new, old, names)
 
 

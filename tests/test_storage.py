@@ -14,6 +14,7 @@ from lakekeep.operators.quarantine import (
 )
 from lakekeep.operators.usage import table_usage
 from lakekeep.operators.verify import verify
+from lakekeep.plans.storage_queries import partitions_missing
 from lakekeep.session import pinned, scratch, shared_root
 from lakekeep.sources.files import file_digests, read_text_tree, scan_files, scan_partition
 from lakekeep.sources.sinks import TEXT_CODECS, codec_of, expire_metrics, write_failures, write_metrics
@@ -254,6 +255,22 @@ def test_missing_partitions(spark):
     assert spark_rows(missing_partitions(a, b, ["p", "q"])) == {("x", "2"): 1}
 
 
+def test_a_partition_counts_by_any_file_of_the_older_tree(spark, tmp_path):
+    """A late file of low priority is a file; only the partition that came after the older tree is missing."""
+    orders = [(1, "F", "1997-05-01"), (2, "P", "2001-05-01")]
+    day = F.col("day").cast("timestamp_ntz")
+    made = spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, day string").select(
+        "o_orderkey", F.lit(1).cast("long").alias("o_custkey"), "o_orderstatus", F.lit(1.0).alias("o_totalprice"),
+        day.alias("o_orderdate"), F.lit("5-LOW").alias("o_orderpriority"),
+    )
+    made.write.parquet(str(tmp_path / "orders.parquet"))
+    made.select(
+        F.col("o_orderkey").alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1.0).alias("l_quantity"),
+        F.lit("N").alias("l_returnflag"), F.col("o_orderdate").alias("l_shipdate"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert spark_rows(partitions_missing(spark, str(tmp_path))) == {("P", "2001"): 1}
+
+
 def test_failures_are_sorted_by_chunk_and_line(spark, tmp_path):
     rows = [(i % 3, f"line {i:03}", None if i % 5 == 0 else "unknown_op") for i in range(100)]
     write_failures(spark.createDataFrame(rows, "chunk int, raw string, reason string"), str(tmp_path / "f"))
