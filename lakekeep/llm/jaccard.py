@@ -51,6 +51,8 @@ MAP_BITS = 24
 SHORT_LIST = 64
 #: Sets and tokens in one block of a long list.
 BLOCK_SETS, BLOCK_TOKENS = 2048, 1 << 19
+#: Tokens of one product of incidence matrices, and sets of one strip of it.
+PRODUCT_TOKENS, STRIP_SETS = 4096, 256
 #: Entries of one list that are put in order together.
 LIST_PART = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -317,50 +319,76 @@ def reachable(several: DataFrame, percent: int) -> DataFrame:
     return several.join(last, ["token", "n"]).where(F.col("pos") <= F.col("last")).drop("last")
 
 
-def _overlap_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Shared tokens of every two sets, by a product of their incidence matrix; tokens of one set alone are left out."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
-    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = counts[column] > 1
-    column, owner = column[shared], owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    column = np.cumsum(np.append(0, np.diff(column) > 0)) if column.size else column
-    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = 8192
-    for first in range(0, int(column[-1]) + 1 if column.size else 0, width):
-        a, b = np.searchsorted(column, [first, first + width])
-        part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - first)), dtype=np.float32)
-        part[owner[a:b], column[a:b] - first] = 1
-        total += part @ part.T
+def _overlap_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared tokens of every set on the left with every one on the right, by products of their incidence matrices.
+
+    Tokens of one side alone are left out; the others go through the product some thousand at a time.
+    """
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    sides = []
+    for sets in (left, right):
+        flat = np.concatenate(sets)
+        column = np.searchsorted(common, flat)
+        held = column < len(common)
+        held[held] = common[column[held]] == flat[held]
+        column, owner = column[held], np.repeat(np.arange(len(sets)), [len(t) for t in sets])[held]
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], owner[order], len(sets)))
+    for first in range(0, len(common), PRODUCT_TOKENS):
+        parts = []
+        for column, owner, sets in sides:
+            a, b = np.searchsorted(column, [first, first + PRODUCT_TOKENS])
+            part = np.zeros((sets, min(PRODUCT_TOKENS, len(common) - first)), dtype=np.float32)
+            part[owner[a:b], column[a:b] - first] = 1
+            parts.append(part)
+        for row in range(0, len(left), STRIP_SETS):
+            total[row : row + STRIP_SETS] += parts[0][row : row + STRIP_SETS] @ parts[1].T
     return total
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components after further links (a, b), each named by its smallest member as in `root`."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        # The larger name of a link takes the smaller one, and all that bore it follow.
+        to = np.arange(len(root))
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (to != to[to]).any():
+            to = to[to]
+        root = to[root]
+
+
 def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links (set, smallest set of its component in the block) among the rows (sid, c, side, tokens) of one block pair."""
+    """Links (set, smallest set of its component in the block) among the rows (sid, c, side, tokens) of one block pair.
+
+    Only sets of different sides are counted against each other, and a strip of sets at a time is looked through, so the memory
+    that a block pair takes is small beside its tokens' share.
+    """
+    rows = sorted(rows, key=lambda r: r[0])
     sids = np.array([r[0] for r in rows], dtype=np.int64)
     groups = np.array([r[1] for r in rows], dtype=np.int64)
     side = np.array([r[2] for r in rows])
-    sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
-    n = np.array([len(t) for t in sets], dtype=np.int64)
-    shared = _overlap_counts(sets).astype(np.int64)
-    near = (100 + percent) * shared >= percent * (n[:, None] + n[None, :])
-    near &= groups[:, None] != groups[None, :]
-    if (side == 1).any():
-        near &= side[:, None] != side[None, :]
-    a, b = np.nonzero(np.triu(near))
-    root = np.argsort(np.argsort(sids))
-    while a.size:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        if (new == root).all():
-            break
-        root = new
-    ordered = np.sort(sids)
-    return [(int(sids[k]), int(ordered[root[k]])) for k in np.unique(np.concatenate([a, b])) if sids[k] != ordered[root[k]]]
+    n = np.array([len(r[3]) // 8 for r in rows], dtype=np.int64)
+    two = (side == 1).any()
+    left = np.flatnonzero(side != 1)
+    right = np.flatnonzero(side == 1) if two else left
+    if not left.size:
+        return []
+    first, second = ([np.frombuffer(rows[k][3], dtype=np.uint64) for k in at] for at in (left, right))
+    shared = _overlap_counts(first, second)
+    root, touched = np.arange(len(rows)), np.zeros(len(rows), dtype=bool)
+    for start in range(0, len(left), STRIP_SETS):
+        own = left[start : start + STRIP_SETS]
+        near = (100 + percent) * shared[start : start + STRIP_SETS].astype(np.int64) >= percent * (n[own][:, None] + n[right][None, :])
+        near &= groups[own][:, None] != groups[right][None, :]
+        a, b = np.nonzero(near)
+        a, b = own[a], right[b]
+        touched[a] = touched[b] = True
+        root = _joined(root, a, b)
+    return [(int(sids[k]), int(sids[root[k]])) for k in np.flatnonzero(touched) if sids[k] != sids[root[k]]]
 
 
 def long_list_links(several: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -155,6 +156,27 @@ def test_jaccard_components_equal_brute_force(spark, percent):
     assert got == brute_components(rows, percent)
 
 
+def test_a_block_pair_takes_little_memory():
+    """Two blocks of 1,024 sets: all links across, within 60 MB; the counts of all pairs at once took some 140 MB."""
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 2**63, 64, dtype=np.uint64)) for _ in range(40)]
+    rows = [(7 * k % 2053, k % 5, k % 2, base[k % 40].tobytes()) for k in range(2048)]
+    tracemalloc.start()
+    try:
+        found = jaccard.block_links(rows, 80)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6
+    # Sides and components of equal sets: side k % 2, component k % 5 are those of k % 40, so no set links with its equals.
+    assert found == []
+    mixed = [(sid, k, k // 1024, tokens) for k, (sid, _, _, tokens) in enumerate(rows)]
+    least = {}
+    for sid, _, _, tokens in mixed:
+        least[tokens] = min(sid, least.get(tokens, sid))
+    assert sorted(jaccard.block_links(mixed, 80)) == sorted((s, least[t]) for s, _, _, t in mixed if s != least[t])
+
+
 @pytest.mark.parametrize("short", [3, 1000])
 def test_jaccard_with_long_lists_and_chains(spark, monkeypatch, short):
     """Long lists, a full map and chains of links: only the speed may differ."""
