@@ -18,9 +18,6 @@ NO_MARKER = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
 FAILURE_SCHEMA = "chunk int, raw string, reason string"
 
-# Rows per file of one chunk folder, so that a huge chunk is many tasks' work.
-CHUNK_FILE_ROWS = 1_000_000
-
 
 def codec_of(tier: str, codecs: dict[str, str]) -> str:
     try:
@@ -34,10 +31,8 @@ def write_changes(changes: DataFrame, path: str) -> None:
 
 
 def write_chunks(chunked: DataFrame, path: str, mode: str = "error") -> None:
-    """One folder per work chunk; needs `chunk` and `idx` from `split_work`."""
-    piece = F.floor(F.col("idx") / CHUNK_FILE_ROWS)
-    spread = chunked.withColumn("_piece", piece).repartition("chunk", "_piece").drop("_piece")
-    spread.write.mode(mode).partitionBy("chunk").parquet(path)
+    """One folder per work chunk for the rows of `split_work`, which deals them to tasks by their index."""
+    chunked.write.mode(mode).partitionBy("chunk").parquet(path)
 
 
 def failures_of(outcomes: DataFrame) -> DataFrame:

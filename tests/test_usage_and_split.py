@@ -6,9 +6,11 @@ import pytest
 from compare import spark_rows
 from pyspark.sql import functions as F
 
+from lakekeep.operators import split
 from lakekeep.operators.compaction import plan_compaction, planned_files
 from lakekeep.operators.split import byte_ranges, split_work
 from lakekeep.operators.usage import dir_rollup, dir_summary, dir_summary_maps, usage, year_histogram
+from lakekeep.sources.sinks import write_chunks
 
 FILES = [("/a/f1", 1), ("/a/b/f2", 2), ("/a/b/f3", 3), ("/ab/f4", 4), ("/a/b/c/f5", 5)]
 ROOTS = ["/a", "/a/b", "/a/b/f3", "/ab", "/none", "/"]
@@ -89,6 +91,30 @@ def test_chunks_are_the_same_for_every_layout(spark):
     assert spark_rows(split_work(df.repartition(3), 7)) == spark_rows(split_work(df.repartition(11), 7))
 
 
+def test_rows_of_a_split_meet_in_one_shuffle(spark, tmp_path):
+    """Rows are dealt to tasks by their index once, and are not shuffled again to be written by chunk."""
+    path = str(tmp_path / "rows")
+    spark.range(3000).select(F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("path")).write.parquet(path)
+    out = split_work(spark.read.parquet(path), 7)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    write_chunks(out, str(tmp_path / "chunks"))
+    back = spark.read.schema(out.schema).parquet(str(tmp_path / "chunks"))
+    assert spark_rows(back) == spark_rows(out)
+    # A chunk is not strewn over many files.
+    assert len(list((tmp_path / "chunks").glob("chunk=*/*.parquet"))) <= 2 * 7
+
+
+def test_buckets_full_of_copies_give_the_same_split(spark, monkeypatch):
+    """Copies are folded before the shuffle where they fill a bucket; chunks are the same either way."""
+    df = spark.range(500).select(F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("path"))
+    df = df.unionByName(spark.range(900).select(F.lit("/hot").alias("path"))).unionByName(spark.range(3).select(F.lit(None).cast("string").alias("path")))
+    plain = spark_rows(split_work(df, 7))
+    monkeypatch.setattr(split, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(split, "COPY_BLOCK", 64)
+    monkeypatch.setattr(split, "TASK_ROWS", 100)
+    assert spark_rows(split_work(df, 7)) == plain
+
+
 def test_byte_ranges(spark):
     df = spark.createDataFrame([("a", 0), ("b", 10), ("c", 11), ("d", 3)], "k string, n bigint")
     got = sorted((r.k, r.start, r["bytes"]) for r in byte_ranges(df, "n", 5).collect())
