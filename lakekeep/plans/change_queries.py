@@ -331,7 +331,7 @@ def sync_failures(spark: SparkSession, sf: str) -> DataFrame:
     tree = tree_at(spark, sf, "new")
     source = tree.where("grp <> 'P'")
     changes = pinned(tree.select(F.lit("ADD").alias("op"), "path"), "changes")
-    return run_changes(spark, tree.where("false"), source, changes, work_path(spark, "sync"), 50).failures
+    return run_changes(spark, tree.where("false"), source, changes, work_path(spark, "sync"), 50, stored=True).failures
 
 
 GONE_YEAR, BLOCKED = "/year=1995", "/warehouse/orders/status=F/year=1994"
@@ -368,8 +368,8 @@ def sync_tree(spark: SparkSession, sf: str) -> DataFrame:
     })
     part = old.where("priority = '2-HIGH'").withColumn("path", F.concat("path", F.lit(".part")))
     trash = old.where("priority = '1-URGENT'").withColumn("path", F.concat(parent("path"), F.lit("/.Trash/"), base_name("path")))
-    seen = pinned(old.unionByName(trash), "listed")
-    there = pinned(seen.unionByName(part), "target")
+    seen = old.unionByName(trash)
+    there = seen.unionByName(part)
     done = sync_diff(spark, seen, source, work_path(spark, "sync"), stored=True, tree=True, target=there)
     failed = done.failures.select(F.regexp_extract("raw", "^[^ ]* (.*)$", 1).alias("path"), F.col("reason").alias("state"))
     return listed(done.snapshot).withColumn("state", F.lit("row")).unionByName(failed, allowMissingColumns=True)
@@ -402,8 +402,8 @@ def sync_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Job counters of a sync whose source has lost rows: as observed by its own job, and added up from a ledger of chunks."""
     old, new = trees(spark, sf)
     changes, source = pinned(snapshot_diff(old, new), "changes"), new.where("grp <> 'P'")
-    one = run_changes(spark, old, source, changes, work_path(spark, "sync")).counters
-    two = run_chunks(spark, old, source, changes, work_path(spark, "sync"), wave=9).synced.counters
+    one = run_changes(spark, old, source, changes, work_path(spark, "sync"), stored=True).counters
+    two = run_chunks(spark, old, source, changes, work_path(spark, "sync"), wave=9, stored=True).synced.counters
     rows = [(form, *[counted[n] for n in COUNTERS]) for form, counted in (("observed", one), ("by chunk", two))]
     return spark.createDataFrame(rows, f"form string, {', '.join(f'{n} bigint' for n in COUNTERS)}")
 

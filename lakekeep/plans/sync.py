@@ -48,19 +48,25 @@ def _lined(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return changes.withColumn("raw", F.concat_ws(" ", "op", *keys))
 
 
+def _listed(changes: DataFrame, keys: Sequence[str], stored: bool) -> DataFrame:
+    """The change list with its lines as a table that may be read several times."""
+    told = _lined(changes, keys)
+    return told if stored else pinned(told, "changes")
+
+
 def _plain(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "pos"])
 
 
 def run_changes(
     spark: SparkSession, target: DataFrame, source: DataFrame, changes: DataFrame, out: str, chunks: int = DIFF_CHUNKS,
-    seed: int = 7, keys: Sequence[str] = ("path",), tier: str = "WARM", tree: bool = False,
+    seed: int = 7, keys: Sequence[str] = ("path",), tier: str = "WARM", tree: bool = False, stored: bool = False,
 ) -> Synced:
     """Shuffle, split and apply a change list; the steps that both kinds of synchronisation share.
 
-    With `tree` the DELETE of a folder takes all that lies below it on the target, and a file does not replace a folder.
+    `stored` says that the change list is a stored table already. With `tree` the DELETE of a folder takes all that lies below it on the target, and a file does not replace a folder.
     """
-    shuffled = split_work(pinned(_lined(changes, keys), "changes"), chunks, seed)
+    shuffled = split_work(_listed(changes, keys, stored), chunks, seed)
     write_chunks(shuffled, f"{out}/changes")
     # Read with their schemas: there may be no change, and then no file.
     landed = spark.read.schema(shuffled.schema).parquet(f"{out}/changes")
@@ -73,9 +79,11 @@ def run_changes(
     return Synced(landed, snapshot, failures, counted.get)
 
 
-def _planned(spark: SparkSession, changes: DataFrame, out: str, chunks: int, seed: int, keys: Sequence[str], ledger: Ledger, after: int) -> dict:
+def _planned(
+    spark: SparkSession, changes: DataFrame, out: str, chunks: int, seed: int, keys: Sequence[str], ledger: Ledger, after: int, stored: bool
+) -> dict:
     """Split the change list into chunks of last changes, stored at `out`; returns the first state."""
-    shuffled = split_work(pinned(_lined(changes, keys), "changes"), chunks, seed)
+    shuffled = split_work(_listed(changes, keys, stored), chunks, seed)
     write_chunks(shuffled, f"{out}/changes", "overwrite")
     landed = spark.read.schema(shuffled.schema).parquet(f"{out}/changes")
     told = fold_changes(landed, keys, carry=CARRIED)
@@ -93,7 +101,7 @@ def _planned(spark: SparkSession, changes: DataFrame, out: str, chunks: int, see
 def run_chunks(
     spark: SparkSession, target: DataFrame, source: DataFrame, changes: DataFrame | Callable[[], DataFrame], out: str,
     chunks: int = DIFF_CHUNKS, seed: int = 7, keys: Sequence[str] = ("path",), tier: str = "WARM", tree: bool = False,
-    most: int | None = None, wave: int | None = None,
+    most: int | None = None, wave: int | None = None, stored: bool = False,
 ) -> Progress:
     """As `run_changes`, but a run that stopped goes on where it was when it is called again with the same arguments.
 
@@ -106,7 +114,7 @@ def run_chunks(
     ledger = Ledger(spark, f"{out}/ledger")
     number, state = ledger.last()
     if state is None:
-        state = _planned(spark, changes() if callable(changes) else changes, out, chunks, seed, keys, ledger, number)
+        state = _planned(spark, changes() if callable(changes) else changes, out, chunks, seed, keys, ledger, number, stored)
         number += 1
     target = _plain(target)
     told = spark.read.schema(StructType.fromJson(json.loads(state["told"]))).parquet(f"{out}/told")
@@ -192,4 +200,4 @@ def sync_full(
         kept = pinned(kept, "new")
     changes = kept.withColumn("op", F.lit(ADD))
     empty = kept.where(F.lit(False))
-    return run_changes(spark, empty, kept, changes, out, chunks, seed, keys, tier)
+    return run_changes(spark, empty, kept, changes, out, chunks, seed, keys, tier, stored=True)
